@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, sharding
+from . import decontamination, packing, quality, sharding
 
 QUERIES = {
     "op5_sharding": sharding.query,
+    "op6_quality_classifier": quality.query,
+    "op8_decontamination": decontamination.query,
     "op10_packing": packing.query,
 }
 ORACLES: dict[str, str] = {}

