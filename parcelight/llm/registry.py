@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, quality, sharding
+from . import decontamination, packing, quality, secret_scan, sharding
 
 QUERIES = {
+    "op1_secret_scan": secret_scan.query,
     "op5_sharding": sharding.query,
     "op6_quality_classifier": quality.query,
     "op8_decontamination": decontamination.query,
