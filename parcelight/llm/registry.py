@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import decontamination, packing, quality, secret_scan, sharding
+from . import decontamination, fingerprints, packing, quality, secret_scan, sharding
 
 QUERIES = {
     "op1_secret_scan": secret_scan.query,
+    "op2_fingerprints": fingerprints.query,
     "op5_sharding": sharding.query,
     "op6_quality_classifier": quality.query,
     "op8_decontamination": decontamination.query,
