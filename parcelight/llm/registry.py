@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, packing, quality, secret_scan, sharding
+from . import decontamination, fingerprints, packing, personal_data, quality, secret_scan, sharding
 
 QUERIES = {
     "op1_secret_scan": secret_scan.query,
     "op2_fingerprints": fingerprints.query,
+    "op3_personal_data": personal_data.query,
     "op5_sharding": sharding.query,
     "op6_quality_classifier": quality.query,
     "op8_decontamination": decontamination.query,
