@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, line_dedup, packing, personal_data, quality, secret_scan, sharding
+from . import decontamination, fingerprints, line_dedup, packing, personal_data, quality, secret_scan, sharding, substring_dedup
 
 QUERIES = {
     "op1_secret_scan": secret_scan.query,
     "op2_fingerprints": fingerprints.query,
     "op3_personal_data": personal_data.query,
+    "op4_substring_dedup": substring_dedup.query,
     "op5_sharding": sharding.query,
     "op6_quality_classifier": quality.query,
     "op8_decontamination": decontamination.query,
