@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, line_dedup, packing, personal_data, quality, secret_scan, sharding, substring_dedup
+from . import decontamination, fingerprints, line_dedup, ngram_join, packing, personal_data, quality, secret_scan, sharding, substring_dedup
 
 QUERIES = {
     "op1_secret_scan": secret_scan.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_substring_dedup": substring_dedup.query,
     "op5_sharding": sharding.query,
     "op6_quality_classifier": quality.query,
+    "op7_ngram_join": ngram_join.query,
     "op8_decontamination": decontamination.query,
     "op9_line_dedup": line_dedup.query,
     "op10_packing": packing.query,
