@@ -1,11 +1,59 @@
-"""Corpus pipeline: quality classifier, line dedup, n-gram join, decontamination, packing."""
+"""Corpus pipeline: quality classifier, line dedup, n-gram join, decontamination, packing.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents. The
+stages read labels and benchmark from sf_dir and everything else from their predecessor's result, which is stored in
+between.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from parcelight.llm import decontamination, line_dedup, ngram_join, packing, quality
+from parcelight.session import materialize, table
+
+#: SQL can't express the classifier and the packing.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the classifier rejects (score below 0.3). It learns from the labelled documents of the
+    input table, so that its verdicts don't depend on what was dropped before."""
+    model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return docs.withColumn("_score", quality.scorer(model)("text")).filter(f"_score >= {quality.THRESHOLD}").drop("_score")
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes boilerplate lines from the texts; every document stays."""
+    return line_dedup.without_boilerplate(docs)
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document of the smallest doc_id stays."""
+    return ngram_join.one_of_each(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that hold too much of the benchmark."""
+    return decontamination.remove_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of a document, with its place in a packed sequence."""
+    return packing.packed(spark, docs).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("line_dedup", dedup_lines),
+    ("ngram_join", dedup_documents),
+    ("decontamination", decontaminate),
+    ("packing", pack),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
