@@ -1,6 +1,10 @@
-"""Registered queries over the driver's tables and the SQL that recomputes them."""
+"""Registered queries over the driver's tables, each an operator of the library on a shape of its own, and the SQL that
+recomputes it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import business, nested, relational, spatial, stateful, text
+
+_MODULES = (relational, text, spatial, nested, business, stateful)
+QUERIES = {name: run for m in _MODULES for name, run in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

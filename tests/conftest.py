@@ -17,4 +17,6 @@ def spark():
 
 @pytest.fixture(scope="session")
 def sf_dir():
-    return "/root/testdata/sf0.001"
+    import os
+
+    return os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
