@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..session import table
 
 SAMPLES = 32
+NULL_ID = -(1 << 63)
 _LOW = 0xFFFFFFFF
 
 
@@ -72,7 +73,7 @@ def id_bounds(docs: DataFrame, buckets: int) -> list[int]:
 
 
 def sort_id() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
 
 
 def rank_below(value: Column, bounds: list[int]) -> Column:
@@ -94,13 +95,14 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
     place = lambda bucket, ghost: F.struct(bucket.cast("int").alias("bucket"), F.lit(ghost).alias("ghost"))
     places = F.array_compact(F.array(place(F.col("_at"), False), F.when(is_bound, place((F.col("_at") + 1) % len(bounds), True))))
     dealt = (
-        docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), sort_id().alias("_id"))
+        docs.select(F.coalesce(F.col("text"), F.lit("")).alias("text"), sort_id().alias("_id"))
         .withColumn("_at", at)
-        .select("doc_id", "text", "_id", F.explode(places).alias("_place"))
-        .select("doc_id", "text", "_id", "_place.*")
+        .select("text", "_id", F.explode(places).alias("_place"))
+        .select("text", "_id", "_place.*")
     )
     order = W.partitionBy("bucket").orderBy("ghost", F.desc("_id"), "text")
-    return dealt.select("doc_id", "text", "bucket", "ghost", F.row_number().over(order).alias("row"), F.lead("text").over(order).alias("next_text"))
+    doc_id = F.when(F.col("_id") != NULL_ID, F.col("_id")).alias("doc_id")
+    return dealt.select(doc_id, "text", "bucket", "ghost", F.row_number().over(order).alias("row"), F.lead("text").over(order).alias("next_text"))
 
 
 def compare_with_edited(docs: DataFrame, samples: int = SAMPLES, buckets: int | None = None) -> DataFrame:
@@ -114,20 +116,23 @@ def compare_with_edited(docs: DataFrame, samples: int = SAMPLES, buckets: int |
     n = F.length("text")
     kept = F.left("text", n - F.expr("length(text) div 2").cast("int"))
     edited = F.concat(kept, F.left(F.coalesce(F.col("next_text"), F.lit("")), F.expr("length(text) div 2").cast("int")))
-    both = (
-        with_next(docs, min(buckets, 8192))
-        .withColumn("edited", edited)
-        .select("bucket", "row", "doc_id", "ghost", n.cast("long").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("edited_sha"), F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("text").alias("body")), F.struct(F.lit(1).alias("side"), F.col("edited").alias("body")))).alias("_v"))
-        .filter(~F.col("ghost") | (F.col("_v.side") == 0))
-        .select("bucket", "row", "doc_id", "ghost", "n_chars", "edited_sha", F.col("_v.side").alias("side"), F.explode(terms(F.col("_v.body"))).alias("_word"))
+    # One shuffle of the texts serves both branches below; everything after it stays within a bucket.
+    paired = with_next(docs, min(buckets, 8192)).withColumn("edited", edited)
+    spot = lambda side: F.col("row") * 2 + side
+    words = paired.select(
+        "bucket", F.explode(F.array(F.struct(spot(0).alias("spot"), F.col("text").alias("body")), F.struct(F.when(~F.col("ghost"), spot(1)).alias("spot"), F.col("edited").alias("body")))).alias("_v")
     )
-    signed = signatures(both, ["bucket", "row", "doc_id", "ghost", "n_chars", "edited_sha", "side"], samples)
-    order = W.partitionBy("bucket").orderBy("row", "side")
-    ahead = signed.select("*", F.lead("sig", 1).over(order).alias("edited_sig"), F.lead("sig", 2).over(order).alias("next_sig"))
-    return ahead.filter((F.col("side") == 0) & ~F.col("ghost")).select(
+    words = words.filter(F.col("_v.spot").isNotNull()).select("bucket", F.col("_v.spot").alias("spot"), F.explode(terms(F.col("_v.body"))).alias("_word"))
+    order = W.partitionBy("bucket").orderBy("spot")
+    ahead = signatures(words, ["bucket", "spot"], samples).select(
+        "bucket", "spot", "sig", F.lead("sig", 1).over(order).alias("edited_sig"), F.lead("sig", 2).over(order).alias("next_sig")
+    )
+    ahead = ahead.filter(F.col("spot") % 2 == 0).withColumn("row", F.expr("spot div 2").cast("int"))
+    facts = paired.filter(~F.col("ghost")).select("bucket", "row", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    return facts.join(ahead, ["bucket", "row"]).select(
         "doc_id",
         "n_chars",
-        F.lower(F.hex("edited_sha")).alias("edited_sha256"),
+        "edited_sha256",
         shown(F.col("sig")).alias("fingerprint"),
         shown(F.col("edited_sig")).alias("edited_fingerprint"),
         likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"),
