@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import materialize, table
 
 SAMPLES = 32
 NULL_ID = -(1 << 63)
@@ -83,7 +83,7 @@ def rank_below(value: Column, bounds: list[int]) -> Column:
     return F.aggregate(jumps, F.lit(0), lambda at, j: F.when((at + j <= len(bounds)) & (F.get(held, at + j - 1) < value), at + j).otherwise(at))
 
 
-def with_next(docs: DataFrame, buckets: int) -> DataFrame:
+def with_next(docs: DataFrame, buckets: int, tasks: int) -> DataFrame:
     """doc_id, text, next_text, bucket and row: each document beside the one after it in descending doc_id.
 
     Documents are dealt into id ranges, each with a copy of the document that comes after its last, marked `ghost`.
@@ -99,6 +99,7 @@ def with_next(docs: DataFrame, buckets: int) -> DataFrame:
         .withColumn("_at", at)
         .select("text", "_id", F.explode(places).alias("_place"))
         .select("text", "_id", "_place.*")
+        .repartition(tasks, "bucket")
     )
     order = W.partitionBy("bucket").orderBy("ghost", F.desc("_id"), "text")
     doc_id = F.when(F.col("_id") != NULL_ID, F.col("_id")).alias("doc_id")
@@ -112,12 +113,12 @@ def compare_with_edited(docs: DataFrame, samples: int = SAMPLES, buckets: int |
     a single one is itself. Columns besides doc_id and text are not read. `buckets` is the number of id ranges (by
     default four for each shuffle partition), a range being what one task sorts, with spilling if need be.
     """
-    buckets = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     n = F.length("text")
     kept = F.left("text", n - F.expr("length(text) div 2").cast("int"))
     edited = F.concat(kept, F.left(F.coalesce(F.col("next_text"), F.lit("")), F.expr("length(text) div 2").cast("int")))
-    # One shuffle of the texts serves both branches below; everything after it stays within a bucket.
-    paired = with_next(docs, min(buckets, 8192)).withColumn("edited", edited)
+    # After the texts are dealt into buckets, everything stays within a bucket.
+    paired = with_next(docs, min(buckets or 4 * tasks, 8192), tasks).withColumn("edited", edited)
     spot = lambda side: F.col("row") * 2 + side
     words = paired.select(
         "bucket", F.explode(F.array(F.struct(spot(0).alias("spot"), F.col("text").alias("body")), F.struct(F.when(~F.col("ghost"), spot(1)).alias("spot"), F.col("edited").alias("body")))).alias("_v")
@@ -129,6 +130,7 @@ def compare_with_edited(docs: DataFrame, samples: int = SAMPLES, buckets: int |
     )
     ahead = ahead.filter(F.col("spot") % 2 == 0).withColumn("row", F.expr("spot div 2").cast("int"))
     facts = paired.filter(~F.col("ghost")).select("bucket", "row", "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))
+    facts = materialize(facts, "facts")
     return facts.join(ahead, ["bucket", "row"]).select(
         "doc_id",
         "n_chars",
