@@ -127,9 +127,9 @@ def loose_int(c) -> Column:
 
 
 def year_month(c) -> Column:
-    """yyyy-mm from yyyy-mm-dd or dd/mm/yyyy, else null."""
+    """yyyy-mm from yyyy-mm-dd or yyyy-mm, else null."""
     text = F.trim(blank(c))
-    return F.when(text.rlike(r"^\d{4}-\d{2}"), F.left(text, F.lit(7))).when(text.rlike(r"^\d{2}/\d{2}/\d{4}"), F.concat_ws("-", F.substring(text, 7, 4), F.substring(text, 4, 2)))
+    return F.when(text.rlike(r"^\d{4}-\d{2}(-\d{2})?$"), F.left(text, F.lit(7)))
 
 
 def address_key(c) -> Column:

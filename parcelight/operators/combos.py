@@ -9,7 +9,16 @@ from ..functions.text import activity_division, blank
 from . import filters
 from .components import connected_components
 
-OSM_BUILDING = r"^building:[wr]:-?\d+$"
+#: Fixed values.
+OSM_BUILDING = r"^[wnr]:\d{1,20}$"
+ZONE_TAGS = ("industrial", "commercial", "retail", "education", "hospital", "residential")
+EDUCATION_TAGS = ("education", "school", "kindergarten", "college", "university")
+
+
+def selectable_tag(c) -> Column:
+    """The discovery's tag, schools as education; null for all others."""
+    tag = F.lower(F.trim(blank(c)))
+    return F.when(tag.isin(*EDUCATION_TAGS), "education").when(tag.isin(*ZONE_TAGS), tag)
 
 
 def parcel_components(parcels: DataFrame, shared: DataFrame, parcel: str = "scout_v5_id", building: str = "building_id") -> DataFrame:
@@ -48,7 +57,7 @@ def build_combos(parcels: DataFrame, buildings: DataFrame, parkings: DataFrame,
 
     parcels: scout_v5_id, code_insee, section, numero_norm, footprint_sum_m2, contour_m2, zone_tag. buildings:
     scout_v5_id, batiment_construction_id, osm_building_id, footprint_m2, annee_construction, zone_tag, zone_source,
-    matching_status, ord. parkings: scout_v5_id, osm_parking_type, osm_parking_id, parking_area_m2, ord. sirens:
+    building_tag, matching_status, ord. parkings: scout_v5_id, osm_parking_type, osm_parking_id, parking_area_m2, ord. sirens:
     scout_v5_id, role (owner or domiciliation), siren, ape.
     """
     of = parcel_components(parcels, buildings.filter("matching_status = 'partage'").select("scout_v5_id", F.col("batiment_construction_id").alias("building_id")).filter(F.trim(blank("building_id")) != ""))
@@ -72,15 +81,14 @@ def build_combos(parcels: DataFrame, buildings: DataFrame, parkings: DataFrame,
     order = ["code_insee", "section", "numero_norm", "scout_v5_id", "ord"]
     placed = rows.select("component", "scout_v5_id", "code_insee", "section", "numero_norm")
     own = buildings.join(placed, "scout_v5_id")
-    institutional = F.coalesce(F.col("zone_source") == "amenity", F.lit(False))
+    institutional = (F.lower(F.trim(blank("zone_source"))) == "amenity") & F.lower(F.trim(blank("building_tag"))).isin("", "no")
     footprint = dedup_sum(own.filter(~institutional), "component", "batiment_construction_id", order, "footprint_m2", "_footprint")
     sets = own.groupBy("component").agg(
         F.bool_or((F.col("zone_source") == "landuse") & F.lower(blank("zone_tag")).isin(*filters.WAIVER_LANDUSE)).alias("has_landuse_waiver"),
         F.array_sort(F.collect_set(year_of("annee_construction"))).alias("construction_years"),
         F.array_sort(F.collect_set(F.when(F.col("osm_building_id").rlike(OSM_BUILDING), F.col("osm_building_id")))).alias("osm_building_ids"),
     )
-    tag = lambda c: F.nullif(F.lower(F.trim(blank(c))), F.lit(""))
-    tags = own.select("component", tag("zone_tag").alias("t")).union(rows.select("component", tag("zone_tag"))).groupBy("component").agg(F.array_sort(F.collect_set("t")).alias("zone_tags"))
+    tags = own.select("component", selectable_tag("zone_tag").alias("t")).union(rows.select("component", selectable_tag("zone_tag"))).groupBy("component").agg(F.array_sort(F.collect_set("t")).alias("zone_tags"))
     parked = parkings.join(placed, "scout_v5_id").withColumn("_key", parking_key(F.col("osm_parking_type"), F.col("osm_parking_id")))
     parking = dedup_sum(parked, "component", "_key", order, "parking_area_m2", "_parking")
     code = F.when(F.trim(F.col("siren")).rlike(r"^\d{9}$"), F.trim(F.col("siren")))

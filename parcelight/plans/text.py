@@ -65,7 +65,7 @@ def identifiers(spark, sf_dir):
         number.alias("parcel_number"),
         T.activity_division(F.lpad(insee, 5, "0")).alias("division"),
         T.department(F.lpad((F.col("o_custkey") % 2000 + 97000).cast("string"), 5, "0")).alias("department"),
-        T.year_month(F.date_format("o_orderdate", "dd/MM/yyyy")).alias("year_month"),
+        T.year_month(F.date_format("o_orderdate", "yyyy-MM-dd")).alias("year_month"),
         T.parcel_id(insee, F.lit("AB"), number).alias("parcel_id"),
         T.hashed_id(F.col("o_orderkey").cast("string"), insee).alias("hashed_id"),
     )

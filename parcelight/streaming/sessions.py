@@ -14,7 +14,7 @@ from ..operators.ranking import best_per_key
 
 #: Fixed values.
 DAY_MS, COUNTER_MAX = 24 * 3600 * 1000, 1_000_000
-TERMINAL = ("gagne", "perdu")
+TERMINAL = ("converti", "perdu")
 ZONE = "Europe/Paris"
 QUOTAS = {
     "premium": {"bdnb": (20000, "month"), "osm": (2000, "month"), "sitadel_map": (8000, "month")},
