@@ -195,7 +195,8 @@ def exact_links(docs: DataFrame, members: DataFrame) -> DataFrame:
     sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     dealt = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
     text = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text", F.hash("text").alias("_of"))
-    with_text = dealt.join(text, (F.col("doc_id").eqNullSafe(F.col("_doc"))) & (F.col("_hash") == F.col("_of"))).dropDuplicates(["cls"])
+    # A merge join at every size: the members grow with the corpus, and so does the broadcast that small inputs would get.
+    with_text = dealt.hint("merge").join(text, (F.col("doc_id").eqNullSafe(F.col("_doc"))) & (F.col("_hash") == F.col("_of"))).dropDuplicates(["cls"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_o")
     each = with_text.select("cls", "copies", "block", "blocks", "component", "text", other)
     # A pair of blocks is a group; a block alone compares its own pairs.
