@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import round_half_up
@@ -103,12 +104,12 @@ def perfect_fit_kwp(consumption, per_kwp, roof_kwp, share: float = 0.7) -> Colum
 
 
 def split_evenly(total, shares: Column) -> Column:
-    """total (whole) as whole numbers in proportion to shares, adding up to it: what rounding leaves goes to the last
-    parts, one each, from the end on."""
+    """total as whole numbers in proportion to shares (which add up to 1), adding up to it rounded: what rounding leaves
+    goes to the last part that doesn't fall below 0 by it."""
     parts = F.transform(shares, lambda s: F.floor(total * s + 0.5))
-    rest = total - F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + x)
-    sign = F.signum(rest).cast("long")
-    return F.transform(parts, lambda x, i: x + F.when(F.size(parts) - i <= F.abs(rest), sign).otherwise(0))
+    rest = F.floor(total + 0.5) - F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + x)
+    fits = F.array_max(F.filter(F.transform(parts, lambda x, i: F.when(x + rest >= 0, i)), lambda i: i.isNotNull()))
+    return F.transform(parts, lambda x, i: x + F.when(i == fits, rest).otherwise(F.lit(0).cast("long")))
 
 
 def rounded_year(monthly: Column) -> Column:
@@ -176,3 +177,82 @@ def simulate_year(production: Column, consumption: Column, battery: Battery | No
     """The year's flows, two decimals."""
     flows = battery_fold(year_hours(production, consumption), battery)
     return F.struct(*[round_half_up(flows[f], 2).alias(f) for f in _FLOWS])
+
+
+#: The year's and the day's shapes.
+MONTH_SHAPE = (1.15, 1.05, 1.0, 0.92, 0.88, 0.9, 0.95, 0.95, 0.98, 1.02, 1.1, 1.2)
+HOUR_SHAPE = (
+    0.015, 0.012, 0.012, 0.012, 0.014, 0.018, 0.025, 0.04, 0.055, 0.06, 0.058, 0.055,
+    0.048, 0.052, 0.058, 0.06, 0.058, 0.052, 0.042, 0.032, 0.025, 0.022, 0.018, 0.016,
+)
+SUN_SHAPE = (0, 0, 0, 0, 0, 0, 0.02, 0.05, 0.08, 0.1, 0.11, 0.12, 0.12, 0.11, 0.1, 0.08, 0.06, 0.04, 0.02, 0.01, 0, 0, 0, 0)
+PLAUSIBLE_KWH_PER_KWP = (500.0, 2000.0)
+
+
+def _half_up(x: float, digits: int) -> float:
+    return math.floor(x * 10**digits + 0.5) / 10**digits
+
+
+HOUR_FRACTIONS = tuple(_half_up(h / sum(HOUR_SHAPE), 3) for h in HOUR_SHAPE)
+
+
+def monthly_breakdown(annual) -> Column:
+    """Twelve monthly values of an annual one, one decimal each."""
+    return F.array(*[round_half_up(annual * (m / sum(MONTH_SHAPE)), 1) for m in MONTH_SHAPE])
+
+
+def hourly_breakdown(annual) -> Column:
+    """The hours of an average day of an annual value, three decimals each."""
+    return F.array(*[round_half_up(annual / YEAR_DAYS * h, 3) for h in HOUR_FRACTIONS])
+
+
+def production_day(month_kwh_per_kwp, month: int, kwp) -> Column:
+    """A typical day of a month's production per kWp (month from 0), two decimals an hour."""
+    daily = month_kwh_per_kwp / DAYS_OF_MONTHS[month] * kwp
+    return F.array(*[round_half_up(daily * (s / sum(SUN_SHAPE)), 2) for s in SUN_SHAPE])
+
+
+def consumption_day(month_kwh_per_m2, month: int, surface) -> Column:
+    """A typical day of a month's consumption per square metre, three decimals an hour."""
+    daily = month_kwh_per_m2 / DAYS_OF_MONTHS[month] * surface
+    return F.array(*[round_half_up(daily * h, 3) for h in HOUR_FRACTIONS])
+
+
+def per_kwp(stored, annual_kwh, kwp) -> Column:
+    """Production per kWp: the stored one if positive, else derived if plausible, else null."""
+    derived = F.when((annual_kwh > 0) & (kwp > 0), annual_kwh / kwp)
+    return F.coalesce(F.when(stored > 0, stored), F.when(derived.between(*PLAUSIBLE_KWH_PER_KWP), derived))
+
+
+def pick_battery(targets: DataFrame, catalog: DataFrame, target: str) -> DataFrame:
+    """targets with the battery model and count nearest to the target capacity.
+
+    From the largest model's capacity on, that model; below, the model and count of the smallest gap, then of the fewest
+    units, then of the largest capacity. catalog has model, capacity_kwh, most (units of a rack; null: 20) and is small.
+    """
+    options = catalog.withColumn("count", F.explode(F.sequence(F.lit(1), F.coalesce("most", F.lit(20)))))
+    largest = F.array_max(F.collect_list(F.struct("capacity_kwh", "model")))
+    offered = options.agg(F.collect_list(F.struct("model", "capacity_kwh", "count")).alias("_o"), largest["capacity_kwh"].alias("_l"), largest["model"].alias("_m"))
+    joined = targets.crossJoin(F.broadcast(offered))  # one row
+    t = F.col(target)
+    fit = lambda o: F.struct(F.abs(o["capacity_kwh"] * o["count"] - t).alias("gap"), o["count"].alias("count"), (-o["capacity_kwh"]).alias("minus"), o["model"].alias("model"))
+    allowed = F.filter("_o", lambda o: (t < F.col("_l")) | (o["model"] == F.col("_m")))
+    best = F.when(t > 0, F.array_min(F.transform(allowed, fit)))
+    return joined.withColumn("battery_model", best["model"]).withColumn("battery_count", best["count"]).drop("_o", "_l", "_m")
+
+
+def pick_inverter(targets: DataFrame, catalog: DataFrame, power: str, most: int = 8) -> DataFrame:
+    """targets with the inverter for a power: of the models that need at most `most` units the recommended one, else the
+    one of fewest units, then of most power; the catalog's first if none fits. catalog has model, power_w, recommended and
+    ord and is small."""
+    offered = catalog.agg(F.array_sort(F.collect_list(F.struct("ord", "model", "power_w", "recommended"))).alias("_o"))
+    joined = targets.crossJoin(F.broadcast(offered))  # one row
+    kw = F.col(power)
+    units = lambda o: F.ceil(kw / (o["power_w"] / 1000))
+    fitting = F.filter("_o", lambda o: units(o) <= most)
+    liked = F.filter(fitting, lambda o: o["recommended"])
+    best = F.array_min(F.transform(fitting, lambda o: F.struct(units(o).alias("n"), (-o["power_w"]).alias("minus"), o["ord"].alias("ord"), o["model"].alias("model"))))["model"]
+    any_liked = F.filter("_o", lambda o: o["recommended"])
+    first = F.get("_o", F.lit(0))["model"]
+    chosen = F.when(~(kw > 0), F.coalesce(F.get(any_liked, F.lit(0))["model"], first)).otherwise(F.coalesce(F.get(liked, F.lit(0))["model"], best, first))
+    return joined.withColumn("inverter_model", chosen).drop("_o")

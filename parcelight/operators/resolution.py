@@ -54,13 +54,22 @@ def resolve_shared_buildings(pairs: DataFrame, owners: DataFrame) -> DataFrame:
 
 
 def buildings_of_parcels(pairs: DataFrame, resolved: DataFrame) -> DataFrame:
-    """The pairs that stay: buildings of one parcel, and of several only the parcel that they were given to; with
-    shared_candidate for parcels that a building of several touches."""
-    touched = pairs.join(resolved.select("building_id"), "building_id", "left_semi").select(*PARCEL).distinct().withColumn("shared_candidate", F.lit(True))
-    won = resolved.select("building_id", *PARCEL)
-    single = pairs.join(resolved.select("building_id"), "building_id", "left_anti")
-    kept = single.unionByName(pairs.join(won, ["building_id", *PARCEL], "left_semi"))
-    return kept.join(touched, PARCEL, "left").withColumn("shared_candidate", F.coalesce("shared_candidate", F.lit(False)))
+    """The pairs with how each building stands on its parcel. A building of several parcels stays on every parcel that it
+    covers: matching_status is mono or partage, matching_decision and matching_siren_selected say why, assigned marks the
+    parcel that it was given to, and shared_candidate the parcels that any such building touches."""
+    won = resolved.select("building_id", F.struct(*PARCEL).alias("_won"), "matching_decision", "matching_siren_selected")
+    joined = pairs.join(won, "building_id", "left")
+    shared = F.col("_won").isNotNull()
+    touched = joined.filter(shared).select(*PARCEL).distinct().withColumn("shared_candidate", F.lit(True))
+    marked = joined.withColumns(
+        {
+            "matching_status": F.when(shared, "partage").otherwise("mono"),
+            "matching_decision": F.coalesce("matching_decision", F.lit("mono")),
+            "matching_siren_selected": F.coalesce("matching_siren_selected", F.lit("")),
+            "assigned": ~shared | (F.col("_won") == F.struct(*PARCEL)),
+        }
+    ).drop("_won")
+    return marked.join(touched, PARCEL, "left").withColumn("shared_candidate", F.coalesce("shared_candidate", F.lit(False)))
 
 
 def export_parcels(buildings: DataFrame, least: float = filters.EXPORT_MIN, least_shared: float = filters.SHARED_EXPORT_MIN) -> DataFrame:

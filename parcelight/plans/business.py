@@ -77,7 +77,7 @@ def owner_rows(spark, sf_dir):
     WITH pairs AS (SELECT l_orderkey AS b, l_suppkey AS s, sum(l_extendedprice::DECIMAL(18,2))::DOUBLE AS a FROM lineitem GROUP BY ALL),
     k AS (SELECT *, count(*) OVER (PARTITION BY b) AS k, row_number() OVER (PARTITION BY b ORDER BY a DESC, s DESC) AS rn FROM pairs),
     sh AS (SELECT DISTINCT s FROM k WHERE k > 1),
-    kept AS (SELECT k.*, (b % 700)::DOUBLE AS fp, CASE WHEN b % 9 = 0 THEN 'retail' ELSE 'residential' END AS tag FROM k WHERE k = 1 OR rn = 1)
+    kept AS (SELECT k.*, (b % 700)::DOUBLE AS fp, CASE WHEN b % 9 = 0 THEN 'retail' ELSE 'residential' END AS tag FROM k)
     SELECT lpad(s::VARCHAR, 6, '0') AS numero_norm, sum(fp) AS footprint_sum_m2, count(*) AS n_buildings, bool_or(tag = 'retail') AS has_waiver, s IN (SELECT s FROM sh) AS shared_candidate
     FROM kept GROUP BY s HAVING CASE WHEN s IN (SELECT s FROM sh) THEN sum(fp) > 500 ELSE sum(fp) > 400 OR bool_or(tag = 'retail') END
 """)
