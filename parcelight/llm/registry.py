@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from . import decontamination, fingerprints, line_dedup, ngram_join, packing, personal_data, quality, secret_scan, sharding, substring_dedup
+from .oracles import ORACLES
+
+__all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
     "op1_secret_scan": secret_scan.query,
@@ -16,4 +19,3 @@ QUERIES = {
     "op9_line_dedup": line_dedup.query,
     "op10_packing": packing.query,
 }
-ORACLES: dict[str, str] = {}
