@@ -1,0 +1,74 @@
+import numpy as np
+from pyspark.sql import functions as F
+
+from parcelight.operators import tiles as T
+
+
+def parse(data: bytes):
+    """Field numbers and values of a message."""
+    out, at = [], 0
+
+    def number():
+        nonlocal at
+        n = shift = 0
+        while True:
+            b = data[at]
+            at += 1
+            n |= (b & 127) << shift
+            shift += 7
+            if b < 128:
+                return n
+
+    while at < len(data):
+        key = number()
+        if key & 7 == 2:
+            size = number()
+            out.append((key >> 3, data[at : at + size]))
+            at += size
+        else:
+            out.append((key >> 3, number()))
+    return out
+
+
+def commands(data: bytes):
+    numbers = [v for _, v in parse(b"".join(b"\x08" + d for d in split(data)))]
+    rings, at, k = [], np.zeros(2, int), 0
+    while k < len(numbers):
+        kind, count = numbers[k] & 7, numbers[k] >> 3
+        k += 1
+        for _ in range(count if kind != 7 else 0):
+            at = at + [(n >> 1) ^ -(n & 1) for n in numbers[k : k + 2]]
+            rings = [*rings, [at]] if kind == 1 else [*rings[:-1], [*rings[-1], at]]
+            k += 2
+    return [np.array(r) for r in rings]
+
+
+def split(data: bytes):
+    start = 0
+    for i, b in enumerate(data):
+        if b < 128:
+            yield data[start : i + 1]
+            start = i + 1
+
+
+def test_tiles(spark):
+    ring = lambda x, y, s: [{"x": a, "y": b} for a, b in ((x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y))]
+    rows = [("w:1", ring(0.01, 0.01, 0.02), 0.01, 0.01, 0.03, 0.03), ("w:2", ring(-0.01, 0.01, 0.02), -0.01, 0.01, 0.01, 0.03)]
+    df = spark.createDataFrame(rows, "id string, ring array<struct<x:double,y:double>>, xmin double, ymin double, xmax double, ymax double")
+    got = {(r["x"], r["y"]): r for r in T.build_tiles(df, 10).collect()}
+    assert {k: r["n"] for k, r in got.items()} == {(512, 511): 2, (511, 511): 1}
+    ((_, layer),) = parse(got[512, 511]["tile"])
+    parts = parse(layer)
+    assert (1, b"buildings") in parts and (5, 4096) in parts and (15, 2) in parts
+    features = [v for k, v in parts if k == 2]
+    assert len(features) == 2
+    (points,) = commands(dict(parse(features[0]))[4])
+    assert len(points) == 4 and points.min() >= -256 and points.max() <= 4096 + 256
+    assert abs(points[:, 0].min() - 0.01 / (360 / 1024) * 4096) <= 1 or abs(points[:, 0].min()) <= 256
+    assert spark.range(1).select(T.tile_of(F.lit(0.01), F.lit(0.01), 10).alias("t")).head()["t"]["x"] == 512
+
+
+def test_clip():
+    square = np.array([(-10, -10), (10, -10), (10, 10), (-10, 10), (-10, -10)], float)
+    assert np.ptp(T.clip(square, 0, 5), axis=0).tolist() == [5, 5]
+    assert len(T.clip(square + 100, 0, 5)) == 0
