@@ -37,7 +37,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     now = materialize(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct(), "edges")
     seen = None
     for _ in range(most_rounds):
-        now = materialize(_stars(_stars(now, small=False), small=True), "edges")
+        now = materialize(_stars(materialize(_stars(now, small=False), "stars"), small=True), "edges")
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
         if state == seen:
             break

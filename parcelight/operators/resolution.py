@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import blank
 from . import filters
-from .ranking import best_per_key, modal_value
+from .ranking import modal_value
 
 PARCEL = ["code_insee", "section", "numero_norm"]
 
@@ -34,21 +34,22 @@ def resolve_shared_buildings(pairs: DataFrame, owners: DataFrame) -> DataFrame:
     """
     by_parcel = pairs.groupBy("building_id", *PARCEL).agg(F.greatest(F.coalesce(F.max("intersection_area_m2"), F.lit(0.0)), F.lit(0.0)).alias("area"))
     joined = by_parcel.join(owners.select(*PARCEL, "sirens", "siren_rows"), PARCEL, "left")
-    parcels = joined.groupBy("building_id").agg(F.count(F.lit(1)).alias("n_parcels"), F.max(F.struct("area", *PARCEL)).alias("widest"))
-    each = joined.select("building_id", F.explode("siren_rows").alias("siren", "rows"))
-    shared = each.groupBy("building_id", "siren").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"))
-    shared = shared.join(parcels.select("building_id", "n_parcels"), "building_id").filter(F.col("n") == F.col("n_parcels"))
-    chosen = best_per_key(shared, ["building_id"], [F.desc("rows"), F.asc("siren")]).select("building_id", F.col("siren").alias("matching_siren_selected"))
-    lists = shared.groupBy("building_id").agg(F.array_sort(F.collect_set("siren")).alias("shared_sirens"))
+    # A building has few parcels, so they meet in one array and the rest needs no further shuffle.
+    some = F.coalesce("sirens", F.array().cast("array<string>"))
+    whole = joined.groupBy("building_id").agg(F.count(F.lit(1)).alias("n_parcels"), F.max(F.struct("area", *PARCEL)).alias("widest"), F.collect_list(F.struct(some.alias("sirens"), "siren_rows")).alias("_p"))
+    many = whole.filter("n_parcels > 1")
+    common = F.aggregate("_p", F.get("_p", F.lit(0))["sirens"], lambda kept, p: F.array_intersect(kept, p["sirens"]))
+    many = many.withColumn("shared_sirens", F.array_sort(common))
+    rows = lambda s: F.aggregate("_p", F.lit(0), lambda n, p: n + F.coalesce(F.try_element_at(p["siren_rows"], s), F.lit(0)))
+    best = F.array_min(F.transform("shared_sirens", lambda s: F.struct((-rows(s)).alias("minus"), s.alias("siren"))))["siren"]
     # A shared owner is one of every parcel, so the widest parcel wins either way.
-    found = parcels.filter("n_parcels > 1").join(chosen, "building_id", "left").join(lists, "building_id", "left")
-    return found.select(
+    return many.select(
         "building_id",
         *[F.col(f"widest.{k}").alias(k) for k in PARCEL],
         F.lit("partage").alias("matching_status"),
-        F.when(F.col("matching_siren_selected").isNull(), "unique_by_intersection").otherwise("shared_siren").alias("matching_decision"),
-        F.coalesce("matching_siren_selected", F.lit("")).alias("matching_siren_selected"),
-        F.coalesce("shared_sirens", F.array().cast("array<string>")).alias("shared_sirens"),
+        F.when(best.isNull(), "unique_by_intersection").otherwise("shared_siren").alias("matching_decision"),
+        F.coalesce(best, F.lit("")).alias("matching_siren_selected"),
+        "shared_sirens",
         "n_parcels",
     )
 

@@ -15,17 +15,19 @@ QUERIES, ORACLES, query = registry()
 
 
 @query("""
-    WITH RECURSIVE edges AS (SELECT DISTINCT o_custkey AS c, 's' || l_suppkey AS s, 'p' || l_partkey AS p FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+    WITH RECURSIVE edges AS (SELECT DISTINCT o_custkey AS c, 2147483648 | l_suppkey AS s, l_partkey AS p FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
     e AS (SELECT c, s AS a, p AS b FROM edges UNION SELECT c, p, s FROM edges),
     reach(c, n, m) AS (SELECT DISTINCT c, a, a FROM e UNION SELECT r.c, e.b, r.m FROM reach r JOIN e ON e.c = r.c AND e.a = r.n)
     SELECT c AS customer, n AS node, min(m) AS component FROM reach GROUP BY ALL
 """)
 def components(spark, sf_dir):
+    """Suppliers and parts that a customer's orders connect; a node's number has the customer in its upper half and a bit
+    that tells suppliers from parts."""
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
-    at = F.lpad(F.col("o_custkey").cast("string"), 12, "0")
-    ends = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.concat_ws(":", at, F.concat(F.lit("s"), "l_suppkey")).alias("a"), F.concat_ws(":", at, F.concat(F.lit("p"), "l_partkey")).alias("b"))
-    found = connected_components(ends)
-    return found.select(F.split_part("node", F.lit(":"), F.lit(1)).cast("long").alias("customer"), F.split_part("node", F.lit(":"), F.lit(2)).alias("node"), F.split_part("component", F.lit(":"), F.lit(2)).alias("component"))
+    at = F.shiftleft("o_custkey", 32)
+    ends = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(at.bitwiseOR(F.col("l_suppkey")).bitwiseOR(F.lit(1 << 31)).alias("a"), at.bitwiseOR(F.col("l_partkey")).alias("b"))
+    found, low = connected_components(ends), F.lit((1 << 32) - 1)
+    return found.select(F.shiftright("node", 32).alias("customer"), F.col("node").bitwiseAND(low).alias("node"), F.col("component").bitwiseAND(low).alias("component"))
 
 
 def _owner_pairs(spark, sf_dir):
