@@ -176,3 +176,69 @@ def dedup_sums(spark, sf_dir):
     sums = dedup_sum(lines, "p_partkey", "item", ["l_orderkey", "l_linenumber", "l_suppkey"], "l_quantity", "dedup_qty")
     counts = lines.groupBy("p_partkey").agg(F.count(F.lit(1)).alias("n_lines"))
     return table(spark, sf_dir, "part").select("p_partkey").join(counts, "p_partkey").join(sums, "p_partkey").select("p_partkey", F.lit("combo").alias("kind"), "n_lines", round_half_up("dedup_qty", 2).alias("dedup_qty"))
+
+
+@query("""
+    WITH RECURSIVE line AS (SELECT o_custkey AS c, l_suppkey AS s, l_partkey AS p FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+    e AS (SELECT DISTINCT c, 1 AS k, s AS a, p AS b FROM line UNION SELECT DISTINCT c, 2, p, s FROM line),
+    reach(c, k, n, m) AS (SELECT DISTINCT c, 1, s, s FROM line UNION SELECT r.c, 3 - r.k, e.b, r.m FROM reach r JOIN e ON e.c = r.c AND e.k = r.k AND e.a = r.n),
+    comp AS (SELECT c, k, n, min(m) AS m FROM reach GROUP BY ALL),
+    par AS (SELECT comp.c, m, n AS s, 'p' || lpad(comp.c::VARCHAR, 9, '0') || '-' || lpad(n::VARCHAR, 9, '0') AS id, count(*) AS lines FROM comp JOIN line ON line.c = comp.c AND line.s = n WHERE k = 1 GROUP BY ALL),
+    a AS (SELECT c, m, sha256('combo:' || string_agg(id, '|' ORDER BY id)) AS combo_sha256, min(id) AS anchor, count(*) AS n_parcels, sum(lines)::DOUBLE AS contour, max(CASE WHEN s % 3 = 0 THEN 1 ELSE 0 END) AS own FROM par GROUP BY ALL),
+    b AS (SELECT c, m, sum(n % 50 + 1)::DOUBLE AS footprint, array_to_string(list_sort(list(DISTINCT 1900 + n % 120)), ',') AS years, bool_or(n % 11 = 0) AS waiver,
+      sum(CASE WHEN n % 2 = 0 THEN 100.0 + n % 7 ELSE 0 END) AS parking FROM comp WHERE k = 2 GROUP BY ALL)
+    SELECT combo_sha256, anchor, n_parcels, contour, footprint, years, waiver, parking::DOUBLE AS parking, CASE WHEN own = 1 THEN '333333333' ELSE '' END AS owners FROM a JOIN b USING (c, m)
+""")
+def combos(spark, sf_dir):
+    """A customer's suppliers as parcels and its parts as buildings that straddle them."""
+    from ..operators.combos import build_combos
+
+    lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    pad = lambda c: F.lpad(F.col(c).cast("string"), 9, "0")
+    rows = lines.select(F.concat(F.lit("p"), pad("o_custkey"), F.lit("-"), pad("l_suppkey")).alias("scout_v5_id"), pad("o_custkey").alias("code_insee"), pad("l_suppkey").alias("numero_norm"), F.col("l_partkey").alias("k"), F.concat(F.lit("b"), pad("o_custkey"), F.lit("-"), pad("l_partkey")).alias("batiment_construction_id"), F.col("l_suppkey").alias("s"))
+    parcels = rows.groupBy("scout_v5_id", "code_insee", F.lit("A").alias("section"), "numero_norm").agg(F.lit(0.0).alias("footprint_sum_m2"), F.count(F.lit(1)).cast("double").alias("contour_m2"), F.lit(None).cast("string").alias("zone_tag"))
+    buildings = rows.select(
+        "scout_v5_id",
+        "batiment_construction_id",
+        F.concat(F.lit("w:"), F.col("k").cast("string")).alias("osm_building_id"),
+        (F.col("k") % 50 + 1).cast("double").alias("footprint_m2"),
+        (F.col("k") % 120 + 1900).cast("string").alias("annee_construction"),
+        F.when(F.col("k") % 11 == 0, "retail").otherwise("residential").alias("zone_tag"),
+        F.lit("landuse").alias("zone_source"),
+        F.lit("yes").alias("building_tag"),
+        F.lit("partage").alias("matching_status"),
+        F.lit(0).alias("ord"),
+    )
+    # A relation of negative number and the closed way of the same number are one parking.
+    kind = F.when(F.col("s") % 2 == 0, "r").otherwise("w")
+    parkings = rows.filter("k % 2 = 0").select("scout_v5_id", kind.alias("osm_parking_type"), F.when(kind == "r", -F.col("k") - 1).otherwise(F.col("k") + 1).alias("osm_parking_id"), (F.col("k") % 7 + 100).cast("double").alias("parking_area_m2"), F.lit(0).alias("ord"))
+    sirens = rows.filter("s % 3 = 0").select("scout_v5_id", F.lit("owner").alias("role"), F.lit("333333333").alias("siren"), F.lit(None).cast("string").alias("ape")).distinct()
+    found = build_combos(parcels, buildings, parkings, sirens)
+    return found.select(
+        F.sha2("combo_id", 256).alias("combo_sha256"),
+        F.col("anchor_parcelle_id").alias("anchor"),
+        F.size("parcelle_scout_v5_ids").cast("long").alias("n_parcels"),
+        F.col("parcel_contour_sum_m2").alias("contour"),
+        F.col("footprint_sum_m2").alias("footprint"),
+        F.array_join(F.transform("construction_years", lambda y: y.cast("string")), ",").alias("years"),
+        F.col("has_landuse_waiver").alias("waiver"),
+        F.col("parking_sum_m2").alias("parking"),
+        F.array_join("owner_sirens", ",").alias("owners"),
+    )
+
+
+@query()
+def company_match(spark, sf_dir):
+    """Every part's name as a street of its type's commune and its size as a number, matched to all parts as
+    establishments."""
+    from ..functions.text import normalize_text
+    from ..operators.company_match import match_establishments
+
+    parts = table(spark, sf_dir, "part")
+    number, street = F.col("p_size").cast("string"), normalize_text("p_name")
+    empty = F.lit("")
+    asked = parts.select(F.col("p_type").alias("code_insee"), street.alias("voie"), number.alias("n")).distinct()
+    queries = asked.select(F.concat_ws("|", "code_insee", "voie", "n").alias("query_id"), "code_insee", F.array("n").alias("numbers"), empty.alias("indice_q"), "voie", empty.alias("commune_q"), empty.alias("cp_q"))
+    known = parts.select(F.col("p_type").alias("code_insee"), F.lpad(F.col("p_partkey").cast("string"), 14, "0").alias("siret"), F.lpad((F.col("p_partkey") % 97).cast("string"), 9, "0").alias("siren"), number.alias("numero"), empty.alias("indice"), street.alias("voie"), empty.alias("commune"), empty.alias("cp"))
+    found = match_establishments(queries, known)
+    return found.select("query_id", "status_technique", "status_metier", "siret_count", "matching_confidence", "matching_reason")

@@ -123,3 +123,60 @@ def lambert93_round_trip(spark, sf_dir):
     rows = table(spark, sf_dir, "customer").select("c_custkey", lat.alias("lat"), lng.alias("lng"), geo.to_lambert93(lat, lng).alias("m"))
     back = geo.from_lambert93(F.col("m.x"), F.col("m.y"))
     return rows.select("c_custkey", round_half_up("m.x", 3).alias("x"), round_half_up("m.y", 3).alias("y"), F.abs(back["lat"] - F.col("lat")).alias("lat_error"), F.abs(back["lng"] - F.col("lng")).alias("lng_error"))
+
+
+def _meet(a: str, b: str) -> str:
+    return f"{a}xmin <= {b}xmax AND {b}xmin <= {a}xmax AND {a}ymin <= {b}ymax AND {b}ymin <= {a}ymax"
+
+
+def _area(a: str, b: str) -> str:
+    return f"(greatest(0, least({a}xmax, {b}xmax) - greatest({a}xmin, {b}xmin)) * greatest(0, least({a}ymax, {b}ymax) - greatest({a}ymin, {b}ymin)))"
+
+
+def commune(spark, sf_dir):
+    """Orders as buildings, parts as parcels, customers as registry entries, suppliers as land use."""
+    b, p = boxes(spark, sf_dir)
+    k = F.col("id")
+    pick = lambda key, *v: F.get(F.array(*map(F.lit, v)), (key % len(v)).cast("int"))
+    tags = F.create_map(F.lit("building"), pick(k, "yes", "shed", "school", ""), F.lit("amenity"), pick(k, "", "bank", "hospital", "", ""))
+    b = b.withColumns(
+        {"osm_type": pick(k, "w", "w", "r"), "osm_id": k, "tags": tags, "address_text": F.lit(None).cast("string"), "footprint_m2": geo.box_area("b"), "shape": F.concat_ws(",", "bxmin", "bymin", "bxmax", "bymax")}
+    ).drop("id")
+    p = p.select(F.lit("33318").alias("code_insee"), F.lit("AB").alias("section"), F.lpad(F.col("pid").cast("string"), 8, "0").alias("numero_norm"), "pxmin", "pymin", "pxmax", "pymax")
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    x, y, n = F.col("c_custkey") * 71 % 9000, F.col("c_custkey") * 29 % 9000, F.col("c_custkey")
+    r = c.select(F.concat(F.lit("c"), F.lpad(n.cast("string"), 9, "0")).alias("batiment_construction_id"), F.lit("g").alias("batiment_groupe_id"), (n % 200 + 1800).cast("int").alias("annee_construction"), pick(n, "Résidentiel collectif", None, "Tertiaire", "residentiel Individuel", "x").alias("usage"), *[v.cast("double").alias(w) for w, v in (("rxmin", x), ("rymin", y), ("rxmax", x + 40 + n % 60), ("rymax", y + 40 + n % 50))])
+    x, y, n = F.col("s_suppkey") * 613 % 9000, F.col("s_suppkey") * 419 % 9000, F.col("s_suppkey")
+    lu = s.select(pick(n, "retail", "residential", "Industrial", "forest").alias("landuse"), *[v.cast("double").alias(w) for w, v in (("lxmin", x), ("lymin", y), ("lxmax", x + 300 + n % 90), ("lymax", y + 300))])
+    return b, p, r, lu
+
+
+@query(f"""
+    WITH {_SQL_BOXES},
+    u AS (SELECT * FROM (SELECT b.*, CASE WHEN id % 3 = 2 THEN 'r' ELSE 'w' END AS t, (bxmax - bxmin) * (bymax - bymin) AS fp, row_number() OVER (PARTITION BY bxmin, bymin, bxmax, bymax ORDER BY CASE WHEN id % 3 = 2 THEN 0 ELSE 1 END, id) AS one FROM b) WHERE one = 1),
+    r AS (SELECT 'c' || lpad(c_custkey::VARCHAR, 9, '0') AS cid, 1800 + c_custkey % 200 AS yr, c_custkey % 5 AS k, (c_custkey * 71 % 9000)::DOUBLE AS rxmin, (c_custkey * 29 % 9000)::DOUBLE AS rymin, (c_custkey * 71 % 9000 + 40 + c_custkey % 60)::DOUBLE AS rxmax, (c_custkey * 29 % 9000 + 40 + c_custkey % 50)::DOUBLE AS rymax FROM customer),
+    l AS (SELECT ['retail', 'residential', 'Industrial', 'forest'][1 + s_suppkey % 4] AS lu, (s_suppkey * 613 % 9000)::DOUBLE AS lxmin, (s_suppkey * 419 % 9000)::DOUBLE AS lymin, (s_suppkey * 613 % 9000 + 300 + s_suppkey % 90)::DOUBLE AS lxmax, (s_suppkey * 419 % 9000 + 300)::DOUBLE AS lymax FROM supplier),
+    f AS (SELECT * FROM u WHERE fp >= 400 OR EXISTS (SELECT 1 FROM l WHERE lower(lu) IN ('retail', 'industrial', 'commercial') AND {_meet("b", "l")})),
+    br AS (SELECT * FROM (SELECT id, cid, yr, {_area("b", "r")} AS ra, row_number() OVER (PARTITION BY id ORDER BY {_area("b", "r")} DESC, cid) AS o FROM f JOIN r ON {_meet("b", "r")} WHERE k NOT IN (0, 3) AND {_area("b", "r")} > 0) WHERE o = 1),
+    bl AS (SELECT * FROM (SELECT id, lu, {_area("b", "l")} AS la, row_number() OVER (PARTITION BY id ORDER BY {_area("b", "l")} DESC, lu) AS o FROM f JOIN l ON {_meet("b", "l")} WHERE {_area("b", "l")} > 0) WHERE o = 1)
+    SELECT t || ':' || f.id AS osm_building_id, lpad(pid::VARCHAR, 8, '0') AS numero_norm, fp AS footprint_m2, {_area("b", "p")} AS intersection_area_m2,
+      CASE WHEN coalesce(ra, 0) <= 0 THEN 'unmatched' WHEN ra < 20 THEN 'low_overlap' ELSE 'matched' END AS osm_match_status, CASE WHEN ra >= 20 THEN cid END AS construction, CASE WHEN ra >= 20 THEN yr::INT END AS year, la AS landuse_m2,
+      CASE WHEN lower(lu) IN ('retail', 'industrial') THEN lower(lu) WHEN f.id % 5 = 2 THEN 'hospital' WHEN lu IS NOT NULL THEN lu WHEN f.id % 4 = 1 THEN 'shed' WHEN f.id % 4 = 2 THEN 'education' ELSE '' END AS zone_tag
+    FROM f JOIN p ON {_meet("b", "p")} LEFT JOIN br ON br.id = f.id LEFT JOIN bl ON bl.id = f.id WHERE {_area("b", "p")} >= 50
+""")
+def building_parcel_pairs(spark, sf_dir):
+    from ..operators.features import building_parcel_pairs as pairs
+
+    found = pairs(*commune(spark, sf_dir))
+    return found.select("osm_building_id", "numero_norm", "footprint_m2", "intersection_area_m2", "osm_match_status", F.col("batiment_construction_id").alias("construction"), F.col("annee_construction").alias("year"), F.col("landuse_intersection_area_m2").alias("landuse_m2"), "zone_tag")
+
+
+@query()
+def vector_tiles(spark, sf_dir):
+    from ..operators.tiles import build_tiles
+
+    b, _ = boxes(spark, sf_dir)
+    corner = lambda x, y: F.struct((F.col(x) / 90_000).alias("x"), (44 + F.col(y) / 90_000).alias("y"))
+    ring = F.array(corner("bxmin", "bymin"), corner("bxmax", "bymin"), corner("bxmax", "bymax"), corner("bxmin", "bymax"))
+    shapes = b.select(F.concat(F.lit("w:"), F.col("id").cast("string")).alias("id"), ring.alias("ring"), *[(F.col("b" + c) / 90_000 + d).alias(c) for c, d in (("xmin", 0), ("ymin", 44), ("xmax", 0), ("ymax", 44))])
+    return build_tiles(shapes, 15).select("x", "y", "n", F.sha2("tile", 256).alias("tile_sha256"))
