@@ -256,3 +256,41 @@ def pick_inverter(targets: DataFrame, catalog: DataFrame, power: str, most: int
     first = F.get("_o", F.lit(0))["model"]
     chosen = F.when(~(kw > 0), F.coalesce(F.get(any_liked, F.lit(0))["model"], first)).otherwise(F.coalesce(F.get(liked, F.lit(0))["model"], best, first))
     return joined.withColumn("inverter_model", chosen).drop("_o")
+
+
+def financial_summary(sites: DataFrame) -> DataFrame:
+    """sites with a summary of their installation, null without roof or power.
+
+    sites: footprint_m2, kwp, annual_per_kwp, production and consumption (12 x 24 arrays, null without profiles),
+    consumption_kwh, panel_w, panel_m2, panel_eur, inverter_kw, inverter_eur, battery_kwh, battery_charge_kw,
+    battery_discharge_kw, battery_pct and battery_eur (null without battery; all batteries together).
+    """
+    panels = F.least(F.floor(F.col("kwp") * 1000 / F.col("panel_w")), F.floor(round_half_up(F.col("footprint_m2") * USABLE_ROOF, 2) / F.col("panel_m2")))
+    made = round_half_up(F.col("annual_per_kwp") * F.col("kwp"))
+    flows = lambda battery: simulate_year(F.col("production"), F.col("consumption"), battery)
+    battery = Battery(F.col("battery_kwh"), F.col("battery_charge_kw"), F.col("battery_discharge_kw"), F.col("battery_pct"))
+    stored = F.when(F.col("battery_kwh") > 0, flows(battery)).otherwise(flows(None))
+    simulated = F.col("production").isNotNull() & F.col("consumption").isNotNull() & (made > 0) & (F.col("consumption_kwh") > 0)
+    fine = (F.col("footprint_m2") > 0) & (F.col("kwp") > 0)
+    df = sites.withColumns({"panels": panels.cast("long"), "inverters": inverter_count(F.col("kwp"), F.col("inverter_kw")), "annual_kwh": made, "_f": F.when(simulated & fine, stored)})
+    by_hours = round_half_up((F.col("_f.direct") + F.col("_f.via_battery")) * RETAIL_EUR + F.col("_f.exported") * FEED_IN_EUR)
+    by_year = savings(F.col("annual_kwh"), F.col("consumption_kwh"))["eur"]
+    equipment = round_half_up(F.col("panels") * F.col("panel_eur") + F.col("inverters") * F.col("inverter_eur") + F.when(F.col("_f").isNotNull(), F.coalesce("battery_eur", F.lit(0.0))).otherwise(0.0))
+    df = df.withColumns({"equipment_eur": equipment, "savings_eur": F.coalesce(by_hours, by_year)})
+    prices = price_range(F.col("kwp"), F.col("equipment_eur"))
+    whole = F.struct(
+        "panels",
+        "inverters",
+        "annual_kwh",
+        "equipment_eur",
+        "savings_eur",
+        prices["low"].alias("low_eur"),
+        prices["high"].alias("high_eur"),
+        break_even_years(prices["low"], F.col("savings_eur")).alias("years_low"),
+        break_even_years(prices["high"], F.col("savings_eur")).alias("years_high"),
+        F.coalesce(F.col("_f.direct"), F.lit(0.0)).alias("direct_kwh"),
+        F.coalesce(F.col("_f.via_battery"), F.lit(0.0)).alias("via_battery_kwh"),
+        F.coalesce(F.col("_f.exported"), F.lit(0.0)).alias("exported_kwh"),
+        F.col("_f").isNotNull().alias("from_hours"),
+    )
+    return df.withColumn("summary", F.when(fine, whole)).select(*sites.columns, "summary")
