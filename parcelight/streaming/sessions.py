@@ -80,7 +80,9 @@ def check_quota(count, reset_at, now, limit: int, period: str, zone: str = ZONE)
 def throttle(calls: DataFrame, key: str, ts: str, tie: str, interval_ms: int) -> DataFrame:
     """Each key's number of calls, accepted calls and the last accepted one's milliseconds: a call is accepted if the
     interval has passed since the last accepted one. A fold over the key's sorted times."""
-    times = calls.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.unix_millis(F.col(ts).cast("timestamp")).alias("t"), F.col(tie).alias("tie")))).alias("_t"))
+    zoneless = calls.schema[ts].dataType.simpleString() == "timestamp_ntz"  # taken as UTC
+    millis = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts) if zoneless else F.unix_millis(ts)
+    times = calls.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(millis.alias("t"), F.col(tie).alias("tie")))).alias("_t"))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("last"))
 
     def step(s, x):
