@@ -134,3 +134,56 @@ def person(raw: Column) -> Column:
     known = F.when(status.isin("verified", "valid"), "verified").when(status.isin("guessed", "likely"), "guessed").when(status.isin("unverified", "unavailable", "extrapolated"), "unverified")
     name = F.coalesce(composed, t(raw["name"]))
     return F.when(name.isNotNull(), F.struct(name.alias("full_name"), t(raw["email"]).alias("email"), known.alias("email_status"), phone.alias("phone")))
+
+
+def address_context(name, address) -> Column:
+    """A struct (name, commune, code_postal, street, zac) from a name and a comma-separated address: the segment with the
+    postcode holds the commune, the one before it the street."""
+    text = F.trim(blank(address))
+    segments = F.filter(F.transform(F.split(text, ","), lambda s: F.trim(s)), lambda s: s != "")
+    code = F.nullif(F.regexp_extract(text, r"\b(\d{5})\b", 1), F.lit(""))
+    at = F.array_position(F.transform(segments, lambda s: F.coalesce(F.contains(s, code), F.lit(False))), F.lit(True))
+    commune = F.when(at > 0, F.nullif(F.trim(F.regexp_replace(F.get(segments, (at - 1).cast("int")), r"\d{5}\s*", "")), F.lit("")))
+    street = F.when(at > 1, F.get(segments, (at - 2).cast("int")))
+    zac = F.get(F.filter(segments, lambda s: F.lower(s).rlike(r"zac\s")), F.lit(0))
+    return F.struct(
+        F.nullif(F.trim(blank(name)), F.lit("")).alias("name"),
+        commune.alias("commune"),
+        code.alias("code_postal"),
+        street.alias("street"),
+        F.trim(F.regexp_replace(zac, r"(?i)\bde\s+", " ")).alias("zac"),
+    )
+
+
+def search_queries(context: Column) -> Column:
+    """The company searches to try, in order: street, name with postcode, name, zone."""
+    quoted = lambda a, *more: F.concat_ws(" ", F.concat(F.lit('"'), a, F.lit('"')), *more)
+    c = context
+    steps = (
+        F.when(c["street"].isNotNull() & c["commune"].isNotNull() & c["code_postal"].isNotNull(), quoted(c["street"], c["commune"], c["code_postal"])),
+        F.when(c["name"].isNotNull() & c["commune"].isNotNull() & c["code_postal"].isNotNull(), quoted(c["name"], c["commune"], c["code_postal"])),
+        F.when(c["name"].isNotNull() & c["commune"].isNotNull(), quoted(c["name"], c["commune"])),
+        F.when(c["zac"].isNotNull() & c["commune"].isNotNull(), quoted(c["zac"], c["commune"])),
+    )
+    return F.array_compact(F.array(*steps))
+
+
+#: Sectors by zone tag and by type of place.
+ZONE_SECTORS = {"industrial": "industrial", "retail": "retail", "commercial": "tertiary", "residential": "other"}
+PLACE_SECTORS = {
+    "industrial": ("industrial", "factory", "manufacturing", "plant", "warehouse", "storage", "storage_facility"),
+    "retail": ("retail", "supermarket"),
+    "tertiary": (
+        "office", "bank", "post_office", "real_estate_agency", "insurance_agency", "accounting", "lawyer", "finance", "courthouse",
+        "city_hall", "local_government_office",
+    ),
+}
+
+
+def activity_sector(zone, place) -> Column:
+    """By the zone's tag, else by the type of place, else other."""
+    zones = F.create_map(*[F.lit(x) for pair in ZONE_SECTORS.items() for x in pair])
+    kind, by_place = F.lower(F.trim(blank(place))), F.lit("other")
+    for sector, kinds in PLACE_SECTORS.items():
+        by_place = F.when(kind.isin(*kinds), sector).otherwise(by_place)
+    return F.coalesce(zones[F.lower(F.trim(blank(zone)))], by_place)

@@ -137,3 +137,16 @@ def test_lookups(spark):
     means = spark.createDataFrame([("k", 10.0), ("k", 13.0), ("e", None)], "k string, v double")
     assert {r["k"]: r["mean"] for r in features.mean_by_category(means, "k", "v").collect()} == {"k": 12, "e": 170}
     assert combos.OSM_BUILDING
+
+
+def test_address_context(spark):
+    rows = [(" Dupont ", "ZAC de Bersol, 12 av. Foch, 33600 Pessac, France"), (None, "Pessac"), ("X", "33600 Pessac"), ("", None)]
+    df = spark.createDataFrame(rows, "n string, a string").withColumn("c", labels.address_context("n", "a"))
+    got = [(tuple(r["c"]), r["q"]) for r in df.select("c", labels.search_queries(F.col("c")).alias("q")).collect()]
+    assert got[0] == (("Dupont", "Pessac", "33600", "12 av. Foch", "ZAC  Bersol"), ['"12 av. Foch" Pessac 33600', '"Dupont" Pessac 33600', '"Dupont" Pessac', '"ZAC  Bersol" Pessac'])
+    assert got[1] == ((None, None, None, None, None), []) and got[2] == (("X", "Pessac", "33600", None, None), ['"X" Pessac 33600', '"X" Pessac']) and got[3][1] == []
+
+
+def test_sectors(spark):
+    df = spark.createDataFrame([("Retail", "bank"), ("forest", " Bank"), (None, None), ("residential", "factory")], "z string, p string")
+    assert [r[0] for r in df.select(labels.activity_sector("z", "p")).collect()] == ["retail", "tertiary", "other", "other"]
