@@ -133,13 +133,16 @@ def candidate_edges(sets: DataFrame, node_rows: int = NODE) -> DataFrame:
     runs = F.array(*[F.struct(F.xxhash64(F.lit(r), F.get("values", F.lit(int(_PATHS[r][0])))).alias("node"), steps(r).alias("path")) for r in range(RUNS)])
     rows = sets.filter("n > 0").select("cls", F.col("n").cast("int").alias("n"), "low", "high", F.explode(runs).alias("_r")).select("cls", "n", "low", "high", "_r.*")
     rows = rows.withColumn("depth", F.lit(1))
-    for depth in range(1, DEPTH):
-        crowded = rows.groupBy("node").agg(F.count("*").alias("_n")).filter(F.col("_n") > node_rows).select("node", F.lit(True).alias("_crowded"))
+    for depth in range(1, DEPTH + 1):
+        crowded = rows.groupBy("node").agg(F.count("*").alias("_n")).filter(F.col("_n") > node_rows)
         if not crowded.head(1):
             break
-        crowded = materialize(crowded, "nodes")
-        split = F.col("_crowded").isNotNull() & (F.col("depth") == depth)
-        rows = rows.join(crowded, "node", "left").withColumns({"node": F.when(split, F.xxhash64("node", F.get("path", F.lit(depth)))).otherwise(F.col("node")), "depth": F.when(split, depth + 1).otherwise(F.col("depth"))}).drop("_crowded")
+        # At the end of the path the sets are so alike that any part of a node connects; each run cuts it differently.
+        part = F.pmod(F.xxhash64("node", "cls"), F.ceil(F.col("_n") / node_rows))
+        child = F.xxhash64("node", F.get("path", F.lit(depth)) if depth < DEPTH else part)
+        split = F.col("_n").isNotNull() & (F.col("depth") == depth)
+        joined = rows.join(materialize(crowded, "nodes"), "node", "left")
+        rows = joined.withColumns({"node": F.when(split, child).otherwise(F.col("node")), "depth": F.when(split, depth + 1).otherwise(F.col("depth"))}).drop("_n")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups_of(batches, "node"):
