@@ -29,7 +29,9 @@ SHINGLE, RUNS, DEPTH, VALUES = 5, 16, 6, 64
 LIKENESS = (9, 4)
 #: Sketches of pairs at 0.8 agree in 85 % of their values; four standard deviations less go on.
 LEAST_AGREEING = 42
-BRUTE, NODE, BLOCK, BLOCK_SHINGLES = 256, 20_000, 1500, 4_000_000
+BRUTE, NODE, BLOCK, BLOCK_SHINGLES = 256, 20_000, 1000, 4_000_000
+#: Elements of a task's temporary arrays.
+CHUNK = 500_000
 
 _rng = np.random.default_rng(20_240_613)
 _FACTORS = _rng.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -171,9 +173,10 @@ def likenesses(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
     rows, columns = member[use], number[token[use]]
     order = np.argsort(columns, kind="stable")
     rows, columns = rows[order], columns[order]
-    for a in range(0, int(dense.sum()), 2048):
-        lo, hi = np.searchsorted(columns, [a, a + 2048])
-        x = np.zeros((m, 2048), np.float32)
+    wide = max(1, CHUNK // m) if m else 1
+    for a in range(0, int(dense.sum()), wide):
+        lo, hi = np.searchsorted(columns, [a, a + wide])
+        x = np.zeros((m, wide), np.float32)
         x[rows[lo:hi], columns[lo:hi] - a] = 1
         common += x @ x.T
     rare = ~dense & (df > 1)
@@ -184,8 +187,9 @@ def likenesses(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
     for d in np.unique(size):
         each = rows[size == d].reshape(-1, d)
         i, j = np.triu_indices(d, 1)
-        for a in range(0, len(each), max(1, 4_000_000 // len(i))):
-            part = each[a : a + max(1, 4_000_000 // len(i))]
+        step = max(1, CHUNK // len(i))
+        for a in range(0, len(each), step):
+            part = each[a : a + step]
             seen, times = np.unique(part[:, i].ravel() * m + part[:, j].ravel(), return_counts=True)
             common[seen // m, seen % m] += times
             common[seen % m, seen // m] += times
@@ -214,19 +218,26 @@ def exact_links(docs: DataFrame, members: DataFrame) -> DataFrame:
                 part = batch.slice(a, b - a)
                 cls, copies, block = (part[c].to_numpy() for c in ("cls", "copies", "block"))
                 shingles, first = shingle_sets(part["text"].to_pylist())
-                n = np.diff(first)
-                common = likenesses(shingles, first)
-                like = LIKENESS[0] * common >= LIKENESS[1] * (n[:, None] + n[None, :])
-                np.fill_diagonal(like, False)
-                if len(np.unique(block)) > 1:
-                    like &= block[:, None] != block[None, :]
-                out.append(np.stack([cls, like @ copies, cls[roots(like, cls)]], axis=1))
+                like = alike(likenesses(shingles, first), np.diff(first), block)
+                links = np.array([copies[row].sum() for row in like])
+                out.append(np.stack([cls, links, cls[roots(like, cls)]], axis=1))
             table = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([pa.array(table[:, k].astype(np.int64)) for k in range(3)], ["cls", "links", "root"])
 
     return rows.repartition("group").sortWithinPartitions("group").mapInArrow(compare, "cls long, links long, root long")
 
 
+def alike(common: np.ndarray, n: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Which pairs are linked: in a single block all, of two blocks those across."""
+    like, two = np.zeros(common.shape, bool), len(np.unique(block)) > 1
+    for i, row in enumerate(common):
+        like[i] = LIKENESS[0] * row >= LIKENESS[1] * (n[i] + n)
+        like[i, i] = False
+        if two:
+            like[i] &= block != block[i]
+    return like
+
+
 def roots(like: np.ndarray, cls: np.ndarray) -> np.ndarray:
     """For each row the row of the least cls in its connected component."""
     found, left = np.full(len(cls), -1), np.argsort(cls, kind="stable")
