@@ -103,6 +103,7 @@ def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     shared = windows.groupBy("one", "two").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("one", "two", "least")
     shared = materialize(shared, "shared")
     later = windows.join(shared, ["one", "two"]).filter("doc_id > least").groupBy("doc_id", "_hash").agg(F.collect_list("start").alias("starts"))
+    later = materialize(later, "later")  # so that the windows' shuffle is gone when the texts are joined
     return known.select("doc_id", "_hash", "gone").join(later, ["doc_id", "_hash"], "full")
 
 
