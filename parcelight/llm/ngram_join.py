@@ -217,8 +217,9 @@ def exact_links(docs: DataFrame, members: DataFrame) -> DataFrame:
             for a, b in zip(bounds, bounds[1:]):
                 part = batch.slice(a, b - a)
                 cls, copies, block = (part[c].to_numpy() for c in ("cls", "copies", "block"))
+                own = part["own"][0].as_py()
                 shingles, first = shingle_sets(part["text"].to_pylist())
-                like = alike(likenesses(shingles, first), np.diff(first), block)
+                like = alike(likenesses(shingles, first), np.diff(first), block, own)
                 links = np.array([copies[row].sum() for row in like])
                 out.append(np.stack([cls, links, cls[roots(like, cls)]], axis=1))
             table = np.concatenate(out)
@@ -227,13 +228,13 @@ def exact_links(docs: DataFrame, members: DataFrame) -> DataFrame:
     return rows.repartition("group").sortWithinPartitions("group").mapInArrow(compare, "cls long, links long, root long")
 
 
-def alike(common: np.ndarray, n: np.ndarray, block: np.ndarray) -> np.ndarray:
-    """Which pairs are linked: in a single block all, of two blocks those across."""
-    like, two = np.zeros(common.shape, bool), len(np.unique(block)) > 1
+def alike(common: np.ndarray, n: np.ndarray, block: np.ndarray, own: bool) -> np.ndarray:
+    """Which pairs are linked: in a block's own group all, in a group of two blocks those across (none if one is empty)."""
+    like = np.zeros(common.shape, bool)
     for i, row in enumerate(common):
         like[i] = LIKENESS[0] * row >= LIKENESS[1] * (n[i] + n)
         like[i, i] = False
-        if two:
+        if not own:
             like[i] &= block != block[i]
     return like
 

@@ -74,6 +74,12 @@ def test_blocks_and_crowded_nodes(make_docs, monkeypatch):
     check(make_docs([t for _, t in docs], [i for i, _ in docs]), docs)
 
 
+def test_empty_blocks(make_docs, monkeypatch):
+    docs = [(2 * g + k, " ".join(f"w{g}x{i}" for i in range(60)) + " end" * k) for g in range(12) for k in range(2)]
+    monkeypatch.setattr(N, "BLOCK_SHINGLES", 60)  # two blocks for each pair, which often share one of them
+    check(make_docs([t for _, t in docs], [i for i, _ in docs]), docs)
+
+
 def test_corpus(corpus, texts):
     check(corpus, list(texts.items()))
 
