@@ -61,13 +61,16 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-#: Generators of further candidates; kind, what a text must hold for a search to be worth while, pattern.
+_H = "[0-9A-Fa-f]{1,4}"
+_COMPRESSED = f"(?:{_H}(?::{_H}){{0,6}})?::(?:{_H}(?::{_H}){{0,6}})?"
+_AT, _DOT = r"[(\[]\x20?(?i:at)\x20?[)\]]", r"[(\[]\x20?(?i:dot)\x20?[)\]]"
+#: Generators of further candidates; kind, what a text must hold for a search to be worth while (None: a digit), pattern.
 GENERATORS = (
     ("local_phone", None, re.compile(r"(?<![\w+.-])\(?[0-9]{2,4}\)?[\x20./-]?[0-9]{3}[\x20.-][0-9]{2,4}(?:[\x20.-][0-9]{2,4})?(?![\w-])")),
-    ("national_id", "-", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
+    ("national_id", re.compile("-[0-9]"), re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
     ("iban", None, re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w)")),
-    ("ipv6", "::", re.compile(r"(?<![\w:])[0-9A-Fa-f]{1,4}(?::{1,2}[0-9A-Fa-f]{1,4}){2,7}(?![\w:])")),
-    ("spelled_email", "at", re.compile(r"[A-Za-z0-9._-]{2,40}\x20?[(\[]\x20?at\x20?[)\]]\x20?[A-Za-z0-9-]{2,40}(?:\x20?(?:[(\[]\x20?dot\x20?[)\]]|\.)\x20?[A-Za-z]{2,10})+")),
+    ("ipv6", re.compile(":"), re.compile(rf"(?<![\w:])(?:(?:{_H}:){{7}}{_H}|(?=:*[0-9A-Fa-f]){_COMPRESSED})(?![\w:])")),
+    ("spelled_email", re.compile(_AT), re.compile(rf"[A-Za-z0-9._-]{{2,40}}\x20?{_AT}\x20?[A-Za-z0-9-]{{2,40}}(?:\x20?(?:{_DOT}|\.)\x20?[A-Za-z]{{2,10}})+")),
 )
 KINDS = [kind for kind, *_ in GENERATORS]
 _HINTS = tuple(
@@ -88,7 +91,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     return [
         (kind, m.start(), m.end())
         for kind, needed, pattern in GENERATORS
-        if (needed in text if needed else has_digit) and (has_digit or kind == "spelled_email")
+        if (needed.search(text) if needed else has_digit)
         for m in pattern.finditer(text)
     ]
 
@@ -103,6 +106,7 @@ def describe(text: str, kind: str, start: int, end: int) -> list[float]:
     digits = only_digits(own)
     groups = [len(g) for g in re.findall(r"[0-9]+", own)]
     compact = own.replace(" ", "")
+    parts = own.split(":")
     mod97 = 0.0
     if kind == "iban":
         mod97 = float(int("".join(str(int(c, 36)) for c in compact[4:] + compact[:4])) % 97 == 1)
@@ -116,6 +120,12 @@ def describe(text: str, kind: str, start: int, end: int) -> list[float]:
         len(set(re.findall(r"[^A-Za-z0-9]", own))),
         float("(" in own),
         float("." in own),
+        float("dot" in own.lower()),
+        float(". " in own),
+        len(parts) if kind == "ipv6" else 0,
+        max(map(len, parts)) if kind == "ipv6" else 0,
+        sum(len(p) == 2 for p in parts) if kind == "ipv6" else 0,
+        float("::" in own),
         len(set(digits)),
         mod97,
         float(kind == "national_id" and digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000"),
@@ -134,6 +144,23 @@ def _iban(rng: np.random.Generator, valid: bool) -> str:
     return f"DE{(check if valid else 1 + (check + rng.integers(1, 90)) % 97):02d}{body}"
 
 
+def _ipv6(rng: np.random.Generator, right: bool) -> str:
+    """Full and compressed addresses of varied prefixes; or clock times, hardware ids and qualified names."""
+    group = lambda: f"{rng.integers(1, 65536):{rng.choice(['x', '04x', 'X'])}}"
+    groups = lambda low, high: ":".join(group() for _ in range(rng.integers(low, high)))
+    two = lambda k, form: ":".join(f"{rng.integers(100 if form == '02d' else 256):{form}}" for _ in range(k))
+    if not right:
+        word = lambda: str(rng.choice(["add", "bad", "face", "dead", "fade", "feed", "dec", "ace", "Cab", "Bed"]))
+        forms = [lambda: f"{two(2, '02d')}::{two(1, '02d')}", lambda: two(8, "02x"), lambda: two(8, "02d"), lambda: f"::{word()}", lambda: f"{word()}::{word()}", lambda: f"{word()}::"]
+        return forms[rng.integers(len(forms))]()
+    head = rng.choice(["2001:db8", "2001:0db8", "2a00:1450", "2600:1f18", "2400:cb00", "fe80", "fd12:3456", "2003", group()])
+    rest = 8 - len(head.split(":"))
+    zeros = lambda: ":".join(rng.choice(["0", group()]) for _ in range(rest))
+    padded = lambda: ":".join(rng.choice(["0000", f"{rng.integers(65536):04x}"]) for _ in range(rest))
+    forms = [lambda: f"{head}:{groups(rest, rest + 1)}", lambda: f"{head}:{zeros()}", lambda: f"{head}:{padded()}", lambda: f"{head}::{groups(1, rest)}", lambda: f"{head}:{groups(1, rest - 1)}::{group()}", lambda: f"{head}:{groups(1, rest)}::", lambda: f"::{groups(2, 7)}"]
+    return forms[rng.integers(len(forms))]()
+
+
 def examples(n: int = 6000, seed: int = 7) -> list[tuple[str, str, int, int, int]]:
     """(text, kind, start, end, label): spans in invented contexts, right ones and look-alikes."""
     rng = np.random.default_rng(seed)
@@ -162,10 +189,11 @@ def examples(n: int = 6000, seed: int = 7) -> list[tuple[str, str, int, int, int
         elif kind == "iban":
             own, cue = _iban(rng, right), rng.choice(["", *hints[2]])
         elif kind == "ipv6":
-            own = "2001:db8::" + ":".join(f"{rng.integers(1, 65535):x}" for _ in range(rng.integers(2, 5))) if right else f"{d(2)}:{d(2)}::{d(2)}"
+            own = _ipv6(rng, right)
             cue = rng.choice(["", *hints[3]]) if right else rng.choice(["", "at", *against])
         else:
-            own = f"{word()}.{word()} (at) {word()} (dot) com" if right else f"{word()} (at) {word()}. {word()}"
+            at, dot = (rng.choice([f"({w})", f"[{w}]", f"( {w} )"]) for w in [("at", "dot"), ("AT", "DOT"), ("At", "Dot")][rng.integers(3)])
+            own = f"{word()}.{word()} {at} {word()} {dot} com" if right else f"{word()} {at} {word()}. {word()}"
             cue = rng.choice(hints[4]) if right else ""
         head = f"{rng.choice(filler)} {word()} {cue} "
         tail = rng.choice([" ", ", ", ". ", "\n"]) + rng.choice(filler)

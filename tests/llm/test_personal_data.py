@@ -69,6 +69,19 @@ def test_held_out_candidates():
     assert right / (right + wrong) > 0.95 and right / (right + missed) > 0.8
 
 
+def test_all_forms_of_addresses():
+    model, found = P.train(), lambda t: [(k, t[a:b]) for k, a, b in P.candidates(t)]
+    forms = [("ipv6", a) for a in ("2001:0db8:85a3:0000:0000:8a2e:0370:7334", "2a00:1450:4001:81b::200e", "2001:db8:85a3::", "::ffff:c000:280", "fdab:cdef::cafe")]
+    forms += [("spelled_email", a) for a in ("jo.smith (AT) example (DOT) com", "jo.smith [At] example [Dot] com", "jo.smith (at) example (dot) com")]
+    for kind, own in forms:
+        text = f"write to the host {own}, they wrote"
+        assert (kind, own) in found(text)
+        score = model.trees.probability(np.array([P.describe(text, kind, text.index(own), text.index(own) + len(own))]))[0]
+        assert score >= model.thresholds[kind], own
+    for text in ("std::vector at 12:30:45", "a :: b", "12:34:56:78"):
+        assert not found(text)
+
+
 def test_redaction(spark, make_docs):
     docs = P.find_personal_data(make_docs(["é mail a@b.co or +1 555 123 4567!", "none"]))
     got = [r[0] for r in docs.select(P.redact(docs["text"], docs["base"])).collect()]
