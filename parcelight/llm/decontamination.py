@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import materialize, table
 
 WINDOW = 13
 BLOCK_CHARS = 64 << 20
@@ -95,24 +95,26 @@ def join_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list[list[tuple[int, str]]]:
-    """The benchmark's items in blocks of a bounded size, each small enough for every task to hold. One block unless
-    the texts exceed block_chars; null items and texts have no windows."""
+def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list[DataFrame]:
+    """The benchmark's items in blocks of a bounded size, each small enough for every task to hold; nothing is
+    collected yet. One block unless the texts exceed block_chars; null items and texts have no windows."""
     items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
     total = items.agg(F.sum(F.length("text"))).head()[0] or 0
     n = max(1, -(-total // block_chars))
     part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
-    return [[(r["item_id"], r["text"]) for r in items.filter(part == k).collect()] for k in range(n)]
+    return [items.filter(part == k) for k in range(n)]
 
 
 def search(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs with `_found`, a struct of the number of words, the joined intervals of hit words and the items' ids.
 
-    A map over the documents for each block of the benchmark: no shuffle, rows stay as they are.
+    A map over the documents for each block of the benchmark: no shuffle, rows stay as they are. Each further block is a
+    pass of its own over the stored result of the one before, so that driver and tasks hold one block at a time.
     """
     found = docs.withColumn("_found", F.lit(None).cast("struct<n:long,spans:array<array<int>>,items:array<string>>"))
-    for items in item_blocks(benchmark, block_chars):
-        found = found.withColumn("_found", searcher(items)("text", "_found"))
+    for k, block in enumerate(item_blocks(benchmark, block_chars)):
+        found = materialize(found, "spans") if k else found
+        found = found.withColumn("_found", searcher([(r["item_id"], r["text"]) for r in block.collect()])("text", "_found"))
     return found
 
 

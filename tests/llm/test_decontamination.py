@@ -43,6 +43,15 @@ def test_corpus(spark, corpus, texts, block_chars):
         assert r["contaminated"] == (hit > 0 and 20 * hit >= n)
 
 
+def test_one_block_at_a_time(spark, make_docs):
+    bench = spark.createDataFrame([(i, f"first{i} second{i} third{i}") for i in range(12)], "item_id long, text string")
+    docs = make_docs(["a first3 second3 third3 b first7 second7 third7", "first1 second2 third3"])
+    assert len(D.item_blocks(bench, 100)) > 2
+    found = D.find_contamination(docs, bench, 100)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("find(") == 1
+    assert sorted((r["n_hit"], r["item_ids"]) for r in found.collect()) == [(0, []), (6, ["3", "7"])]
+
+
 def test_query_columns(spark):
     rows = D.query(spark, "/root/testdata/sf0.001").collect()
     none = hashlib.sha256(b"").hexdigest()
