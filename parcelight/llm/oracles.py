@@ -64,11 +64,13 @@ SELECT d.doc_id, len(ls) AS n_lines, len(ls) - coalesce(n, 0) AS n_removed, sha2
 
 def _rule_sql(k: int) -> str:
     rule = RULES[k]
-    pattern = rule.pattern.replace("'", "''")
-    return f"""r{k} AS (SELECT doc_id, {k} AS k, '{rule.kind}' AS kind, s AS a, s + len(m) AS b FROM (
+    # RE2 can't look behind: the character before a rule that must stand alone is matched too and counted off.
+    pattern = (f"(?:^|[^{rule.alone}])({rule.pattern})" if rule.alone else rule.pattern).replace("'", "''")
+    group, lead = (1, "len(m) - len(g)") if rule.alone else (rule.group, "0")
+    return f"""r{k} AS (SELECT doc_id, {k} AS k, '{rule.kind}' AS kind, s + {lead} AS a, s + len(m) AS b FROM (
   SELECT doc_id, m, g, sum(len(gap)) OVER w + coalesce(sum(len(m)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (
     SELECT doc_id, unnest(range(1, len(ms) + 1)) AS i, unnest(ms) AS m, unnest(gs) AS g, unnest(gaps[1:len(ms)]) AS gap FROM (
-      SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, regexp_extract_all(t, '{pattern}', {rule.group}) AS gs, regexp_split_to_array(t, '{pattern}') AS gaps FROM d))
+      SELECT doc_id, regexp_extract_all(t, '{pattern}') AS ms, regexp_extract_all(t, '{pattern}', {group}) AS gs, regexp_split_to_array(t, '{pattern}') AS gaps FROM d))
   WINDOW w AS (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING)) WHERE len(g) >= {rule.least})"""
 
 

@@ -17,17 +17,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .names import unused
 from .trigrams import query_of
 
 
 @dataclass(frozen=True)
 class Rule:
-    """Leftmost, non-overlapping matches of pattern; those whose `group` is shorter than `least` are dropped."""
+    """Leftmost, non-overlapping matches of pattern; those whose `group` is shorter than `least` are dropped. No match
+    begins right after a character of the class `alone`, so that a run of them is tried once and not from each place."""
 
     kind: str
     pattern: str
     group: int = 0
     least: int = 0
+    alone: str = ""
 
 
 _NAMES = "password|passwd|secret|token|api_?key"
@@ -40,11 +43,11 @@ BASE = (
 )
 #: Public formats of credentials beyond the base.
 MORE = (
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN (?:[A-Z ]* )?PRIVATE KEY-----"),
     Rule("github", r"gh[opsu]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{20,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("url_login", r"[a-z][a-z0-9+]*://[^\s/:@]+:[^\s/:@]{6,}@[A-Za-z0-9.-]+"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", alone="A-Za-z0-9_-"),
+    Rule("url_login", r"[a-z][a-z0-9+]*://[^\s/:@]+:[^\s/:@]{6,}@[A-Za-z0-9.-]+", alone="A-Za-z0-9+"),
 )
 RULES = BASE + MORE
 #: A run of one character class: matches that are long enough are those of the bounded pattern, which skips the rest.
@@ -90,43 +93,69 @@ def matches(text: Column, rule: Rule) -> Column:
     The pieces between the matches and the matches themselves give the positions.
     """
     pattern = _BOUNDED[rule.pattern] % (rule.least - 4 * rule.pattern.startswith("AKIA")) if rule.pattern in _BOUNDED else rule.pattern
+    pattern = f"(?<![{rule.alone}]){pattern}" if rule.alone else pattern
     regex = F.lit(pattern)
     whole = F.transform(F.regexp_extract_all(text, regex, 0), lambda m: F.length(m))
     part = F.transform(F.regexp_extract_all(text, regex, rule.group), lambda m: F.length(m)) if rule.group else whole
     gaps = F.transform(F.split(text, pattern, -1), lambda p: F.length(p))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-    steps = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), part.alias("part"))
+    steps = F.filter(F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), part.alias("part")), lambda x: x["whole"].isNotNull())
+    found = F.filter(placed(steps), lambda s: s["part"] >= rule.least)
+    found = F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+
+
+def placed(steps: Column) -> Column:
+    """Array of (start, end, part) from (gap, whole, part): each match begins a gap after the one before ends.
+
+    A fold copies what it has gathered at every step. So the steps are folded in blocks of about the root of their number,
+    each from 0 on, and the blocks then moved to where the ones before end.
+    """
+    span = "array<struct<start:int,end:int,part:int>>"
 
     def step(state, x):
         start = state["at"] + x["gap"]
         end = start + x["whole"]
-        out = F.when(x["part"] >= rule.least, F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"))))).otherwise(state["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+        return F.struct(end.alias("at"), F.concat(state["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["part"].alias("part")))).alias("out"))
 
-    found = F.aggregate(F.filter(steps, lambda x: x["whole"].isNotNull()), zero, step)["out"]
-    return F.when(text.rlike(pattern), found).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+    def folded(block):
+        return F.aggregate(block, F.struct(F.lit(0).alias("at"), F.array().cast(span).alias("out")), step)
+
+    def blocks(all_steps):
+        size = F.greatest(F.ceil(F.sqrt(F.size(all_steps))).cast("int"), F.lit(1))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(all_steps) - 1) / size).cast("int")), lambda k: folded(F.slice(all_steps, k * size + 1, size)))
+
+    def move(state, block):
+        at = state["at"]
+        moved = F.transform(block["out"], lambda s: F.struct((s["start"] + at).alias("start"), (s["end"] + at).alias("end"), s["part"].alias("part")))
+        return F.struct((at + block["at"]).alias("at"), F.concat(state["out"], F.array(moved)).alias("out"))
+
+    once = F.element_at(F.transform(F.array(steps), blocks), 1)  # in a variable: the blocks read it again and again
+    moved = F.aggregate(once, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("out")), move)["out"]
+    return F.flatten(moved)
 
 
 def scan(spark: SparkSession, docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with `secrets`: array of (start, end, kind) by start, then the order of the rules.
 
     A null text counts as empty and has none. Repeated rows and ids are searched each on their own; other columns
-    stay. An empty table gives no rows.
+    stay, but one named `secrets` is replaced. Very long texts cost in proportion to their length. An empty table gives
+    no rows.
     """
+    key, own_rules = unused(docs, "_key", "_rules")
     rows = clause_rows(rules)
     indexed = {r for _, r, _, _ in rows}
     wanted = candidates(spark, build_index(docs, sorted({t for t, *_ in rows})), rules)
     none = F.array().cast("array<struct<start:int,end:int>>")
-    joined = docs.withColumn("_key", doc_key()).join(wanted.select(F.col("key").alias("_key"), F.col("rules").alias("_rules")), "_key", "left")
+    joined = docs.withColumn(key, doc_key()).join(wanted.select(F.col("key").alias(key), F.col("rules").alias(own_rules)), key, "left")
     text, spans = F.coalesce(F.col("text"), F.lit("")), []
     for r, rule in enumerate(rules):
         own = matches(text, rule)
         if r in indexed:
-            own = F.when(F.coalesce(F.col("_rules"), F.lit(0)).bitwiseAND(F.lit(1 << r)) != 0, own).otherwise(none)
+            own = F.when(F.coalesce(F.col(own_rules), F.lit(0)).bitwiseAND(F.lit(1 << r)) != 0, own).otherwise(none)
         spans.append(F.transform(own, with_rule(r)))
     kinds = F.array(*[F.lit(rule.kind) for rule in rules])
     found = F.transform(F.array_sort(F.concat(*spans)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.get(kinds, s["rule"]).alias("kind")))
-    return joined.withColumn("secrets", found).drop("_key", "_rules")
+    return joined.withColumn("secrets", found).drop(key, own_rules)
 
 
 def with_rule(number: int):
