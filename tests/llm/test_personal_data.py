@@ -2,6 +2,8 @@ import hashlib
 import re
 
 import numpy as np
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from parcelight.llm import personal_data as P
 
@@ -11,7 +13,7 @@ def brute(text):
     for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text):
         out.append(("email", m.start(), m.end()))
     for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
-        if max(map(int, m[0].split("."))) <= 255:
+        if all(len(p.lstrip("0")) < 4 and int(p[-3:]) <= 255 for p in m[0].split(".")):
             out.append(("ip", m.start(), m.end()))
     for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
         d = [int(c) for c in m[0] if c.isdigit()][::-1]
@@ -86,3 +88,38 @@ def test_redaction(spark, make_docs):
     docs = P.find_personal_data(make_docs(["é mail a@b.co or +1 555 123 4567!", "none"]))
     got = [r[0] for r in docs.select(P.redact(docs["text"], docs["base"])).collect()]
     assert got == ["é mail <email> or <phone>!", "none"]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="a1.@+-_ (25", max_size=60))
+def test_linear_search_equals_the_patterns(text):
+    for kind, pattern in P.BASE.items():
+        assert [m.span() for m in P.searched(kind, text)] == [m.span() for m in pattern.finditer(text)]
+    assert P.base_spans(text) == brute(text)
+
+
+LONG = {
+    "digits": "7" * 1_000_000,
+    "letters": "x" * 1_000_000 + "@" + "y" * 1_000_000,
+    "dots": "a@b" + ".c" * 400_000 + " " + "1." * 400_000,
+    "zeros": "0" * 450 + "1.2.3.4 " + "1" * 500 + ".2.3.4",
+    "phones": "+1 " + "(" * 500_000 + "+1" * 200_000,
+    "spaces": " " * 1_000_000,
+    "numbers": "(555) 123-4567, " * 20_000,
+    "colons": ":" * 300_000 + "a:" * 200_000,
+}
+
+
+def test_long_runs(make_docs):
+    rows = P.find_personal_data(make_docs([*LONG.values()])).collect()
+    found = {list(LONG)[r["doc_id"]]: (triples(r["base"]), triples(r["more"])) for r in rows}
+    assert found["digits"][0] == found["letters"][0] == found["spaces"][0] == []
+    assert found["dots"][0][:1] == [("email", 0, 3 + 800_000)] and len(found["dots"][0]) == 1 + 100_000
+    assert found["zeros"][0] == [("ip", 0, 457)]
+    assert len(found["numbers"][1]) in (0, 20_000)
+
+
+def test_clashing_names(make_docs):
+    docs = make_docs(["a@b.co"], _found="kept", base="x")
+    row = P.find_personal_data(docs).collect()[0]
+    assert row["_found"] == "kept" and triples(row["base"]) == [("email", 0, 6)]
