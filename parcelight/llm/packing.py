@@ -25,6 +25,8 @@ from .ranking import gapless_rank
 
 CAPACITY = 1024
 END_ID = 2
+#: Parts of a length in which ranks are counted: at least so many, and more beyond so many pieces a part.
+LEAST_PARTS, RANKED_ROWS = 64, 20_000
 SPECIAL = "<|endoftext|>"
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -56,7 +58,8 @@ def merge_ranks(path: str) -> dict[bytes, int] | None:
 
 class Encoder:
     """Ids of whole texts as unsigned 32-bit numbers, those of the tokenizer file. The merging itself runs in tiktoken,
-    which is several times faster; texts that name a special token, and files that it can't express, go to tokenizers."""
+    which is several times faster; texts that name a special token, those that it refuses (very long runs of white space)
+    and files that it can't express go to tokenizers."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -69,9 +72,12 @@ class Encoder:
             self.fast = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def ids(self, text: str) -> np.ndarray:
-        if self.fast is None or SPECIAL in text:
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+        if self.fast is not None and SPECIAL not in text:
+            try:
+                return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4")
+            except ValueError:  # its splitting expression ran out of backtracking stack
+                pass
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
 
 def cut(total: int, capacity: int) -> list[tuple[int, int]]:
@@ -85,7 +91,7 @@ def cut(total: int, capacity: int) -> list[tuple[int, int]]:
 def token_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """A row per piece: doc_id, piece, start, length, ids_crc32 and, if asked for, ids (array of int).
 
-    A null or empty text is the end id alone. Repeated rows give repeated pieces. Columns besides doc_id and text are
+    A null or empty text is the end id alone. Texts of any length are encoded whole. Repeated rows give repeated pieces. Columns besides doc_id and text are
     not read.
     """
     path = tokenizer or default_tokenizer()
@@ -151,12 +157,14 @@ def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple
     return plan
 
 
-def pack(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY, spread: int = 64) -> DataFrame:
+def pack(spark: SparkSession, pieces: DataFrame, capacity: int = CAPACITY, rows: int = RANKED_ROWS) -> DataFrame:
     """Adds sequence_id and offset to pieces (which is read twice: pass a stored table).
 
-    The plan has a few rows per length, whatever the number of pieces, so it can be broadcast. No pieces: no rows.
+    The plan has a few rows per length, whatever the number of pieces, so it can be broadcast. Ranks within a length are
+    counted in parts of about `rows` pieces, as many as the commonest length needs. No pieces: no rows.
     """
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}
+    spread = max(LEAST_PARTS, -(-max(histogram.values(), default=0) // rows))
     plan = spark.createDataFrame(
         plan_bins(histogram, capacity) or [(0, 0, 0, 0, 1, 0)],
         "length long, first_rank long, end_rank long, first_sequence long, each long, first_offset long",

@@ -74,3 +74,16 @@ def test_odd_rows(spark, make_docs, tokenizer):
     assert len({(r["sequence_id"], r["offset"]) for r in twice}) == 2
     ids = P.token_pieces(make_docs(["a b"]), keep_ids=True).collect()[0]["ids"]
     assert ids == [*tokenizer.encode("a b").ids, 2]
+
+
+def test_long_runs(spark, make_docs, tokenizer):
+    texts = dict(enumerate([" " * 1_000_000, "\n" * 1_000_000, "a" * 1_000_000, "7" * 1_000_000, "x " * 500_000, " " * 400_000 + "x"]))
+    check(P.packed(spark, make_docs(list(texts.values()))).collect(), texts, tokenizer, P.CAPACITY)
+
+
+def test_common_length_in_many_parts(spark, make_docs, tokenizer):
+    texts = dict(enumerate(["a b"] * 900 + ["a b c"] * 40))
+    pieces = P.token_pieces(make_docs(list(texts.values()))).cache()
+    rows = P.pack(spark, pieces, rows=5).collect()  # 180 parts
+    n, tokens = check(rows, texts, tokenizer, P.CAPACITY)
+    assert n == -(-tokens // P.CAPACITY)
