@@ -1,13 +1,16 @@
 """Line dedup by a log-template tree.
 
 A line descends a tree of fixed depth: first by its number of tokens, then by its leading tokens, where tokens with a
-digit count as variable. In the leaf, a line's template is the line with variable fields generalised, in two grades:
-every token with a digit is a field; and, where most lines of the leaf have one token at a position, it is fixed and all others
-are fields. Templates that recur across documents are boilerplate, and their lines are dropped.
+digit count as variable. Templates generalise lines in two grades: every token with a digit is a field; and, in a leaf,
+a token that is frequent at its position (a tenth of the leaf's lines) is fixed and all others are fields, so that a leaf
+holds as many templates as there are combinations of frequent tokens. Lines of less than three tokens have the first
+grade only. Templates that recur across documents are boilerplate, and their lines are dropped.
 
-To recur, a template must stand in at least `least` different surroundings (the lines before and after it), and in at
-least half as many as there are documents with it. That tells boilerplate, which stands in ever different surroundings, from copied documents, whose lines keep
-their neighbours and stay: dropping copies is a matter for deduplication of documents.
+To recur, a template must stand in at least `least` different texts that have something of their own. Copies of documents
+share nearly all of their parts and prove nothing about a line: texts are cut into pieces of a few words that end with
+punctuation, and a text has something of its own if a sixth of its pieces or more occur less than `least` times. (Of two
+texts at the near-duplicate likeness of 0.8 a ninth is different.) Dropping copies is a matter for deduplication of
+documents. More copies of a text never make a template less frequent.
 
 All of it is DataFrame expressions. Groups are counted with partial aggregation, so a template that a third of all
 documents hold costs a row per task.
@@ -19,9 +22,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, table
+from .names import unused
 
 LEAST_DOCUMENTS, LEAST_TOKENS, DEPTH = 5, 3, 2
-FIXED, ALIKE = 0.5, 0.75
+#: Share of a leaf's lines from which a token is fixed, fixed tokens of a line in its template, and own pieces of a text
+#: (the last as a number of pieces per own one).
+FREQUENT, ALIKE, OWN = 0.1, 0.75, 6
+#: A character of a word, and white space within a line.
+W, S = r"[^\x20\x09-\x0D]", r"[\x20\x09\x0B-\x0D]"
+#: Up to eight words, ending after the first word from the third on that ends with punctuation.
+PIECE = rf"(?:{W}+{S}+){{0,2}}(?:{W}*[^\x20\x09-\x0D.,;:!?]{S}+){{0,5}}{W}+{S}*"
+_SPACES = " \t\x0b\x0c\r"
 
 
 def text_lines() -> Column:
@@ -29,93 +40,111 @@ def text_lines() -> Column:
 
 
 def masked(line: Column) -> Column:
-    """The line without outer spaces, tokens with a digit generalised. Tokens are what single spaces part."""
-    trimmed = F.trim(line)
-    return F.when(trimmed.rlike("[0-9]"), F.regexp_replace(trimmed, r"[^\s]*[0-9][^\s]*", "<*>")).otherwise(trimmed)
+    """The line without outer white space, tokens with a digit generalised."""
+    trimmed = F.trim(line, F.lit(_SPACES))
+    return F.when(trimmed.rlike("[0-9]"), F.regexp_replace(trimmed, rf"(?<!{W}){W}*[0-9]{W}*", "<*>")).otherwise(trimmed)
+
+
+def tokens_of(line: Column) -> Column:
+    return F.split(masked(line), f"{S}+")
 
 
 def parse_lines(docs: DataFrame, depth: int = DEPTH, least_tokens: int = LEAST_TOKENS) -> DataFrame:
-    """A row per line with enough tokens: doc_id and _text (a hash of the text) of its document, _at (its number), _leaf,
-    _template and _around (a hash of the lines before and after)."""
-    lines = docs.select("doc_id", F.xxhash64("text").alias("_text"), text_lines().alias("_lines"))
-    before = F.concat(F.array(F.lit(None).cast("string")), F.col("_lines"))  # one longer: its last row has no line
-    after = F.slice("_lines", 2, F.size("_lines"))
-    rows = lines.select("doc_id", "_text", F.posexplode(F.arrays_zip(F.col("_lines").alias("line"), before.alias("before"), after.alias("after"))).alias("_at", "_l"))
-    line = F.col("_l.line")
-    tokens = F.length(F.trim(line)) - F.length(F.replace(F.trim(line), F.lit(" "), F.lit(""))) + 1
-    leaf = F.xxhash64(tokens, F.substring_index(masked(line), " ", depth))
-    return rows.filter(tokens >= least_tokens).select("doc_id", "_text", "_at", F.xxhash64("_l.before", "_l.after").alias("_around"), leaf.alias("_leaf"), F.xxhash64(masked(line)).alias("_template"))
-
-
-def recurring(lines: DataFrame, template: str, least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """The templates that occur in `least` different surroundings or more, which are at least half as many as the documents
-    that have them; a document counts where it has the template first."""
-    per_document = lines.groupBy(template, "doc_id", "_text").agg(F.min_by("_around", "_at").alias("_around"))
-    per_place = per_document.groupBy(template, "_around").agg(F.count("*").alias("n"))
-    seen = per_place.groupBy(template).agg(F.sum("n").alias("documents"), F.count("*").alias("places"))
-    return seen.filter((F.col("places") >= least) & (2 * F.col("places") >= F.col("documents"))).select(template)
-
-
-def crowded(docs: DataFrame, lines: DataFrame, least: int) -> DataFrame:
-    """The lines of leaves that hold `least` lines or more, with the leaf's _size and the hashes of the _tokens."""
-    sizes = lines.groupBy("_leaf").agg(F.count("*").alias("_size")).filter(F.col("_size") >= least)
-    wanted = lines.join(sizes, "_leaf").groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash")).agg(F.collect_set(F.struct("_at", "_around", "_leaf", "_size")).alias("_l"))
+    """A row per line with a letter outside its fields: doc_id and _text (a hash of the text) of its document, _at (its
+    number), _template and _leaf (null for lines of too few tokens)."""
+    rows = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.posexplode(text_lines()).alias("_at", "_line"))
+    tokens = tokens_of(F.col("_line"))
+    leaf = F.when(F.size(tokens) >= least_tokens, F.xxhash64(F.size(tokens), *[F.get(tokens, F.lit(k)) for k in range(depth)]))
+    return rows.filter(masked(F.col("_line")).rlike(r"\p{L}")).select("doc_id", "_text", "_at", leaf.alias("_leaf"), F.xxhash64(masked(F.col("_line"))).alias("_template"))
+
+
+def own_texts(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
+    """_text of the texts that have something of their own."""
+    each = F.transform(F.regexp_extract_all("text", F.lit(PIECE), F.lit(0)), lambda p: F.xxhash64(p))
+    pieces = materialize(docs.select(F.xxhash64("text").alias("_text"), F.explode(each).alias("_piece")), "pieces")
+    common = materialize(pieces.groupBy("_piece").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select("_piece"), "common")
+    shared = pieces.join(common, "_piece", "left_semi").groupBy("_text").agg(F.count("*").alias("_shared"))
+    whole = pieces.groupBy("_text").agg(F.count("*").alias("_whole")).join(shared, "_text", "left")
+    return whole.filter(OWN * (F.col("_whole") - F.coalesce("_shared", F.lit(0))) >= F.col("_whole")).select("_text")
+
+
+def recurring(lines: DataFrame, template: str, own: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
+    """The templates that occur in `least` or more of the own texts."""
+    seen = lines.select(template, "_text").distinct().join(own, "_text", "left_semi")
+    return seen.groupBy(template).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select(template)
+
+
+def crowded(docs: DataFrame, lines: DataFrame, own: DataFrame, least: int) -> DataFrame:
+    """The lines of leaves that hold `least` lines of own texts or more, with the leaf's _size (their number), whether
+    the text is its _own, and the hashes of the _tokens."""
+    rest = lines.filter("_leaf is not null").join(own.withColumn("_own", F.lit(True)), "_text", "left")
+    sizes = rest.groupBy("_leaf").agg(F.count("_own").alias("_size")).filter(F.col("_size") >= least)
+    wanted = rest.join(sizes, "_leaf").groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash")).agg(F.first("_own").alias("_own"), F.collect_set(F.struct("_at", "_leaf", "_size")).alias("_l"))
     joined = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
-    each = joined.select("doc_id", F.col("_hash").alias("_text"), text_lines().alias("_lines"), F.explode("_l").alias("_l")).select("doc_id", "_text", "_l.*", F.get("_lines", F.col("_l._at")).alias("_line"))
-    return each.select("doc_id", "_text", "_at", "_around", "_leaf", "_size", F.transform(F.split(masked(F.col("_line")), " "), lambda w: F.hash(w)).alias("_tokens"))
+    each = joined.select("doc_id", "_hash", "_own", text_lines().alias("_lines"), F.explode("_l").alias("_l")).select("doc_id", F.col("_hash").alias("_text"), "_own", "_l.*", F.get("_lines", F.col("_l._at")).alias("_line"))
+    return each.select("doc_id", "_text", "_own", "_at", "_leaf", "_size", F.transform(tokens_of(F.col("_line")), lambda w: F.hash(w)).alias("_tokens"))
 
 
-def generalised(lines: DataFrame) -> DataFrame:
-    """The lines that agree with their leaf's fixed tokens at three quarters of the positions."""
-    tokens = lines.select("_leaf", "_size", F.posexplode("_tokens").alias("_pos", "_token"))
-    counted = tokens.groupBy("_leaf", "_size", "_pos", "_token").agg(F.count("*").alias("n"))
-    fixed = counted.filter(F.col("n") > FIXED * F.col("_size")).groupBy("_leaf", "_pos").agg(F.max(F.struct("n", "_token"))["_token"].alias("_token"))
-    tree = fixed.groupBy("_leaf").agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_token"))).alias("_fixed"))
-    agree = F.aggregate(F.transform("_tokens", lambda t, i: F.try_element_at("_fixed", i).eqNullSafe(t).cast("int")), F.lit(0), lambda a, b: a + b)
+def generalised(lines: DataFrame, least: int) -> DataFrame:
+    """The lines of which three quarters of the tokens are frequent at their positions in the leaf's own texts, with the
+    _group of those that have the same ones."""
+    tokens = lines.filter("_own").select("_leaf", "_size", F.posexplode("_tokens").alias("_pos", "_token"))
+    counted = tokens.groupBy("_leaf", "_size", "_pos", "_token").agg(F.count("*").alias("_n"))
+    fixed = counted.filter(F.col("_n") >= F.greatest(F.lit(least), FREQUENT * F.col("_size"))).groupBy("_leaf", "_pos").agg(F.collect_set("_token").alias("_fixed"))
+    tree = fixed.groupBy("_leaf").agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_fixed"))).alias("_fixed"))
     # Stored, so that the lines of a crowded leaf are joined by a plain exchange on either side, which Spark can split.
-    return lines.join(materialize(tree, "tree"), "_leaf").filter(agree >= ALIKE * F.size("_tokens")).select("doc_id", "_text", "_at", "_around", "_leaf")
+    joined = lines.join(materialize(tree, "tree"), "_leaf")
+    kept = F.transform("_tokens", lambda t, i: F.when(F.array_contains(F.try_element_at("_fixed", i), t), t))
+    told = joined.select("doc_id", "_text", "_at", "_leaf", kept.alias("_kept"))
+    alike = told.filter(F.size(F.array_compact("_kept")) >= ALIKE * F.size("_kept"))
+    return alike.select("doc_id", "_text", "_at", F.xxhash64("_leaf", F.transform("_kept", lambda t: F.struct(t))).alias("_group"))
 
 
 def boilerplate(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """doc_id, _text and _drop: the numbers of the lines to drop, for each document that has any.
 
-    Lines whose own template recurs go first; the leaves' fixed tokens are found among the others.
+    Lines whose own template recurs go first; the leaves' templates are found among the others.
     """
+    own = materialize(own_texts(docs, least), "own")
     lines = materialize(parse_lines(docs), "lines")
-    known = materialize(recurring(lines, "_template", least), "templates")
+    known = materialize(recurring(lines, "_template", own, least), "templates")
     same = lines.join(known, "_template", "left_semi")
-    alike = generalised(materialize(crowded(docs, lines.join(known, "_template", "left_anti"), least), "leaves"))
+    alike = generalised(materialize(crowded(docs, lines.join(known, "_template", "left_anti"), own, least), "leaves"), least)
     alike = materialize(alike, "alike")
-    near = alike.join(recurring(alike, "_leaf", least), "_leaf", "left_semi")
+    near = alike.join(recurring(alike, "_group", own, least), "_group", "left_semi")
     both = same.select("doc_id", "_text", "_at").union(near.select("doc_id", "_text", "_at"))
     return both.groupBy("doc_id", "_text").agg(F.collect_set("_at").alias("_drop"))
 
 
-def judge(docs: DataFrame, least: int) -> DataFrame:
-    """docs with _kept (the shortened text), _lines and _removed (their numbers)."""
-    found = boilerplate(docs, least).withColumnsRenamed({"doc_id": "_id", "_text": "_hash"})
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
-    lines, drop = text_lines(), F.coalesce(F.col("_drop"), F.array().cast("array<int>"))
-    kept = F.when(F.size(drop) == 0, F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(drop, i)), "\n"))
-    numbers = {"_lines": F.size(lines).cast("long"), "_removed": F.size(drop).cast("long")}
-    return joined.withColumns({"_kept": kept} | numbers).drop("_id", "_hash", "_drop")
+def judge(docs: DataFrame, least: int) -> tuple[DataFrame, str, str, str]:
+    """docs with three columns more, and their names: the shortened text, the number of lines, that of dropped ones."""
+    kept, lines, removed, doc, text, drop = unused(docs, "_kept", "_lines", "_removed", "_id", "_hash", "_drop")
+    found = boilerplate(docs.select("doc_id", "text"), least).withColumnsRenamed({"doc_id": doc, "_text": text, "_drop": drop})
+    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(text)), "left")
+    gone = F.coalesce(F.col(drop), F.array().cast("array<int>"))
+    rest = F.transform(F.array(text_lines()), lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), drop), lambda i: F.get(ls, i)))
+    shorter = F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(F.element_at(rest, 1), "\n"))
+    numbers = {lines: F.size(text_lines()).cast("long"), removed: F.size(gone).cast("long")}
+    return joined.withColumns({kept: shorter} | numbers).drop(doc, text, drop), kept, lines, removed
 
 
 def drop_boilerplate(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """docs with `kept` (the text without boilerplate lines), `n_lines` and `n_removed`; columns of docs with these names
     are replaced.
 
-    Every row stays. A null text counts as empty (one empty line) and stays null; lines of fewer than three tokens stay.
-    Rows with the same id and text count as one document and lose the same lines; null ids are ids like any other.
+    Every row stays. A null text counts as empty (one empty line) and stays null; blank lines and lines without a letter
+    stay. Rows with the same id and text count as one document and lose the same lines; null ids are ids like any other.
+    An empty table gives no rows.
     """
-    shown = {"kept": F.col("_kept"), "n_lines": F.col("_lines"), "n_removed": F.col("_removed")}
-    return judge(docs, least).withColumns(shown).drop("_kept", "_lines", "_removed")
+    judged, *names = judge(docs, least)
+    return judged.withColumns(dict(zip(("kept", "n_lines", "n_removed"), map(F.col, names)))).drop(*names)
 
 
 def without_boilerplate(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """docs with the shortened text and its n_chars."""
-    shorter = {"text": F.col("_kept"), "n_chars": F.coalesce(F.length("_kept"), F.lit(0)).cast("long")}
-    return judge(docs, least).withColumns(shorter).select(*docs.columns)
+    judged, kept, *_ = judge(docs, least)
+    shorter = {"text": F.col(kept), "n_chars": F.coalesce(F.length(kept), F.lit(0)).cast("long")}
+    return judged.withColumns(shorter).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .line_dedup import PIECE, S, W
 from .secret_scan import BASE, RULES
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,20 +44,22 @@ SELECT d.doc_id, m AS class_id, coalesce(l, 0) AS n_links, coalesce(k, 0) AS n_c
 FROM d JOIN (SELECT a, min(m) AS m FROM reach GROUP BY 1) r ON r.a = d.doc_id LEFT JOIN (SELECT a, count(*) AS l, count(*) FILTER (same) AS k FROM link GROUP BY 1) c ON c.a = d.doc_id
 """
 
-LINES = r"""
+LINES = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-raw AS (SELECT doc_id, i, trim(ls[i], ' ') AS t, {'b': CASE WHEN i > 1 THEN ls[i - 1] END, 'a': CASE WHEN i < len(ls) THEN ls[i + 1] END} AS around FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
-line AS (SELECT doc_id, i, around, CASE WHEN regexp_matches(t, '[0-9]') THEN regexp_replace(t, '[^\s]*[0-9][^\s]*', '<*>', 'g') ELSE t END AS masked FROM raw),
-p AS (SELECT doc_id, i, around, masked, string_split(masked, ' ') AS w, {'n': len(string_split(masked, ' ')), 'lead': string_split(masked, ' ')[1:2]} AS leaf FROM line WHERE len(string_split(masked, ' ')) >= 3),
-known AS (SELECT masked FROM (SELECT masked, doc_id, arg_min(around, i) AS around FROM p GROUP BY ALL) GROUP BY masked HAVING count(DISTINCT around) >= 5 AND 2 * count(DISTINCT around) >= count(*)),
-rest AS (SELECT p.* FROM p ANTI JOIN known USING (masked)),
-crowd AS (SELECT leaf, count(*) AS size FROM rest GROUP BY 1 HAVING count(*) >= 5),
-inside AS (SELECT rest.*, size FROM rest JOIN crowd USING (leaf)),
-tok AS (SELECT doc_id, i, leaf, size, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM inside),
-fixed AS (SELECT leaf, k, x FROM tok GROUP BY leaf, size, k, x HAVING 2 * count(*) > size),
-alike AS (SELECT doc_id, i, leaf FROM tok JOIN fixed USING (leaf, k, x) GROUP BY doc_id, i, leaf HAVING count(*) >= 0.75 * any_value(leaf.n)),
-near AS (SELECT leaf FROM (SELECT leaf, doc_id, arg_min(around, i) AS around FROM alike JOIN p USING (doc_id, i, leaf) GROUP BY ALL) GROUP BY leaf HAVING count(DISTINCT around) >= 5 AND 2 * count(DISTINCT around) >= count(*)),
-gone AS (SELECT doc_id, i FROM p SEMI JOIN known USING (masked) UNION SELECT doc_id, i FROM alike SEMI JOIN near USING (leaf)),
+piece AS (SELECT text, unnest(regexp_extract_all(text, '{PIECE}')) AS p FROM d),
+common AS (SELECT p FROM piece GROUP BY 1 HAVING count(*) >= 5),
+own AS (SELECT text FROM piece LEFT JOIN common ON common.p = piece.p GROUP BY 1 HAVING 6 * (count(*) - count(common.p)) >= count(*)),
+raw AS (SELECT doc_id, i, text, text IN (SELECT text FROM own) AS own, regexp_replace(ls[i], '^{S}+|{S}+$', '', 'g') AS t FROM (SELECT doc_id, text, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+masks AS (SELECT doc_id, i, text, own, CASE WHEN regexp_matches(t, '[0-9]') THEN regexp_replace(t, '{W}*[0-9]{W}*', '<*>', 'g') ELSE t END AS masked FROM raw),
+p AS (SELECT *, regexp_split_to_array(masked, '{S}+') AS w FROM masks WHERE regexp_matches(masked, '\p{{L}}')),
+known AS (SELECT masked FROM p WHERE own GROUP BY 1 HAVING count(DISTINCT text) >= 5),
+rest AS (SELECT *, {{'n': len(w), 'lead': w[1:2]}} AS leaf FROM p ANTI JOIN known USING (masked) WHERE len(w) >= 3),
+crowd AS (SELECT leaf, count(*) FILTER (own) AS size FROM rest GROUP BY 1 HAVING count(*) FILTER (own) >= 5),
+tok AS (SELECT doc_id, i, text, own, leaf, size, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM rest JOIN crowd USING (leaf)),
+fixed AS (SELECT leaf, k, x FROM tok WHERE own GROUP BY leaf, size, k, x HAVING count(*) >= greatest(5, 0.1 * size)),
+alike AS (SELECT doc_id, i, any_value(text) AS text, any_value(own) AS own, leaf, list({{'k': k, 'x': x}} ORDER BY k) AS key FROM tok JOIN fixed USING (leaf, k, x) GROUP BY doc_id, i, leaf HAVING count(*) >= 0.75 * any_value(leaf.n)),
+near AS (SELECT leaf, key FROM alike WHERE own GROUP BY ALL HAVING count(DISTINCT text) >= 5),
+gone AS (SELECT doc_id, i FROM p SEMI JOIN known USING (masked) UNION SELECT doc_id, i FROM alike SEMI JOIN near USING (leaf, key)),
 kept AS (SELECT doc_id, count(*) AS n, string_agg(x, chr(10) ORDER BY i) AS t FROM (SELECT doc_id, ls[i] AS x, i FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)) ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
 SELECT d.doc_id, len(ls) AS n_lines, len(ls) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
 """

@@ -1,44 +1,73 @@
+import itertools
+import random
 import re
 from collections import Counter, defaultdict
 
 from parcelight.llm import line_dedup as L
 
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def pieces(text):
+    """Cut word by word: eight words at most, an end after punctuation from the third word on."""
+    out = []
+    for line in text.split("\n"):
+        own, at = [], 0
+        for m in WORD.finditer(line):
+            at = at if own else m.start()
+            own.append(m[0])
+            if len(own) == 8 or (len(own) > 2 and m[0][-1] in ".,;:!?"):
+                end = m.end()
+                while end < len(line) and line[end] in " \t\x0b\x0c\r":
+                    end += 1
+                out.append(line[at:end])
+                own = []
+        if own:
+            out.append(line[at:])
+    return out
+
+
 def brute(docs, least=L.LEAST_DOCUMENTS):
     """(doc_id, text) pairs to the numbers of the lines to drop per pair."""
+    cut = {t: pieces(t) for _, t in docs if t}
+    seen = Counter(p for _, t in docs if t for p in cut[t])
+    own = {t for t, ps in cut.items() if ps and L.OWN * sum(seen[p] < least for p in ps) >= len(ps)}
     lines = []
     for d in sorted(set(docs), key=str):
-        own = (d[1] or "").split("\n")
-        for i, x in enumerate(own):
-            words = re.sub(r"\S*[0-9]\S*", "<*>", x.strip(" "), flags=re.ASCII).split(" ")
-            if len(words) >= L.LEAST_TOKENS:
-                around = (own[i - 1] if i else None, own[i + 1] if i + 1 < len(own) else None)
-                lines.append((d, i, tuple(words), (len(words), *words[: L.DEPTH]), around))
+        for i, x in enumerate((d[1] or "").split("\n")):
+            x = WORD.sub(lambda m: "<*>" if re.search("[0-9]", m[0]) else m[0], x.strip(" \t\x0b\x0c\r"))
+            if any(c.isalpha() for c in x):
+                lines.append((d, i, x, tuple(WORD.findall(x))))
 
     def recurring(rows, template):
-        places = defaultdict(dict)
+        texts = defaultdict(set)
         for r in rows:
-            places[template(r)].setdefault(r[0], r[4])
-        return {t for t, p in places.items() if len(n := set(p.values())) >= least and 2 * len(n) >= len(p)}
+            if r[0][1] in own:
+                texts[template(r)].add(r[0][1])
+        return {t for t, p in texts.items() if len(p) >= least}
 
     same = recurring(lines, lambda r: r[2])
     leaves = defaultdict(list)
     for r in lines:
-        if r[2] not in same:
-            leaves[r[3]].append(r)
+        if r[2] not in same and len(r[3]) >= L.LEAST_TOKENS:
+            leaves[len(r[3]), r[3][: L.DEPTH]].append(r)
     alike = []
     for leaf, rows in leaves.items():
-        if len(rows) >= least:
-            top = [Counter(r[2][k] for r in rows).most_common(1)[0] for k in range(leaf[0])]
-            fixed = [w if n > L.FIXED * len(rows) else None for w, n in top]
-            alike += [r for r in rows if sum(a == b for a, b in zip(fixed, r[2])) >= L.ALIKE * leaf[0]]
-    near = recurring(alike, lambda r: r[3])
+        mine = [r for r in rows if r[0][1] in own]
+        if len(mine) >= least:
+            counts = [Counter(r[3][k] for r in mine) for k in range(leaf[0])]
+            for r in rows:
+                key = tuple(w if counts[k][w] >= max(least, L.FREQUENT * len(mine)) else None for k, w in enumerate(r[3]))
+                if sum(w is not None for w in key) >= L.ALIKE * leaf[0]:
+                    alike.append((*r, (leaf, key)))
+    near = recurring(alike, lambda r: r[4])
     drop = defaultdict(set)
     for r in lines:
         if r[2] in same:
             drop[r[0]].add(r[1])
     for r in alike:
-        if r[3] in near:
+        if r[4] in near:
             drop[r[0]].add(r[1])
     return drop
 
@@ -74,6 +103,59 @@ def test_templates_go_and_copies_stay(make_docs):
     assert all(r["n_removed"] == (3 if r["doc_id"] < 100 else 0) for r in rows)
 
 
+def words(seed, n):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choices("abcdefghiklmnoprstu", k=rng.randint(3, 8))) for _ in range(n))
+
+
+def removed(make_docs, texts):
+    docs = list(enumerate(texts))
+    rows = check(make_docs(texts), docs)
+    return {r["doc_id"]: set((r["text"]).split("\n")) - set(r["kept"].split("\n")) for r in rows}
+
+
+def test_whole_blocks_go(make_docs):
+    licence = [f"Licence line {words(k, 6)}." for k in range(6)]
+    texts = ["\n".join([words(100 + i, 9), *licence, words(900 + i, 9)]) for i in range(60)]
+    assert all(gone == set(licence) for gone in removed(make_docs, texts).values())
+    spaced = ["\n\n".join([words(100 + i, 9), "All rights are reserved here.", words(900 + i, 9)]) for i in range(20)]
+    assert all(gone == {"All rights are reserved here."} for gone in removed(make_docs, spaced).values())
+
+
+def test_copies_lower_nothing(make_docs):
+    """A third of the rows are copies, exact and near ones, of a text that holds the boilerplate too."""
+    line = "This is licensed to everybody."
+    big = [words(5000 + k, 12) + "." for k in range(12)]
+    near = [[words(7000 + 10 * i, 12) if k == i % 12 else x for k, x in enumerate(big)] for i in range(24)]
+    texts = ["\n".join([words(i, 15), line, words(700 + i, 15)]) for i in range(30)] + ["\n".join([*x, line]) for x in [big] * 40 + near]
+    gone = removed(make_docs, texts)
+    assert all(g == {line} for g in gone.values())
+
+
+def test_short_lines_and_other_scripts(make_docs):
+    footer = ["Read more", "Advertisement", "版权所有未经许可不得转载本网站内容", "left\tright", "* * *", "2024"]
+    texts = ["\n".join([words(i, 15), *footer, words(700 + i, 15), words(800 + i, 30)]) for i in range(9)]
+    assert all(gone == set(footer[:4]) for gone in removed(make_docs, texts).values())
+
+
+def test_templates_share_a_leaf(make_docs):
+    texts = ["\n".join([words(i, 20), *([f"Posted by {words(300 + i, 1)} on this page yesterday"] if i % 2 else [f"Posted by {words(400 + i, 1)} in category news today"])]) for i in range(40)]
+    texts += [f"{words(90 + i, 20)}\nPosted by {words(500 + i, 5)}" for i in range(10)]
+    gone = removed(make_docs, texts)
+    assert all(len(g) == (1 if i < 40 else 0) for i, g in gone.items())
+
+
+def test_pieces(spark, make_docs):
+    texts = [words(i, 40).replace(" ", sep).replace("e ", "e, ") + tail for i, (sep, tail) in enumerate(itertools.product((" ", "  ", " \t", ". ", "\n", " \r\n "), ("", " ", "\n", "!", " ... x")))]
+    rows = make_docs(texts).selectExpr("text", f"regexp_extract_all(text, r'{L.PIECE}', 0) p").collect()
+    assert all(r["p"] == pieces(r["text"]) for r in rows)
+
+
+def test_long_texts(make_docs):
+    texts = ["x" * 1_000_000 + " 1", "word " * 200_000, ("a line of text here\n" * 50_000), "1" * 500_000 + "\n" * 100_000, "a, " * 300_000]
+    check(make_docs(texts), list(enumerate(texts)))
+
+
 def test_corpus(corpus, texts):
     check(corpus, list(texts.items()))
 
