@@ -7,10 +7,10 @@ holds as many templates as there are combinations of frequent tokens. Lines of l
 grade only. Templates that recur across documents are boilerplate, and their lines are dropped.
 
 To recur, a template must stand in at least `least` different texts that have something of their own. Copies of documents
-share nearly all of their parts and prove nothing about a line: texts are cut into pieces of a few words that end with
-punctuation, and a text has something of its own if a sixth of its pieces or more occur less than `least` times. (Of two
-texts at the near-duplicate likeness of 0.8 a ninth is different.) Dropping copies is a matter for deduplication of
-documents. More copies of a text never make a template less frequent.
+share nearly all of their parts and prove nothing about a line: texts are cut into pieces at punctuation and every 64
+characters, and a text is a copy if over five sixths of its pieces occur `least` times or more. (Of two texts at the
+near-duplicate likeness of 0.8 a ninth is different.) Dropping copies is a matter for deduplication of documents. More
+copies of a text never make a template less frequent.
 
 All of it is DataFrame expressions. Groups are counted with partial aggregation, so a template that a third of all
 documents hold costs a row per task.
@@ -25,64 +25,59 @@ from ..session import materialize, table
 from .names import unused
 
 LEAST_DOCUMENTS, LEAST_TOKENS, DEPTH = 5, 3, 2
-#: Share of a leaf's lines from which a token is fixed, fixed tokens of a line in its template, and own pieces of a text
-#: (the last as a number of pieces per own one).
+#: Share of a leaf's lines from which a token is fixed, share of fixed tokens of a line in its template, and the number of
+#: pieces per own one from which a text is a copy.
 FREQUENT, ALIKE, OWN = 0.1, 0.75, 6
-#: A character of a word, and white space within a line.
-W, S = r"[^\x20\x09-\x0D]", r"[\x20\x09\x0B-\x0D]"
-#: Up to eight words, ending after the first word from the third on that ends with punctuation.
-PIECE = rf"(?:{W}+{S}+){{0,2}}(?:{W}*[^\x20\x09-\x0D.,;:!?]{S}+){{0,5}}{W}+{S}*"
-_SPACES = " \t\x0b\x0c\r"
+#: White space within a line, the piece of a text (what is shorter isn't counted), and a token with a digit.
+BLANK, PIECE, FIELD = r"[\x09\x0B-\x0D]", r"[^.,;:!?\x0A]{8,64}", r"[^\x20\x0A]*[0-9][^\x20\x0A]*"
 
 
 def text_lines() -> Column:
     return F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
 
 
-def masked(line: Column) -> Column:
-    """The line without outer white space, tokens with a digit generalised."""
-    trimmed = F.trim(line, F.lit(_SPACES))
-    return F.when(trimmed.rlike("[0-9]"), F.regexp_replace(trimmed, rf"(?<!{W}){W}*[0-9]{W}*", "<*>")).otherwise(trimmed)
-
-
-def tokens_of(line: Column) -> Column:
-    return F.split(masked(line), f"{S}+")
+def masked_lines() -> Column:
+    """The lines without outer white space, tokens with a digit generalised. Tokens are what one white space each parts."""
+    plain = F.when(F.col("text").rlike(BLANK), F.regexp_replace("text", BLANK, " ")).otherwise(F.coalesce("text", F.lit("")))
+    mask = lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, rf"(?<![^\x20]){FIELD}", "<*>")).otherwise(x)
+    return F.transform(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), mask)
 
 
 def parse_lines(docs: DataFrame, depth: int = DEPTH, least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """A row per line with a letter outside its fields: doc_id and _text (a hash of the text) of its document, _at (its
     number), _template and _leaf (null for lines of too few tokens)."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.posexplode(text_lines()).alias("_at", "_line"))
-    tokens = tokens_of(F.col("_line"))
-    leaf = F.when(F.size(tokens) >= least_tokens, F.xxhash64(F.size(tokens), *[F.get(tokens, F.lit(k)) for k in range(depth)]))
-    return rows.filter(masked(F.col("_line")).rlike(r"\p{L}")).select("doc_id", "_text", "_at", leaf.alias("_leaf"), F.xxhash64(masked(F.col("_line"))).alias("_template"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.posexplode(masked_lines()).alias("_at", "_line"))
+    line = F.col("_line")
+    tokens = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    leaf = F.when(tokens >= least_tokens, F.xxhash64(tokens, F.substring_index(line, " ", depth)))
+    return rows.filter(line.rlike(r"\p{L}")).select("doc_id", "_text", "_at", leaf.alias("_leaf"), F.xxhash64(line).alias("_template"))
 
 
-def own_texts(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """_text of the texts that have something of their own."""
+def copied_texts(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
+    """_text of the texts of which less than a sixth is their own; texts too short for a piece aren't among them."""
     each = F.transform(F.regexp_extract_all("text", F.lit(PIECE), F.lit(0)), lambda p: F.xxhash64(p))
-    pieces = materialize(docs.select(F.xxhash64("text").alias("_text"), F.explode(each).alias("_piece")), "pieces")
+    cut = docs.select(F.xxhash64("text").alias("_text"), F.monotonically_increasing_id().alias("_row"), each.alias("_p"))
+    pieces = materialize(cut.select("_text", "_row", F.size("_p").alias("_whole"), F.explode("_p").alias("_piece")), "pieces")
     common = materialize(pieces.groupBy("_piece").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select("_piece"), "common")
-    shared = pieces.join(common, "_piece", "left_semi").groupBy("_text").agg(F.count("*").alias("_shared"))
-    whole = pieces.groupBy("_text").agg(F.count("*").alias("_whole")).join(shared, "_text", "left")
-    return whole.filter(OWN * (F.col("_whole") - F.coalesce("_shared", F.lit(0))) >= F.col("_whole")).select("_text")
+    shared = pieces.join(common, "_piece", "left_semi").groupBy("_text", "_row", "_whole").agg(F.count("*").alias("_shared"))
+    return shared.filter(OWN * (F.col("_whole") - F.col("_shared")) < F.col("_whole")).select("_text").distinct()
 
 
-def recurring(lines: DataFrame, template: str, own: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
-    """The templates that occur in `least` or more of the own texts."""
-    seen = lines.select(template, "_text").distinct().join(own, "_text", "left_semi")
+def recurring(lines: DataFrame, template: str, copied: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
+    """The templates that occur in `least` or more texts that aren't copied."""
+    seen = lines.select(template, "_text").distinct().join(copied, "_text", "left_anti")
     return seen.groupBy(template).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select(template)
 
 
-def crowded(docs: DataFrame, lines: DataFrame, own: DataFrame, least: int) -> DataFrame:
-    """The lines of leaves that hold `least` lines of own texts or more, with the leaf's _size (their number), whether
-    the text is its _own, and the hashes of the _tokens."""
-    rest = lines.filter("_leaf is not null").join(own.withColumn("_own", F.lit(True)), "_text", "left")
-    sizes = rest.groupBy("_leaf").agg(F.count("_own").alias("_size")).filter(F.col("_size") >= least)
-    wanted = rest.join(sizes, "_leaf").groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash")).agg(F.first("_own").alias("_own"), F.collect_set(F.struct("_at", "_leaf", "_size")).alias("_l"))
+def crowded(docs: DataFrame, lines: DataFrame, copied: DataFrame, least: int) -> DataFrame:
+    """The lines of leaves that hold `least` lines or more of texts that aren't copied, with the leaf's _size (their
+    number), whether the text is its _own, and the hashes of the _tokens."""
+    rest = lines.filter("_leaf is not null").join(copied.withColumn("_copied", F.lit(True)), "_text", "left")
+    sizes = rest.filter("_copied is null").groupBy("_leaf").agg(F.count("*").alias("_size")).filter(F.col("_size") >= least)
+    wanted = rest.join(sizes, "_leaf").groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash")).agg(F.first(F.col("_copied").isNull()).alias("_own"), F.collect_set(F.struct("_at", "_leaf", "_size")).alias("_l"))
     joined = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
-    each = joined.select("doc_id", "_hash", "_own", text_lines().alias("_lines"), F.explode("_l").alias("_l")).select("doc_id", F.col("_hash").alias("_text"), "_own", "_l.*", F.get("_lines", F.col("_l._at")).alias("_line"))
-    return each.select("doc_id", "_text", "_own", "_at", "_leaf", "_size", F.transform(tokens_of(F.col("_line")), lambda w: F.hash(w)).alias("_tokens"))
+    each = joined.select("doc_id", "_hash", "_own", masked_lines().alias("_lines"), F.explode("_l").alias("_l")).select("doc_id", F.col("_hash").alias("_text"), "_own", "_l.*", F.get("_lines", F.col("_l._at")).alias("_line"))
+    return each.select("doc_id", "_text", "_own", "_at", "_leaf", "_size", F.transform(F.split("_line", " "), lambda w: F.hash(w)).alias("_tokens"))
 
 
 def generalised(lines: DataFrame, least: int) -> DataFrame:
@@ -105,13 +100,13 @@ def boilerplate(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
 
     Lines whose own template recurs go first; the leaves' templates are found among the others.
     """
-    own = materialize(own_texts(docs, least), "own")
+    copied = materialize(copied_texts(docs, least), "copied")
     lines = materialize(parse_lines(docs), "lines")
-    known = materialize(recurring(lines, "_template", own, least), "templates")
+    known = materialize(recurring(lines, "_template", copied, least), "templates")
     same = lines.join(known, "_template", "left_semi")
-    alike = generalised(materialize(crowded(docs, lines.join(known, "_template", "left_anti"), own, least), "leaves"), least)
+    alike = generalised(materialize(crowded(docs, lines.join(known, "_template", "left_anti"), copied, least), "leaves"), least)
     alike = materialize(alike, "alike")
-    near = alike.join(recurring(alike, "_group", own, least), "_group", "left_semi")
+    near = alike.join(recurring(alike, "_group", copied, least), "_group", "left_semi")
     both = same.select("doc_id", "_text", "_at").union(near.select("doc_id", "_text", "_at"))
     return both.groupBy("doc_id", "_text").agg(F.collect_set("_at").alias("_drop"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .line_dedup import PIECE, S, W
+from .line_dedup import BLANK, FIELD, PIECE
 from .secret_scan import BASE, RULES
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -48,10 +48,10 @@ LINES = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 piece AS (SELECT text, unnest(regexp_extract_all(text, '{PIECE}')) AS p FROM d),
 common AS (SELECT p FROM piece GROUP BY 1 HAVING count(*) >= 5),
-own AS (SELECT text FROM piece LEFT JOIN common ON common.p = piece.p GROUP BY 1 HAVING 6 * (count(*) - count(common.p)) >= count(*)),
-raw AS (SELECT doc_id, i, text, text IN (SELECT text FROM own) AS own, regexp_replace(ls[i], '^{S}+|{S}+$', '', 'g') AS t FROM (SELECT doc_id, text, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
-masks AS (SELECT doc_id, i, text, own, CASE WHEN regexp_matches(t, '[0-9]') THEN regexp_replace(t, '{W}*[0-9]{W}*', '<*>', 'g') ELSE t END AS masked FROM raw),
-p AS (SELECT *, regexp_split_to_array(masked, '{S}+') AS w FROM masks WHERE regexp_matches(masked, '\p{{L}}')),
+copied AS (SELECT text FROM piece LEFT JOIN common ON common.p = piece.p GROUP BY 1 HAVING 6 * (count(*) - count(common.p)) < count(*)),
+raw AS (SELECT doc_id, i, text, text NOT IN (SELECT text FROM copied) AS own, trim(regexp_replace(ls[i], '{BLANK}', ' ', 'g'), ' ') AS t FROM (SELECT doc_id, text, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
+masks AS (SELECT doc_id, i, text, own, regexp_replace(t, '{FIELD}', '<*>', 'g') AS masked FROM raw),
+p AS (SELECT *, string_split(masked, ' ') AS w FROM masks WHERE regexp_matches(masked, '\p{{L}}')),
 known AS (SELECT masked FROM p WHERE own GROUP BY 1 HAVING count(DISTINCT text) >= 5),
 rest AS (SELECT *, {{'n': len(w), 'lead': w[1:2]}} AS leaf FROM p ANTI JOIN known USING (masked) WHERE len(w) >= 3),
 crowd AS (SELECT leaf, count(*) FILTER (own) AS size FROM rest GROUP BY 1 HAVING count(*) FILTER (own) >= 5),

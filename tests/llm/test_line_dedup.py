@@ -6,39 +6,23 @@ from collections import Counter, defaultdict
 from parcelight.llm import line_dedup as L
 
 
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
 def pieces(text):
-    """Cut word by word: eight words at most, an end after punctuation from the third word on."""
-    out = []
-    for line in text.split("\n"):
-        own, at = [], 0
-        for m in WORD.finditer(line):
-            at = at if own else m.start()
-            own.append(m[0])
-            if len(own) == 8 or (len(own) > 2 and m[0][-1] in ".,;:!?"):
-                end = m.end()
-                while end < len(line) and line[end] in " \t\x0b\x0c\r":
-                    end += 1
-                out.append(line[at:end])
-                own = []
-        if own:
-            out.append(line[at:])
-    return out
+    """Cut at punctuation and every 64 characters; those of less than 8 don't count."""
+    clauses = re.split(r"[.,;:!?\n]", text)
+    return [p for c in clauses for k in range(0, len(c), 64) if len(p := c[k : k + 64]) >= 8]
 
 
 def brute(docs, least=L.LEAST_DOCUMENTS):
     """(doc_id, text) pairs to the numbers of the lines to drop per pair."""
     cut = {t: pieces(t) for _, t in docs if t}
     seen = Counter(p for _, t in docs if t for p in cut[t])
-    own = {t for t, ps in cut.items() if ps and L.OWN * sum(seen[p] < least for p in ps) >= len(ps)}
+    own = {t for _, t in docs if L.OWN * sum(seen[p] < least for p in cut.get(t, ())) >= len(cut.get(t, ()))}
     lines = []
     for d in sorted(set(docs), key=str):
         for i, x in enumerate((d[1] or "").split("\n")):
-            x = WORD.sub(lambda m: "<*>" if re.search("[0-9]", m[0]) else m[0], x.strip(" \t\x0b\x0c\r"))
-            if any(c.isalpha() for c in x):
-                lines.append((d, i, x, tuple(WORD.findall(x))))
+            w = tuple("<*>" if re.search("[0-9]", y) else y for y in re.sub(r"[\t\x0b\x0c\r]", " ", x).strip(" ").split(" "))
+            if any(c.isalpha() for y in w for c in y):
+                lines.append((d, i, w, w))
 
     def recurring(rows, template):
         texts = defaultdict(set)
@@ -146,7 +130,7 @@ def test_templates_share_a_leaf(make_docs):
 
 
 def test_pieces(spark, make_docs):
-    texts = [words(i, 40).replace(" ", sep).replace("e ", "e, ") + tail for i, (sep, tail) in enumerate(itertools.product((" ", "  ", " \t", ". ", "\n", " \r\n "), ("", " ", "\n", "!", " ... x")))]
+    texts = [words(i, 60).replace(" ", sep).replace("e ", "e, ") + tail for i, (sep, tail) in enumerate(itertools.product((" ", "  ", " \t", ". ", "\n", " \r\n "), ("", " ", "\n", "!", " ... x")))]
     rows = make_docs(texts).selectExpr("text", f"regexp_extract_all(text, r'{L.PIECE}', 0) p").collect()
     assert all(r["p"] == pieces(r["text"]) for r in rows)
 
