@@ -36,17 +36,22 @@ def text_lines() -> Column:
     return F.split(F.coalesce(F.col("text"), F.lit("")), "\n")
 
 
-def masked_lines() -> Column:
-    """The lines without outer white space, tokens with a digit generalised. Tokens are what one white space each parts."""
+def plain_lines() -> Column:
+    """The lines with spaces as their only white space."""
     plain = F.when(F.col("text").rlike(BLANK), F.regexp_replace("text", BLANK, " ")).otherwise(F.coalesce("text", F.lit("")))
-    mask = lambda x: F.when(x.rlike("[0-9]"), F.regexp_replace(x, rf"(?<![^\x20]){FIELD}", "<*>")).otherwise(x)
-    return F.transform(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), mask)
+    return F.split(plain, "\n")
+
+
+def masked(line: Column) -> Column:
+    """A plain line without outer spaces, tokens with a digit generalised. Tokens are what one space each parts."""
+    trimmed = F.trim(line)
+    return F.when(line.rlike("[0-9]"), F.regexp_replace(trimmed, rf"(?<![^\x20]){FIELD}", "<*>")).otherwise(trimmed)
 
 
 def parse_lines(docs: DataFrame, depth: int = DEPTH, least_tokens: int = LEAST_TOKENS) -> DataFrame:
     """A row per line with a letter outside its fields: doc_id and _text (a hash of the text) of its document, _at (its
     number), _template and _leaf (null for lines of too few tokens)."""
-    rows = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.posexplode(masked_lines()).alias("_at", "_line"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("_text"), F.posexplode(F.transform(plain_lines(), masked)).alias("_at", "_line"))
     line = F.col("_line")
     tokens = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
     leaf = F.when(tokens >= least_tokens, F.xxhash64(tokens, F.substring_index(line, " ", depth)))
@@ -76,8 +81,8 @@ def crowded(docs: DataFrame, lines: DataFrame, copied: DataFrame, least: int) ->
     sizes = rest.filter("_copied is null").groupBy("_leaf").agg(F.count("*").alias("_size")).filter(F.col("_size") >= least)
     wanted = rest.join(sizes, "_leaf").groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash")).agg(F.first(F.col("_copied").isNull()).alias("_own"), F.collect_set(F.struct("_at", "_leaf", "_size")).alias("_l"))
     joined = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
-    each = joined.select("doc_id", "_hash", "_own", masked_lines().alias("_lines"), F.explode("_l").alias("_l")).select("doc_id", F.col("_hash").alias("_text"), "_own", "_l.*", F.get("_lines", F.col("_l._at")).alias("_line"))
-    return each.select("doc_id", "_text", "_own", "_at", "_leaf", "_size", F.transform(F.split("_line", " "), lambda w: F.hash(w)).alias("_tokens"))
+    each = joined.select("doc_id", "_hash", "_own", plain_lines().alias("_lines"), F.explode("_l").alias("_l")).select("doc_id", F.col("_hash").alias("_text"), "_own", "_l.*", F.get("_lines", F.col("_l._at")).alias("_line"))
+    return each.select("doc_id", "_text", "_own", "_at", "_leaf", "_size", F.transform(F.split(masked(F.col("_line")), " "), lambda w: F.hash(w)).alias("_tokens"))
 
 
 def generalised(lines: DataFrame, least: int) -> DataFrame:
