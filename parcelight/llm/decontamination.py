@@ -2,23 +2,31 @@
 
 A pattern is a window of 13 consecutive words of a benchmark item, or all words of a shorter one. Patterns of one
 length share a shift table over blocks of two words: how far the search may move on when a text block ends at the
-current position. Where the shift is 0, the block's bucket lists the patterns that end in it, and a direct comparison
-of all words confirms an occurrence.
+current position. Where the shift is 0, the block's bucket lists the patterns that end in it, by a hash of their words,
+and a direct comparison of all words confirms an occurrence.
+
+Items are one array of word numbers, and patterns places in it, so a task needs some 40 bytes a word of the benchmark and
+the vocabulary.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, table
+from . import recompression as R
+from .names import unused
 
 WINDOW = 13
-BLOCK_CHARS = 64 << 20
+#: Characters of items that a task holds at a time.
+BLOCK_CHARS = 16 << 20
 #: Words of lower-cased text: runs of ASCII digits, small letters and all characters beyond ASCII.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {c: c + 32 for c in range(65, 91)}
@@ -29,28 +37,60 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Search:
-    """Patterns of one length of at least two words."""
-
-    def __init__(self, patterns: dict[tuple[str, ...], list[int]], length: int):
-        self.length, self.patterns = length, patterns
-        self.shift: dict[tuple[str, str], int] = {}
-        self.bucket: dict[tuple[str, str], set[tuple[str, ...]]] = {}
-        for p in patterns:
-            for end in range(2, length + 1):
-                block = p[end - 2 : end]
-                self.shift[block] = min(self.shift.get(block, length), length - end)
-            self.bucket.setdefault(p[-2:], set()).add(p)
-
-    def occurrences(self, words: list[str]) -> Iterator[tuple[int, tuple[str, ...]]]:
-        n, far, shift = self.length, self.length - 1, self.shift.get
-        at, end = n - 1, len(words)
-        while at < end:
-            block = (words[at - 1], words[at])
-            step = shift(block, far)
+    """The patterns of one length of at least two words: windows of the items (first word, end and number in `words`)."""
+
+    def __init__(self, words: np.ndarray, items: np.ndarray, length: int):
+        self.length, self.words = length, words
+        first, end, number = items.T
+        size = end - first
+        item = np.repeat(np.arange(len(items)), size)
+        at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)  # the word's place in its item
+        place = first[item] + at
+        inner = at > 0
+        block = self.blocks(words[place[inner] - 1], words[place[inner]])
+        shift = np.maximum(length - 1 - at[inner], 0)  # how far the pattern of the earliest end is from ending here
+        order = np.lexsort((shift, block))
+        self.block, new = np.unique(block[order], return_index=True)
+        self.shift = shift[order][new].astype(np.uint8 if length < 256 else np.int32)
+        last = at >= length - 1
+        stop, owner = place[last] + 1, number[item[last]]
+        code, key = self.blocks(words[stop - 2], words[stop - 1]), self.hashes(words, stop - length, stop)
+        order = np.lexsort((key, code))
+        self.code, self.key, self.stop, self.owner = code[order], key[order], stop[order].astype(np.int32), owner[order].astype(np.int32)
+
+    @staticmethod
+    def blocks(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return one.astype(np.int64) << 32 | two
+
+    @staticmethod
+    def hashes(words: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        return R.range_hashes(R.mix(words.astype(np.uint64) + np.uint64(1)), start, stop, 0)
+
+    def bucket(self, code: int, key: np.uint64) -> slice:
+        """The patterns that end in the block and have the hash."""
+        a, b = np.searchsorted(self.code, code, "left"), np.searchsorted(self.code, code, "right")
+        return slice(a + np.searchsorted(self.key[a:b], key, "left"), a + np.searchsorted(self.key[a:b], key, "right"))
+
+    def occurrences(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(first word, items' numbers) of the patterns in ids; words that no item has are -1."""
+        n = self.length
+        if len(ids) < n or not len(self.block):
+            return
+        code = np.where((ids[:-1] >= 0) & (ids[1:] >= 0), self.blocks(ids[:-1], ids[1:]), -1)
+        near = np.minimum(np.searchsorted(self.block, code), len(self.block) - 1)
+        steps = np.concatenate([[0], np.where(self.block[near] == code, self.shift[near], n - 1)])
+        at, keys = n - 1, None
+        while at < len(ids):
+            step = int(steps[at])
             if not step:
-                found = tuple(words[at - n + 1 : at + 1])
-                if found in self.bucket[block]:
-                    yield at - n + 1, found
+                if keys is None:
+                    ends = np.arange(n, len(ids) + 1)
+                    keys = self.hashes(ids, ends - n, ends)
+                own = self.bucket(int(code[at - 1]), keys[at - n + 1])
+                windows = self.words[self.stop[own][:, None] - np.arange(n, 0, -1)]
+                same = (windows == ids[at - n + 1 : at + 1]).all(axis=1)
+                if same.any():
+                    yield at - n + 1, self.owner[own][same]
                 step = 1
             at += step
 
@@ -59,30 +99,33 @@ class Benchmark:
     """The windows of (item, text) pairs, grouped by length."""
 
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
-        by_length: dict[int, dict[tuple[str, ...], list[int]]] = {}
-        for item, text in items:
-            words = words_of(text)
-            n = min(window, len(words))
-            for i in range(len(words) - n + 1) if n else ():
-                owners = by_length.setdefault(n, {}).setdefault(tuple(words[i : i + n]), [])
-                if not owners or owners[-1] != item:
-                    owners.append(item)
-        self.single = {p[0]: items for p, items in by_length.pop(1, {}).items()}
-        self.searches = [Search(patterns, n) for n, patterns in sorted(by_length.items())]
+        self.items, self.number = [item for item, _ in items], {}
+        ids, by_length, at = [], {}, 0
+        for k, (_, text) in enumerate(items):
+            own = [self.number.setdefault(w, len(self.number)) for w in words_of(text)]
+            if own:
+                ids.append(np.array(own, np.int32))
+                by_length.setdefault(min(window, len(own)), []).append((at, at + len(own), k))
+                at += len(own)
+        words = np.concatenate([np.zeros(0, np.int32), *ids])
+        self.single: dict[int, list[int]] = {}
+        for first, _, k in by_length.pop(1, ()):
+            self.single.setdefault(int(words[first]), []).append(k)
+        self.searches = [Search(words, np.array(rows, np.int64), n) for n, rows in sorted(by_length.items())]
 
     def hits(self, words: list[str]) -> tuple[list[tuple[int, int]], set[int]]:
         """Sorted, joined intervals of hit words, and the items that occur."""
-        spans, items = [], set()
+        ids, spans, found = np.fromiter(map(self.number.get, words, repeat(-1)), np.int32, len(words)), [], set()
         if self.single:
-            for i, w in enumerate(words):
+            for i, w in enumerate(ids.tolist()):
                 if w in self.single:
                     spans.append((i, i + 1))
-                    items.update(self.single[w])
+                    found.update(self.single[w])
         for s in self.searches:
-            for start, found in s.occurrences(words):
+            for start, owners in s.occurrences(ids):
                 spans.append((start, start + s.length))
-                items.update(s.patterns[found])
-        return join_spans(spans), items
+                found.update(owners.tolist())
+        return join_spans(spans), {self.items[k] for k in found}
 
 
 def join_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -105,16 +148,16 @@ def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> list[Da
     return [items.filter(part == k) for k in range(n)]
 
 
-def search(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """docs with `_found`, a struct of the number of words, the joined intervals of hit words and the items' ids.
+def search(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS, out: str = "_found") -> DataFrame:
+    """docs with `out`, a struct of the number of words, the joined intervals of hit words and the items' ids.
 
     A map over the documents for each block of the benchmark: no shuffle, rows stay as they are. Each further block is a
     pass of its own over the stored result of the one before, so that driver and tasks hold one block at a time.
     """
-    found = docs.withColumn("_found", F.lit(None).cast("struct<n:long,spans:array<array<int>>,items:array<string>>"))
+    found = docs.withColumn(out, F.lit(None).cast("struct<n:long,spans:array<array<int>>,items:array<string>>"))
     for k, block in enumerate(item_blocks(benchmark, block_chars)):
         found = materialize(found, "spans") if k else found
-        found = found.withColumn("_found", searcher([(r["item_id"], r["text"]) for r in block.collect()])("text", "_found"))
+        found = found.withColumn(out, searcher([(r["item_id"], r["text"]) for r in block.collect()])("text", out))
     return found
 
 
@@ -123,8 +166,8 @@ def verdict(n_hit, n_words):
     return (n_hit > 0) & (20 * n_hit >= n_words)
 
 
-def n_hit():
-    return F.aggregate("_found.spans", F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
+def n_hit(found: str):
+    return F.aggregate(F.col(found)["spans"], F.lit(0).cast("long"), lambda n, s: n + s[1] - s[0])
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -134,21 +177,16 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, block_chars: int =
     A null text has no words; an empty benchmark hits nothing; repeated items count once per item_id; repeated rows of
     docs are judged each on their own.
     """
-    found = search(docs, benchmark, block_chars)
-    return found.withColumns(
-        {
-            "n_words": F.col("_found.n"),
-            "n_hit": n_hit(),
-            "hit_spans": F.col("_found.spans"),
-            "item_ids": F.col("_found.items"),
-            "contaminated": verdict(n_hit(), F.col("_found.n")),
-        }
-    ).drop("_found")
+    (name,) = unused(docs, "_found")
+    found, of = search(docs, benchmark, block_chars, name), F.col(name)
+    values = {"n_words": of["n"], "n_hit": n_hit(name), "hit_spans": of["spans"], "item_ids": of["items"], "contaminated": verdict(n_hit(name), of["n"])}
+    return found.withColumns(values).drop(name)
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that aren't contaminated, with the columns of docs."""
-    return search(docs, benchmark).filter(~verdict(n_hit(), F.col("_found.n"))).drop("_found")
+    (name,) = unused(docs, "_found")
+    return search(docs, benchmark, out=name).filter(~verdict(n_hit(name), F.col(name)["n"])).drop(name)
 
 
 def searcher(items: list[tuple[int, str]]):

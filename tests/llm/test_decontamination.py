@@ -52,6 +52,23 @@ def test_one_block_at_a_time(spark, make_docs):
     assert sorted((r["n_hit"], r["item_ids"]) for r in found.collect()) == [(0, []), (6, ["3", "7"])]
 
 
+def test_memory_of_a_block():
+    """A block's tables stay within some 60 bytes a word; texts are searched in time linear in their length."""
+    import random
+    import tracemalloc
+
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(20_000)]
+    items = [(i, " ".join(rng.choices(vocabulary, k=100))) for i in range(3_000)]
+    tracemalloc.start()
+    bench = D.Benchmark(items)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 60 * 300_000 + 200 * 20_000
+    words = items[7][1].split()
+    assert bench.hits([*rng.choices(vocabulary, k=300_000), *words[20:50], "end"]) == ([(300_000, 300_030)], {7})
+
+
 def test_query_columns(spark):
     rows = D.query(spark, "/root/testdata/sf0.001").collect()
     none = hashlib.sha256(b"").hexdigest()
@@ -68,3 +85,5 @@ def test_odd_rows(spark, make_docs):
     assert D.find_contamination(make_docs([]), bench).collect() == []
     assert not any(r["contaminated"] for r in D.find_contamination(docs, bench.limit(0)).collect())
     assert D.remove_contaminated(docs, bench).columns == docs.columns
+    clash = D.find_contamination(make_docs(["solo"], _found="kept"), bench).collect()[0]
+    assert (clash["_found"], clash["n_hit"]) == ("kept", 1)
