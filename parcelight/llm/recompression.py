@@ -15,6 +15,8 @@ import numpy as np
 
 RUN, CAPS = 3, (4, 7)
 MARGIN = RUN + RUN + CAPS[0]
+#: The shortest window that always holds a whole symbol between its margins.
+SHORTEST = 2 * MARGIN + 2 * CAPS[-1] - 1
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)

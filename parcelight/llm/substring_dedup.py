@@ -24,16 +24,17 @@ from pyspark.sql import functions as F
 from ..session import materialize, table
 from . import recompression as R
 from .batches import small_batches
+from .names import unused
 
 WINDOW = 50
 #: Words as in the contract: runs of anything but space and the control characters 9 to 13.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_COUNT_BITS = 6  # a block has at most 24 windows
+_COUNT_BITS = 24  # of a block's windows, which are fewer than words of a window
 
 
 def texts_with_key(docs: DataFrame) -> DataFrame:
     """doc_id, text and _hash, which tells apart the rows of one id."""
-    return docs.select(F.col("doc_id").cast("long"), "text", F.hash("text").alias("_hash"))
+    return docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_hash"))
 
 
 def block_table(docs: DataFrame, window: int) -> DataFrame:
@@ -49,7 +50,7 @@ def block_table(docs: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_hash", "anchor", "content", "at"])
 
     keyed = texts_with_key(docs.filter("doc_id is not null and text is not null"))
-    return keyed.mapInArrow(blocks, "doc_id long, _hash int, anchor long, content long, at long")
+    return keyed.mapInArrow(blocks, "doc_id long, _hash long, anchor long, content long, at long")
 
 
 def telling_blocks(blocks: DataFrame) -> DataFrame:
@@ -91,7 +92,7 @@ def unsure_windows(docs: DataFrame, known: DataFrame, window: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["one", "two", "doc_id", "_hash", "start"])
 
     wanted = known.filter(F.size("unsure") > 0).select("doc_id", "_hash", "unsure")
-    return texts_with_key(docs).join(wanted, ["doc_id", "_hash"]).mapInArrow(hashed, "one long, two long, doc_id long, _hash int, start long")
+    return texts_with_key(docs).join(wanted, ["doc_id", "_hash"]).mapInArrow(hashed, "one long, two long, doc_id long, _hash long, start long")
 
 
 def repeated_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -133,12 +134,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
     A null text has no words. Windows are judged on the input: a word goes if a window over it also starts in a smaller
     doc_id. Rows of one doc_id don't count against each other, and a null doc_id is neither smaller nor larger than any,
-    so such rows stay whole. Texts of fewer words than the window stay whole. An empty table gives no rows.
+    so such rows stay whole. Texts of fewer words than the window stay whole. An empty table gives no rows. A window must be
+    long enough for a symbol between its margins (33 words).
     """
-    found = repeated_windows(docs, window).withColumnsRenamed({"doc_id": "_doc", "_hash": "_of", "gone": "_gone", "starts": "_starts"})
-    joined = docs.join(found, (F.col("doc_id") == F.col("_doc")) & (F.hash("text") == F.col("_of")), "left")
-    done = joined.withColumn("_done", remover(window)("text", "_gone", "_starts"))
-    return done.withColumns({n: F.col(f"_done.{n}") for n in ("n_words", "n_removed", "kept")}).drop("_doc", "_of", "_gone", "_starts", "_done")
+    if window < R.SHORTEST:
+        raise ValueError(f"a window has {R.SHORTEST} words at least")
+    doc, of, gone, starts, result = unused(docs, "_doc", "_of", "_gone", "_starts", "_done")
+    found = repeated_windows(docs.select("doc_id", "text"), window).withColumnsRenamed({"doc_id": doc, "_hash": of, "gone": gone, "starts": starts})
+    joined = docs.join(found, (F.col("doc_id") == F.col(doc)) & (F.xxhash64("text") == F.col(of)), "left")
+    done = joined.withColumn(result, remover(window)("text", gone, starts))
+    return done.withColumns({n: F.col(result)[n] for n in ("n_words", "n_removed", "kept")}).drop(doc, of, gone, starts, result)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

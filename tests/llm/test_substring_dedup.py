@@ -59,6 +59,21 @@ def test_random_passages(make_docs, seed):
     check(make_docs([t for _, t in docs], [i for i, _ in docs]), docs)
 
 
+@pytest.mark.parametrize("window", [R.SHORTEST, 64, 100, 200])
+def test_other_windows(make_docs, window):
+    rng = random.Random(window)
+    passage = [f"w{rng.randint(0, 50)}" for _ in range(450)]
+    texts = [" ".join([f"x{i}"] * 3 + passage[rng.randint(0, 60) : rng.randint(300, 450)] + [f"y{i}", "z"]) for i in range(12)] + ["a b " * 200] * 2
+    docs = list(enumerate(texts))
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept"]) for r in S.remove_repeats(make_docs(texts), window).collect())
+    assert got == sorted(brute(docs, window)) and sum(r[2] for r in got) > 0
+
+
+def test_windows_too_short(make_docs):
+    with pytest.raises(ValueError):
+        S.remove_repeats(make_docs(["a"]), R.SHORTEST - 1)
+
+
 def test_corpus_and_query(spark, corpus, texts):
     rows = S.query(spark, "/root/testdata/sf0.001").collect()
     want = {i: (n, d, hashlib.sha256(k.encode()).hexdigest()) for i, n, d, k in brute(list(texts.items()))}
@@ -69,7 +84,7 @@ def test_corpus_and_query(spark, corpus, texts):
 def test_odd_rows(make_docs):
     long = " ".join(f"w{i}" for i in range(60))
     docs = [(3, long), (1, None), (2, ""), (None, long), (5, "x " + long), (5, long + " y"), (5, long + " y"), (7, "short text"), (9, "v " * 30_000), (8, "v " * 100), (4, " ".join(f"w{i}" for i in range(49)))]
-    check(make_docs([t for _, t in docs], [i for i, _ in docs], kept="x", anchor=1, at=2), docs)
+    check(make_docs([t for _, t in docs], [i for i, _ in docs], kept="x", anchor=1, at=2, _doc=3, _gone="y"), docs)
     assert S.remove_repeats(make_docs([])).collect() == []
 
 
