@@ -23,6 +23,7 @@ from ..operators.components import connected_components
 from ..session import materialize, table
 from . import recompression as R
 from .batches import small_batches
+from .names import unused
 
 SHINGLE, RUNS, DEPTH, VALUES = 5, 16, 6, 64
 #: Similarity 0.8 as integers: 9 |a and b| >= 4 (|a| + |b|).
@@ -78,8 +79,8 @@ def sketch_table(docs: DataFrame) -> DataFrame:
             columns = [batch["doc_id"], batch["_hash"], pa.array(n), pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), flat, pa.array(low.view(np.int64)), pa.array(high.view(np.int64))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "_hash", "n", "one", "two", "values", "low", "high"])
 
-    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.hash("text").alias("_hash"))
-    return keyed.mapInArrow(sketches, "doc_id long, _hash int, n long, one long, two long, values array<int>, low long, high long")
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("_hash"))
+    return keyed.mapInArrow(sketches, "doc_id long, _hash long, n long, one long, two long, values array<int>, low long, high long")
 
 
 def groups_of(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.RecordBatch]:
@@ -201,7 +202,7 @@ def exact_links(docs: DataFrame, members: DataFrame) -> DataFrame:
     members (doc_id, _hash, cls, copies, component, n): every pair of sets of a component is compared once."""
     sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     dealt = members.join(sizes, "component").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int"))
-    text = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text", F.hash("text").alias("_of"))
+    text = docs.select(F.col("doc_id").cast("long").alias("_doc"), "text", F.xxhash64("text").alias("_of"))
     # A merge join at every size: the members grow with the corpus, and so does the broadcast that small inputs would get.
     with_text = dealt.hint("merge").join(text, (F.col("doc_id").eqNullSafe(F.col("_doc"))) & (F.col("_hash") == F.col("_of"))).dropDuplicates(["cls"])
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("_o")
@@ -295,16 +296,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay when one of each class does, that of the smallest doc_id; texts without words all stay.
     Of rows with one id and text one stays."""
-    found = materialize(near_duplicates(docs), "near").filter("first")
+    found = materialize(near_duplicates(docs.select("doc_id", "text")), "near").filter("first")
     alone = found.filter("n_shingles = 0").select("doc_id", "_hash").distinct().withColumn("_times", F.lit(1).cast("long"))
     rows = found.filter("n_shingles > 0").groupBy("class_id", "doc_id", "_hash").agg(F.count("*").alias("_times"))
     stays = rows.groupBy("class_id").agg(F.min(F.struct("_hash", "doc_id", "_times")).alias("s")).select("s.doc_id", "s._hash", "s._times").union(alone)
-    stays = materialize(stays.withColumnsRenamed({"doc_id": "_id", "_hash": "_of"}), "stays")
-    joined = docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.hash("text") == F.col("_of")))
-    once = joined.filter("_times = 1").drop("_id", "_of", "_times")
-    if not stays.filter("_times > 1").head(1):
+    doc, of, times = names = unused(docs, "_id", "_of", "_times")
+    stays = materialize(stays.withColumnsRenamed({"doc_id": doc, "_hash": of, "_times": times}), "stays")
+    joined = docs.join(stays, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(of)))
+    once = joined.filter(F.col(times) == 1).drop(*names)
+    if not stays.filter(F.col(times) > 1).head(1):
         return once
-    return once.union(joined.filter("_times > 1").drop("_id", "_of", "_times").dropDuplicates(["doc_id", "text"]))
+    return once.union(joined.filter(F.col(times) > 1).drop(*names).dropDuplicates(["doc_id", "text"]))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,7 +87,7 @@ def test_corpus(corpus, texts):
 def test_odd_rows(make_docs):
     a = " ".join(f"w{i}" for i in range(40))
     docs = [(1, None), (2, ""), (3, " \n"), (None, a), (5, a), (5, a), (5, a + " x"), (7, "one two"), (8, "one  two"), (9, "one"), (10, "v " * 30_000), (11, "v " * 29_000), (12, "q " * 4)]
-    df = make_docs([t for _, t in docs], [i for i, _ in docs], class_id="x", cls=1)
+    df = make_docs([t for _, t in docs], [i for i, _ in docs], class_id="x", cls=1, _id="y", _times=4)
     check(df, docs)
     kept = N.one_of_each(df)
     assert kept.columns == df.columns
