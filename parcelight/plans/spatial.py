@@ -151,7 +151,7 @@ def commune(spark, sf_dir):
     return b, p, r, lu
 
 
-@query(f"""
+_PAIRS = f"""
     WITH {_SQL_BOXES},
     u AS (SELECT * FROM (SELECT b.*, CASE WHEN id % 3 = 2 THEN 'r' ELSE 'w' END AS t, (bxmax - bxmin) * (bymax - bymin) AS fp, row_number() OVER (PARTITION BY bxmin, bymin, bxmax, bymax ORDER BY CASE WHEN id % 3 = 2 THEN 0 ELSE 1 END, id) AS one FROM b) WHERE one = 1),
     r AS (SELECT 'c' || lpad(c_custkey::VARCHAR, 9, '0') AS cid, 1800 + c_custkey % 200 AS yr, c_custkey % 5 AS k, (c_custkey * 71 % 9000)::DOUBLE AS rxmin, (c_custkey * 29 % 9000)::DOUBLE AS rymin, (c_custkey * 71 % 9000 + 40 + c_custkey % 60)::DOUBLE AS rxmax, (c_custkey * 29 % 9000 + 40 + c_custkey % 50)::DOUBLE AS rymax FROM customer),
@@ -163,12 +163,43 @@ def commune(spark, sf_dir):
       CASE WHEN coalesce(ra, 0) <= 0 THEN 'unmatched' WHEN ra < 20 THEN 'low_overlap' ELSE 'matched' END AS osm_match_status, CASE WHEN ra >= 20 THEN cid END AS construction, CASE WHEN ra >= 20 THEN yr::INT END AS year, la AS landuse_m2,
       CASE WHEN lower(lu) IN ('retail', 'industrial') THEN lower(lu) WHEN f.id % 5 = 2 THEN 'hospital' WHEN lu IS NOT NULL THEN lu WHEN f.id % 4 = 1 THEN 'shed' WHEN f.id % 4 = 2 THEN 'education' ELSE '' END AS zone_tag
     FROM f JOIN p ON {_meet("b", "p")} LEFT JOIN br ON br.id = f.id LEFT JOIN bl ON bl.id = f.id WHERE {_area("b", "p")} >= 50
-""")
+"""
+
+
+def _pairs(found):
+    return found.select("osm_building_id", "numero_norm", "footprint_m2", "intersection_area_m2", "osm_match_status", F.col("batiment_construction_id").alias("construction"), F.col("annee_construction").alias("year"), F.col("landuse_intersection_area_m2").alias("landuse_m2"), "zone_tag")
+
+
+@query(_PAIRS)
 def building_parcel_pairs(spark, sf_dir):
     from ..operators.features import building_parcel_pairs as pairs
 
-    found = pairs(*commune(spark, sf_dir))
-    return found.select("osm_building_id", "numero_norm", "footprint_m2", "intersection_area_m2", "osm_match_status", F.col("batiment_construction_id").alias("construction"), F.col("annee_construction").alias("year"), F.col("landuse_intersection_area_m2").alias("landuse_m2"), "zone_tag")
+    return _pairs(pairs(*commune(spark, sf_dir)))
+
+
+def slanted(df, p: str):
+    """Boxes pushed sideways by half their height: parallelograms of the same areas and common areas, in wider boxes."""
+    corner = lambda x, y: F.struct((F.col(p + x) + F.col(p + y) / 2).alias("x"), F.col(p + y).alias("y"))
+    ring = F.array(corner("xmin", "ymin"), corner("xmax", "ymin"), corner("xmax", "ymax"), corner("xmin", "ymax"))
+    rings = df.withColumn(p + "polygon", F.array(ring))
+    return rings.withColumns({p + "xmin": F.col(p + "xmin") + F.col(p + "ymin") / 2, p + "xmax": F.col(p + "xmax") + F.col(p + "ymax") / 2})
+
+
+# Unlike boxes, polygons that only touch waive nothing.
+@query(_PAIRS.replace(f"AND {_meet('b', 'l')}))", f"AND {_area('b', 'l')} > 0))"))
+def polygon_parcel_pairs(spark, sf_dir):
+    from ..operators.features import building_parcel_pairs as pairs
+
+    return _pairs(pairs(*[slanted(df, p) for df, p in zip(commune(spark, sf_dir), "bprl")]))
+
+
+@query(f"""
+    WITH {_SQL_BOXES} SELECT id FROM b WHERE NOT EXISTS (SELECT 1 FROM p WHERE bxmin <= pxmax AND pxmin <= bxmax AND bymin <= pymax AND pymin <= bymax
+      AND {_SQL_AREA} >= 0.5 * least((bxmax - bxmin) * (bymax - bymin), (pxmax - pxmin) * (pymax - pymin)))
+""")
+def polygon_antijoin_ratio(spark, sf_dir):
+    b, p = boxes(spark, sf_dir)
+    return S.without_covered(slanted(b, "b"), slanted(p, "p"), "b", "p", 128.0, ["id"], exact=True).select("id")
 
 
 @query()
