@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-WORK_DIR = "/tmp/checkpoints"
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -30,9 +31,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def _local_dir() -> str:
+    return tempfile.mkdtemp(prefix="parcelight-")
+
+
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the cluster names none."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or WORK_DIR).rstrip("/")
+    """The folder that driver and executors share, as spark.checkpoint.dir names it. Only where driver and executors are
+    one process does a temporary folder do instead."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared:
+        return shared.rstrip("/")
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return _local_dir()
+    raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
