@@ -74,7 +74,9 @@ def street_candidates(queries: DataFrame, establishments: DataFrame) -> DataFram
     near = graded.filter((F.col("kind") == 2) & (F.col("found") < ENOUGH)).withColumn("wr", weighted_ratio_udf("voie_q", "voie_db")).filter(F.col("wr") >= CANDIDATE_STREET)
     near = top_per_group(near, ["code_insee", "voie_q"], [F.desc("wr"), F.asc("voie_db")], STREETS, "_s").drop("_s")
     plain = graded.filter((F.col("kind") < 2) & (F.col("kind") == F.col("first"))).withColumn("wr", F.when(F.col("kind") == 0, 100.0).otherwise(90.0))
-    chosen = plain.select("code_insee", "voie_q", "voie_db", "wr").unionByName(near.select("code_insee", "voie_q", "voie_db", "wr"))
+    plain = plain.withColumn("street_ratio", F.when(F.col("kind") == 0, 100.0).otherwise(weighted_ratio_udf("voie_q", "voie_db")))
+    near = near.withColumn("street_ratio", F.col("wr"))
+    chosen = plain.unionByName(near).select("code_insee", "voie_q", "voie_db", "wr", "street_ratio")
     rows = queries.withColumnRenamed("voie", "voie_q").join(chosen, ["code_insee", "voie_q"]).join(establishments.withColumnRenamed("voie", "voie_db"), ["code_insee", "voie_db"])
     return top_per_group(rows, ["query_id"], [F.desc("wr"), F.asc("siret")], MOST, "_r").drop("_r")
 
@@ -88,7 +90,7 @@ def match_establishments(queries: DataFrame, establishments: DataFrame, least: f
     rows = street_candidates(queries.filter(blank("voie") != ""), establishments.filter(blank("numero") != ""))
     numbers = rows.select("siret", "query_id", "numero", F.explode("numbers").alias("asked")).withColumn("r", ratio_udf("numero", "asked"))
     best = numbers.groupBy("query_id", "siret").agg(F.max("r").alias("best_ratio"))
-    scored = rows.join(best, ["query_id", "siret"], "left").withColumn("street_ratio", weighted_ratio_udf("voie_q", "voie_db"))
+    scored = rows.join(best, ["query_id", "siret"], "left")
     tier = number_tier(F.col("numbers"), F.col("numero"), F.coalesce("best_ratio", F.lit(0.0)))
     scored = scored.withColumn("_s", address_score(tier, F.col("voie_q"), F.col("voie_db"), F.col("street_ratio"), F.col("indice_q"), F.col("indice"), F.col("commune_q"), F.col("commune"), F.col("cp_q"), F.col("cp")))
     tried = scored.select("query_id").distinct().withColumn("_tried", F.lit(True))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -28,8 +28,9 @@ def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     """(node, component): the component being its least node, for every node of edges, whose first two columns may have
     any one comparable type. Loops and repeated edges are fine, null ends are left out.
 
-    Alternates large and small stars, which takes a number of rounds logarithmic in the components' sizes; only two
-    numbers per round reach the driver, and each round is stored in the shared folder.
+    Alternates large and small stars, which takes a number of rounds logarithmic in the components' sizes. A round is one
+    job: its edges are stored in the shared folder, and while they are written two numbers are taken of them, which tell
+    the driver whether anything has changed.
     """
     a, b = edges.columns[:2]
     pairs = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).filter(F.col("x").isNotNull() & F.col("y").isNotNull())
@@ -37,9 +38,10 @@ def connected_components(edges: DataFrame, most_rounds: int = 50) -> DataFrame:
     now = materialize(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct(), "edges")
     seen = None
     for _ in range(most_rounds):
-        now = materialize(_stars(materialize(_stars(now, small=False), "stars"), small=True), "edges")
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).head())
-        if state == seen:
+        told = Observation()
+        both = _stars(_stars(now, small=False), small=True)
+        now = materialize(both.observe(told, F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("sum")), "edges")
+        if (state := told.get) == seen:
             break
         seen = state
     else:
