@@ -8,8 +8,10 @@ between.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from parcelight.llm import decontamination, line_dedup, ngram_join, packing, quality
+from parcelight.llm.names import unused
 from parcelight.session import materialize, table
 
 #: SQL can't express the classifier and the packing.
@@ -20,7 +22,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Drops the documents that the classifier rejects (score below 0.3). It learns from the labelled documents of the
     input table, so that its verdicts don't depend on what was dropped before."""
     model = quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return docs.withColumn("_score", quality.scorer(model)("text")).filter(f"_score >= {quality.THRESHOLD}").drop("_score")
+    (score,) = unused(docs, "_score")
+    return docs.withColumn(score, quality.scorer(model)("text")).filter(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
