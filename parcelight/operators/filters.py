@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.geo import valid_wgs84
 from ..functions.text import blank
 
 #: Fixed values.
@@ -172,3 +173,13 @@ def accepts_reverse(kind, city, commune, score, metres, pro, fallback) -> Column
         .when(~F.coalesce(metres <= most, F.lit(False)), no("ban_distance_above_threshold"))
         .otherwise(F.struct(F.lit(True).alias("ok"), F.lit("").alias("reason")))
     )
+
+
+#: Fixed value: the least score of a forward geocode hit.
+FORWARD_SCORE = 0.75
+
+
+def accepts_forward(score, lat, lng, city, commune, least: float = FORWARD_SCORE) -> Column:
+    """Whether a forward hit counts: score, a place on earth, and the commune asked for, which must be a five-digit code."""
+    asked = F.trim(blank(commune))
+    return F.coalesce(asked.rlike(r"^[0-9]{5}$") & (score >= least) & valid_wgs84(lat, lng) & (F.trim(blank(city)) == asked), F.lit(False))

@@ -85,9 +85,9 @@ def encode(features: list[tuple[str, list[np.ndarray]]]) -> bytes:
     return field(3, layer)
 
 
-def build_tiles(buildings: DataFrame, zoom: int, most: int = 20_000) -> DataFrame:
+def build_tiles(buildings: DataFrame, zoom: int, most: int | None = None) -> DataFrame:
     """(x, y, n, tile) from buildings (id, ring of degrees, box xmin, ymin, xmax, ymax): every tile that a box touches. A
-    tile draws its `most` largest boxes, which meet in one task."""
+    tile draws all its boxes, the largest first, or the `most` largest; as it is one value, they meet in one task."""
     corners = tile_of(F.col("xmin"), F.col("ymax"), zoom), tile_of(F.col("xmax"), F.col("ymin"), zoom)
     placed = buildings.withColumn("_a", corners[0]).withColumn("_b", corners[1])
     wide = placed.withColumn("x", F.explode(F.sequence("_a.x", "_b.x"))).withColumn("y", F.explode(F.sequence("_a.y", "_b.y")))
@@ -103,6 +103,6 @@ def build_tiles(buildings: DataFrame, zoom: int, most: int = 20_000) -> DataFram
         return pd.DataFrame([(x, y, len(features), encode(features))], columns=["x", "y", "n", "tile"])
 
     size = (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin"))
-    rows = top_per_group(wide, ["x", "y"], [F.desc(size), F.asc("id")], most, "_rank").select("x", "y", "id", "ring", "_rank")
+    rows = top_per_group(wide, ["x", "y"], [F.desc(size), F.asc("id")], most or (1 << 31) - 1, "_rank").select("x", "y", "id", "ring", "_rank")
     return rows.groupBy("x", "y").applyInPandas(lambda k, pdf: draw(k, pdf), "x int, y int, n long, tile binary")
 

@@ -250,3 +250,40 @@ def display_addresses(spark, sf_dir):
     k, c = F.col("o_orderkey"), F.col("o_custkey")
     shown = features.display_address(pick(k, "12 rue A", "", None), pick(c, None, "siege", " "), pick(c, "owner", None), k % 5 == 0, pick(k, " back", ""), c % 4 == 0)
     return table(spark, sf_dir, "orders").select("o_orderkey", shown.alias("s")).select("o_orderkey", "s.source", "s.address")
+
+
+@query("""
+    WITH h AS (SELECT o_orderkey, 0.6 + (o_orderkey % 40) / 100.0::DOUBLE AS score, CASE WHEN o_custkey % 9 = 0 THEN 95.0 ELSE 44.8 END AS lat, ['33318', ' 33318 ', '33063', NULL][1 + o_custkey % 4] AS city, CASE WHEN o_orderkey % 13 = 0 THEN '2A004' ELSE '33318' END AS asked FROM orders)
+    SELECT o_orderkey, coalesce(asked = '33318' AND score >= 0.75::DOUBLE AND lat <= 90 AND trim(city) = asked, false) AS accepted FROM h
+""")
+def forward_hits(spark, sf_dir):
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    lat = F.when(c % 9 == 0, 95.0).otherwise(44.8)
+    accepted = filters.accepts_forward(F.lit(0.6) + (k % 40) / F.lit(100.0), lat, F.lit(-0.6), pick(c, "33318", " 33318 ", "33063", None), F.when(k % 13 == 0, "2A004").otherwise("33318"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", accepted.alias("accepted"))
+
+
+@query("""
+    WITH s AS (SELECT s_suppkey AS k, lpad(s_suppkey::VARCHAR, 14, '1') AS head, lpad(s_suppkey::VARCHAR, 14, '2') AS other FROM supplier),
+    p AS (SELECT *, [head, other, 'x', '9'][1 + k % 4] AS asked FROM s)
+    SELECT k, CASE WHEN asked = other THEN other ELSE head END AS siret, CASE WHEN asked = other AND k % 8 < 4 THEN '47.11Z' WHEN asked = head THEN '01.11Z' ELSE '62.01Z' END AS naf,
+      CASE WHEN k % 3 = 0 THEN NULL WHEN k % 3 = 1 THEN 'Ann Lee (Gérante)' ELSE 'Lee' END AS manager, CASE WHEN asked = other AND k % 8 < 4 THEN '11' ELSE '03' END AS workforce, CASE WHEN asked = other AND k % 8 < 4 THEN '2021' ELSE '2020' END AS workforce_year, 'N' AS name, 'H' AS address
+    FROM p
+""")
+def company_enrichment(spark, sf_dir):
+    """Head office or a second establishment as the preferred one; leaders with and without role."""
+    k = F.col("s_suppkey")
+    text = lambda v: F.lit(v).cast("string")
+    place = lambda siret, naf, size, year: F.struct(siret.alias("siret"), F.lit("H").alias("adresse"), text(None).alias("geo_adresse"), naf.alias("activite_principale"), size.alias("tranche_effectif_salarie"), year.alias("annee_tranche_effectif_salarie"))
+    head, other = F.lpad(k.cast("string"), 14, "1"), F.lpad(k.cast("string"), 14, "2")
+    told = lambda v: F.when(k % 8 < 4, v).otherwise(" ")
+    leader = lambda kind, last, first, role: F.struct(F.lit(kind).alias("type_dirigeant"), text(last).alias("nom"), text(first).alias("prenoms"), text(role).alias("qualite"))
+    firm, nobody = leader("personne morale", "Firm", None, "x"), leader("personne physique", " ", None, "x")
+    leaders = F.when(k % 3 == 0, F.array(firm, nobody)).when(k % 3 == 1, F.array(firm, leader("personne physique", "Lee", " Ann ", "Gérante"))).otherwise(F.array(leader("personne physique", "Lee", None, None)))
+    company = F.struct(
+        F.lit("1").alias("siren"), text(None).alias("nom_complet"), F.lit("N").alias("nom_raison_sociale"), F.lit("62.01Z").alias("activite_principale"), F.lit("03").alias("tranche_effectif_salarie"), F.lit("2019").alias("annee_tranche_effectif_salarie"),
+        place(head, F.lit("01.11Z"), text(None), F.lit("2020")).alias("siege"), F.array(place(other, told("47.11Z"), told("11"), told("2021"))).alias("matching_etablissements"), leaders.alias("dirigeants"),
+    )
+    asked = F.when(k % 4 == 0, head).when(k % 4 == 1, other).when(k % 4 == 2, "x").otherwise("9")
+    rows = table(spark, sf_dir, "supplier").select(k.alias("k"), company.alias("c"), asked.alias("asked")).select("k", features.enriched_company(F.col("c"), F.col("asked")).alias("e"))
+    return rows.select("k", *[F.col(f"e.{n}") for n in ("siret", "naf", "manager", "workforce", "workforce_year", "name", "address")])

@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
 CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -48,11 +49,24 @@ def work_dir(spark: SparkSession) -> str:
     raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
 
 
+def discard(spark: SparkSession) -> int:
+    """Deletes the intermediate tables that this process has written and returns their number. Results that still read
+    from them must have been stored before."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for path in _written:
+        place = hadoop.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    n = len(_written)
+    _written.clear()
+    return n
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes df once to the shared folder and reads it back, so that no later stage
     computes it again and a lost executor costs a re-read only."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     before = spark.conf.get(CLEAN_SHUFFLES)
     spark.conf.set(CLEAN_SHUFFLES, "true")  # nothing reads the shuffle files of this write again
     try:

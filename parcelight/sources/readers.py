@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import io
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -89,14 +90,15 @@ def features_of(chunks: Iterator[str]) -> Iterator[dict]:
 
 def geojson_parcels(spark: SparkSession, path: str) -> DataFrame:
     """Parcels of gzipped FeatureCollections: polygons and multipolygons with commune, section and number. A file is one
-    task (gzip can't be split) and is decoded feature by feature."""
+    task (gzip can't be split), which holds its packed bytes and unpacks and decodes it piece by piece."""
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for content in batch["content"]:
-                data = gzip.decompress(content) if content[:2] == b"\x1f\x8b" else content
-                text, rows = data.decode("utf-8", "replace"), []
-                for f in features_of(text[k : k + (1 << 20)] for k in range(0, len(text), 1 << 20)):
+                raw = io.BytesIO(content)
+                text = io.TextIOWrapper(gzip.GzipFile(fileobj=raw) if content[:2] == b"\x1f\x8b" else raw, "utf-8", "replace")
+                rows = []
+                for f in features_of(iter(lambda: text.read(1 << 20), "")):
                     p, g = f.get("properties") or {}, f.get("geometry") or {}
                     if g.get("type") not in ("Polygon", "MultiPolygon"):
                         continue

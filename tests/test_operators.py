@@ -250,3 +250,35 @@ def test_adjacent_polygons(spark):
     df = spark.createDataFrame(rows, "i int, ppolygon array<array<struct<x:double,y:double>>>, pxmin double, pymin double, pxmax double, pymax double")
     near = lambda exact: sorted(r["i"] for r in spatial.adjacent(df, df.filter("i = 1"), "p", 2.0, ["i"], 4.0, exact).collect())
     assert near(False) == [2, 3] and near(True) == [2]
+
+
+def test_components(spark):
+    import random
+
+    from parcelight.operators.components import connected_components
+
+    rng = random.Random(4)
+    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(160)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5), (None, 3), (7, None)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    whole = [e for e in edges if None not in e]
+    for a, b in whole:
+        x, y = sorted((root(a), root(b)))
+        parent[y] = x
+    assert got == {x: root(x) for e in whole for x in e}
+    assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_multipolygons(spark):
+    square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]
+    rows = [("LineString", square, None), ("LineString", square[:3], None), ("Polygon", None, [[square]]), ("GeometryCollection", None, [[square], [square]]), ("Point", None, []), ("Point", None, None)]
+    df = spark.createDataFrame(rows, "k string, l array<struct<x:double,y:double>>, p array<array<array<struct<x:double,y:double>>>>")
+    got = [r[0] for r in df.select(geo.as_multipolygon(F.col("k"), F.col("l"), F.col("p"))).collect()]
+    assert [None if g is None else len(g) for g in got] == [1, None, 1, 2, None, None]
