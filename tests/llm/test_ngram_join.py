@@ -5,7 +5,6 @@ import numpy as np
 import pytest
 
 from parcelight.llm import ngram_join as N
-from parcelight.operators.components import connected_components
 
 
 def shingles(text):
@@ -104,22 +103,3 @@ def test_likenesses_equal_sets():
         for j in range(90):
             if i != j:
                 assert got[i, j] == len(np.intersect1d(sets[i], sets[j]))
-
-
-def test_components(spark):
-    rng = random.Random(4)
-    edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(160)] + [(1000 + i, 1001 + i) for i in range(60)] + [(5, 5)]
-    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    parent = {}
-
-    def root(x):
-        parent.setdefault(x, x)
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for a, b in edges:
-        x, y = sorted((root(a), root(b)))
-        parent[y] = x
-    assert got == {x: root(x) for e in edges for x in e}
-    assert connected_components(spark.createDataFrame([], "a long, b long")).collect() == []

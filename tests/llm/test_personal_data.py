@@ -123,3 +123,50 @@ def test_clashing_names(make_docs):
     docs = make_docs(["a@b.co"], _found="kept", base="x")
     row = P.find_personal_data(docs).collect()[0]
     assert row["_found"] == "kept" and triples(row["base"]) == [("email", 0, 6)]
+
+
+def test_thresholds():
+    score, label = np.array([0.1, 0.2, 0.7, 0.8, 0.9]), np.array([0, 0, 1, 1, 1.0])
+    assert 0.2 < P.calibrated(score, label, 0.98) < 0.5
+    assert P.calibrated(score, np.zeros(5), 0.98) == 2.0 == P.calibrated(score[:0], label[:0], 0.98)
+    assert 0.8 < P.calibrated(score, np.array([1, 0, 1, 0, 1.0]), 0.98) <= 0.9
+    assert all(0.05 < t < 0.95 for t in P.train().thresholds.values())
+
+
+#: Written by hand, unlike the examples for training; * marks the span.
+RIGHT = {
+    "local_phone": ["Please phone *(212) 555-0198* before noon", "Tel *030 901 8200*", "my mobile is down, call *415-555-2671* instead", "fax *212.555.0147*"],
+    "national_id": ["SSN *219-09-9998*", "his social security number was *457-55-5462*", "tax id *123-45-6789*, filed"],
+    "iban": ["IBAN *GB29 NWBK 6016 1331 9268 19*", "to the account *DE89370400440532013000* by Friday", "*FR14 2004 1010 0505 0001 3M02 606*", "bank *NL91ABNA0417164300*"],
+    "ipv6": ["ping *2001:4860:4860::8888* first", "host *fe80::1ff:fe23:4567:890a* is up", "*2606:2800:220:1:248:1893:25c8:1946*"],
+    "spelled_email": ["contact *jane.doe (at) example (dot) org*", "write to *max [at] mail [dot] example [dot] com*", "e-mail: *info(at)site(dot)net*"],
+}
+WRONG = {
+    "local_phone": ["order 123-456-7890", "isbn 978 316 1484", "part 555-123-4567"],
+    "national_id": ["invoice 000-12-3456", "ref 987-65-4321"],
+    "iban": ["code GB29 NWBK 6016 1331 9268 18", "DE00370400440532013000"],
+    "ipv6": ["mac 00:1b:44:11:3a:b7:00:11", "std::dec and std::ace"],
+    "spelled_email": ["meet at noon (at) cafe. then"],
+}
+
+
+def test_planted_in_the_corpus(spark, make_docs, texts):
+    """Hand-written cases put between the words of documents of the corpus."""
+    bodies = [t for t in texts.values() if t and len(t) < 3000 and not re.search(r"[0-9@:]", t)]
+    planted = [(kind, s) for kind, own in RIGHT.items() for s in own]
+    decoys = [(kind, s) for kind, own in WRONG.items() for s in own]
+    docs, want = [], []
+    for k, (kind, s) in enumerate([*planted, *decoys] * 3):
+        words = bodies[k % len(bodies)].split(" ")
+        at = (7 * k) % (len(words) + 1)
+        head = " ".join(words[:at]) + " " * (at > 0)
+        plain = s.replace("*", "")
+        start = len(head) + s.index("*") if "*" in s else -1
+        docs.append(head + plain + " " + " ".join(words[at:]))
+        want.append((kind, start, start + s.rindex("*") - s.index("*") - 1 if "*" in s else -1, "*" in s))
+    found = {r["doc_id"]: triples(r["more"]) for r in P.find_personal_data(make_docs(docs)).collect()}
+    caught = [(kind, a, b) in found[k] for k, (kind, a, b, right) in enumerate(want) if right]
+    false = [any(f[0] == kind for f in found[k]) for k, (kind, _, _, right) in enumerate(want) if not right]
+    lost = {docs[k][a - 8 : b + 4] for k, (kind, a, b, right) in enumerate(want) if right and (kind, a, b) not in found[k]}
+    assert np.mean(caught) >= 0.9, lost
+    assert np.mean(false) <= 0.1, [docs[k][:60] for k, w in enumerate(want) if not w[3] and found[k]][:5]
