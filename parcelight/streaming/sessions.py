@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -79,18 +80,34 @@ def check_quota(count, reset_at, now, limit: int, period: str, zone: str = ZONE)
 
 def throttle(calls: DataFrame, key: str, ts: str, tie: str, interval_ms: int) -> DataFrame:
     """Each key's number of calls, accepted calls and the last accepted one's milliseconds: a call is accepted if the
-    interval has passed since the last accepted one. A fold over the key's sorted times."""
+    interval has passed since the last accepted one. The calls of a key pass by in order, batch after batch, and only its
+    counts and last time are kept, so a key may have any number of them."""
     zoneless = calls.schema[ts].dataType.simpleString() == "timestamp_ntz"  # taken as UTC
     millis = F.timestamp_diff("MILLISECOND", F.lit("1970-01-01").cast("timestamp_ntz"), ts) if zoneless else F.unix_millis(ts)
-    times = calls.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(millis.alias("t"), F.col(tie).alias("tie")))).alias("_t"))
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(None).cast("long").alias("last"))
-
-    def step(s, x):
-        fine = s["last"].isNull() | (x["t"] - s["last"] >= interval_ms)
-        return F.struct(F.when(fine, s["n"] + 1).otherwise(s["n"]).alias("n"), F.when(fine, x["t"]).otherwise(s["last"]).alias("last"))
-
-    folded = F.aggregate("_t", start, step)
-    return times.select(key, F.size("_t").cast("long").alias("n_calls"), folded["n"].alias("n_accepted"), folded["last"].alias("last_accepted_ms"))
+    rows = calls.select(F.col(key).alias("key"), millis.alias("t"), F.col(tie).alias("tie")).repartition("key").sortWithinPartitions("key", "t", "tie").select("key", "t")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, out = None, []
+        for batch in batches:
+            for k, t in zip(batch["key"].to_pylist(), batch["t"].to_pylist()):
+                if now is None or now[0] != k:
+                    out += [now] if now else []
+                    now = [k, 0, 0, None]
+                now[1] += 1
+                if now[3] is None or t - now[3] >= interval_ms:
+                    now[2], now[3] = now[2] + 1, t
+            done, out = out, []
+            yield told(done, batch.schema.field("key").type)
+            kind = batch.schema.field("key").type
+        if now:
+            yield told([now], kind)
+
+    def told(done: list, kind: pa.DataType) -> pa.RecordBatch:
+        columns = list(zip(*done)) or [()] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, pa.int64(), pa.int64(), pa.int64()))], ["key", "n_calls", "n_accepted", "last_accepted_ms"])
+
+    folded = rows.mapInArrow(fold, f"key {calls.schema[key].dataType.simpleString()}, n_calls long, n_accepted long, last_accepted_ms long")
+    return folded.withColumnRenamed("key", key)
 
 
 def throttle_stream(calls: DataFrame, key: str, ts: str, interval_ms: int) -> DataFrame:

@@ -50,3 +50,15 @@ def test_decisions(spark):
     clamps = spark.createDataFrame([("-5",), ("1e12",), ("NaN",), (None,), ("0.4",)], "x string")
     rows = clamps.select(S.clamp_duration(F.col("x")), S.clamp_counter(F.col("x")), S.clamp_share(F.col("x"))).collect()
     assert [tuple(r) for r in rows] == [(0, 0, 0.0), (86_400_000, 1_000_000, 1.0), (0, 0, 0.0), (0, 0, 0.0), (0, 0, 0.4)]
+
+
+def test_throttle_of_a_busy_key(spark):
+    """A key with calls over many batches, one without any, and the null key."""
+    from pyspark.sql import functions as F
+
+    from parcelight.streaming import sessions
+
+    calls = spark.range(30_000).select(F.when(F.col("id") < 25_000, "hot").when(F.col("id") < 29_990, F.concat(F.lit("k"), (F.col("id") % 7).cast("string"))).alias("u"), F.timestamp_millis(F.col("id") * 1000).alias("ts"), "id")
+    got = {r["u"]: tuple(r)[1:] for r in sessions.throttle(calls, "u", "ts", "id", 12_000).collect()}
+    assert got["hot"] == (25_000, 2_084, 24_996_000) and got[None] == (10, 1, 29_990_000) and len(got) == 9
+    assert sessions.throttle(calls.limit(0), "u", "ts", "id", 1).collect() == []
