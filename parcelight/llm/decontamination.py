@@ -206,7 +206,7 @@ def searcher(items: list[tuple[int, str]]):
             rows.append((len(words), new, sorted(map(str, hit))))
         return pd.DataFrame(rows, columns=["n", "spans", "items"])
 
-    return find
+    return find.asNondeterministic()  # so that Spark keeps it where it is, and runs it once, when a filter follows
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
