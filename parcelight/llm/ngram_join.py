@@ -12,11 +12,12 @@ and compared block by block, in separate tasks.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -31,12 +32,15 @@ LIKENESS = (9, 4)
 #: Sketches of pairs at 0.8 agree in 85 % of their values; four standard deviations less go on.
 LEAST_AGREEING = 42
 BRUTE, NODE, BLOCK, BLOCK_SHINGLES = 256, 20_000, 1000, 4_000_000
+#: The chance to miss a pair of similarity 0.8 that needs no further runs, and the depth up to which a round is below it.
+MISS, SHALLOW = 0.001, 3
 #: Elements of a task's temporary arrays.
 CHUNK = 500_000
 
 _rng = np.random.default_rng(20_240_613)
 _FACTORS = _rng.integers(1, 1 << 63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_PATHS = np.array([[r, *_rng.choice([c for c in range(VALUES) if c != r], DEPTH - 1, replace=False)] for r in range(RUNS)])
+#: A path for each first coordinate, so that there are VALUES / RUNS rounds.
+_PATHS = np.array([[r, *_rng.choice([c for c in range(VALUES) if c != r], DEPTH - 1, replace=False)] for r in range(VALUES)])
 
 
 def shingle_sets(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -109,15 +113,19 @@ def runs_of(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]]) if len(keys) else np.zeros(1, int)
 
 
-def split_node(rows: np.ndarray, depth: int, path: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Pairs of rows with like sketches that connect all rows so alike which a path of this node brings together."""
-    if len(rows) > BRUTE and depth < DEPTH:
-        order = rows[np.argsort(path[rows, depth], kind="stable")]
-        bounds = runs_of(path[order, depth])
-        for a, b in zip(bounds, bounds[1:]):
-            if b - a > 1:
-                yield from split_node(order[a:b], depth + 1, path, n, low, high)
+def leaves(rows: np.ndarray, depth: int, path: np.ndarray, brute: int) -> Iterator[tuple[np.ndarray, int]]:
+    """The leaves below a node, each with its depth."""
+    if len(rows) <= brute or depth >= DEPTH:
+        yield rows, depth
         return
+    order = rows[np.argsort(path[rows, depth], kind="stable")]
+    bounds = runs_of(path[order, depth])
+    for a, b in zip(bounds, bounds[1:]):
+        yield from leaves(order[a:b], depth + 1, path, brute)
+
+
+def connect(rows: np.ndarray, n: np.ndarray, low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Pairs of rows with like sketches that connect all rows of a leaf which are so alike."""
     while len(rows) > 1:
         queue, rows = [rows[0]], rows[1:]
         while queue and len(rows):
@@ -130,22 +138,30 @@ def split_node(rows: np.ndarray, depth: int, path: np.ndarray, n: np.ndarray, lo
             rows = rows[~like]
 
 
-def candidate_edges(sets: DataFrame, node_rows: int = NODE) -> DataFrame:
-    """Pairs (a, b) of set numbers, from all runs."""
+def run_paths(sets: DataFrame, first: int, node_rows: int, brute: int) -> DataFrame:
+    """One round: the runs from number `first` on. Pairs (a, b) of set numbers with depth 0, and a row (a, a, depth) for
+    each run that took a set deeper than SHALLOW."""
     steps = lambda r: F.array(*[F.get("values", F.lit(int(c))) for c in _PATHS[r]])
-    runs = F.array(*[F.struct(F.xxhash64(F.lit(r), F.get("values", F.lit(int(_PATHS[r][0])))).alias("node"), steps(r).alias("path")) for r in range(RUNS)])
-    rows = sets.filter("n > 0").select("cls", F.col("n").cast("int").alias("n"), "low", "high", F.explode(runs).alias("_r")).select("cls", "n", "low", "high", "_r.*")
+    runs = F.array(*[F.struct(F.xxhash64(F.lit(r), F.get("values", F.lit(int(_PATHS[r][0])))).alias("node"), steps(r).alias("path")) for r in range(first, first + RUNS)])
+    rows = sets.select("cls", F.col("n").cast("int").alias("n"), "low", "high", F.explode(runs).alias("_r")).select("cls", "n", "low", "high", "_r.*")
     rows = rows.withColumn("depth", F.lit(1))
     for depth in range(1, DEPTH + 1):
         crowded = rows.groupBy("node").agg(F.count("*").alias("_n")).filter(F.col("_n") > node_rows)
         if not crowded.head(1):
             break
-        # At the end of the path the sets are so alike that any part of a node connects; each run cuts it differently.
-        part = F.pmod(F.xxhash64("node", "cls"), F.ceil(F.col("_n") / node_rows))
-        child = F.xxhash64("node", F.get("path", F.lit(depth)) if depth < DEPTH else part)
-        split = F.col("_n").isNotNull() & (F.col("depth") == depth)
         joined = rows.join(materialize(crowded, "nodes"), "node", "left")
-        rows = joined.withColumns({"node": F.when(split, child).otherwise(F.col("node")), "depth": F.when(split, depth + 1).otherwise(F.col("depth"))}).drop("_n")
+        split = F.col("_n").isNotNull() & (F.col("depth") == depth)
+        if depth < DEPTH:
+            child = F.xxhash64("node", F.get("path", F.lit(depth)))
+            rows = joined.withColumns({"node": F.when(split, child).otherwise(F.col("node")), "depth": F.when(split, depth + 1).otherwise(F.col("depth"))}).drop("_n")
+        else:
+            # No token is left to split by: every pair of parts is a node, so that all pairs meet. Only a part's own node
+            # counts as a run; the others go by a depth beyond the last.
+            parts = F.when(split, F.ceil(2 * F.col("_n") / node_rows)).otherwise(1).cast("int")
+            part = F.pmod(F.xxhash64("cls"), parts).cast("int")
+            met = joined.select("*", part.alias("_p"), F.explode(F.sequence(F.lit(0), parts - 1)).alias("_o"))
+            met = met.withColumn("node", F.when(split, F.xxhash64("node", F.least("_p", "_o"), F.greatest("_p", "_o"))).otherwise(F.col("node")))
+            rows = met.withColumn("depth", F.when(F.col("_p") != F.col("_o"), DEPTH + 1).otherwise(F.col("depth"))).drop("_n", "_p", "_o")
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in groups_of(batches, "node"):
@@ -153,12 +169,50 @@ def candidate_edges(sets: DataFrame, node_rows: int = NODE) -> DataFrame:
             n, low, high = batch["n"].to_numpy().astype(int), batch["low"].to_numpy().view(np.uint64), batch["high"].to_numpy().view(np.uint64)
             path = batch["path"].flatten().to_numpy().reshape(-1, DEPTH)
             bounds = runs_of(node)
-            size = np.diff(bounds)
-            found = [p for a, k in zip(bounds[:-1][size > 1], size[size > 1]) for p in split_node(np.arange(a, a + k), int(depth[a]), path, n, low, high)]
-            pair = np.array(found, np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(cls[pair[:, 0]]), pa.array(cls[pair[:, 1]])], ["a", "b"])
-
-    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(link, "a long, b long")
+            reached, found = np.where(brute > 0, depth, DEPTH), []
+            for a, b in zip(bounds, bounds[1:]):
+                for leaf, at in leaves(np.arange(a, b), int(depth[a]), path, brute) if b - a > 1 else ():
+                    reached[leaf] = at
+                    found.extend(connect(leaf, n, low, high))
+            pair, deep = np.array(found, np.int64).reshape(-1, 2), np.flatnonzero((reached > SHALLOW) & (reached <= DEPTH))
+            columns = [[cls[pair[:, 0]], cls[deep]], [cls[pair[:, 1]], cls[deep]], [np.zeros(len(pair), np.int32), reached[deep].astype(np.int32)]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["a", "b", "depth"])
+
+    return rows.repartition("node").sortWithinPartitions("node").mapInArrow(link, "a long, b long, depth int")
+
+
+def chance_to_miss(runs_at: dict[int, Column]) -> Column:
+    """The chance that all runs part a pair of similarity 0.8, given the number of runs that reached each depth. The runs
+    share the 64 values, so it is the mean over how many of these differ (a binomial number)."""
+    differ = range(VALUES - DEPTH)
+    parted = lambda depth, d: math.log1p(-math.comb(VALUES - d, depth) / math.comb(VALUES, depth)) if d else -1e9
+    weight = lambda d: math.comb(VALUES, d) * 0.2**d * 0.8 ** (VALUES - d)
+    cases = [F.array(F.lit(weight(d)), *[F.lit(parted(depth, d)) for depth in runs_at]) for d in differ]
+    log = lambda case: sum(case[i] * k for i, k in enumerate(runs_at.values(), 1))
+    return F.aggregate(F.array(*cases), F.lit(0.0), lambda total, case: total + case[0] * F.exp(log(case)))
+
+
+def candidate_edges(sets: DataFrame, node_rows: int = NODE, brute: int = BRUTE, miss: float = MISS) -> DataFrame:
+    """Pairs (a, b) of set numbers, from as many rounds of runs as bring every set's chance to miss a partner of similarity
+    0.8, judged by how deep its own runs went, below `miss`, or all. Nodes of up to `brute` sets don't split; with 0 all do
+    to the end of their path."""
+    deeper = range(SHALLOW + 1, DEPTH + 1)
+    edges, left = None, sets.filter("n > 0").withColumns({f"at_{d}": F.lit(0) for d in deeper})
+    for first in range(0, VALUES, RUNS):
+        found = materialize(run_paths(left, first, node_rows, brute), "pairs")
+        pairs = found.filter("depth = 0").select("a", "b")
+        edges = pairs if edges is None else edges.union(pairs)
+        deep = found.filter("depth > 0").groupBy(F.col("a").alias("cls")).agg(*[F.count_if(F.col("depth") == d).alias(f"more_{d}") for d in deeper])
+        left = left.join(deep, "cls").withColumns({f"at_{d}": F.col(f"at_{d}") + F.col(f"more_{d}") for d in deeper})
+        runs_at = {d: F.col(f"at_{d}").cast("double") for d in deeper}
+        runs_at[SHALLOW] = F.greatest(first + RUNS - sum(runs_at.values()), F.lit(0.0))
+        left = left.filter(chance_to_miss(runs_at) > miss).drop(*[f"more_{d}" for d in deeper])
+        if first + RUNS == VALUES:
+            break
+        left = materialize(left, "deep_sets")
+        if not left.head(1):
+            break
+    return edges.distinct()
 
 
 def likenesses(shingles: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -270,7 +324,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = (F.col("doc_id").eqNullSafe(F.col("f.doc_id"))) & (F.col("_hash") == F.col("f._hash"))
     sets = some.join(classes, ["one", "two", "n"]).filter(first).dropDuplicates(["one", "two", "n"])
     sets = materialize(sets.drop("f").withColumn("cls", F.monotonically_increasing_id()), "sets")
-    grouped = materialize(connected_components(materialize(candidate_edges(sets).distinct(), "pairs")), "groups")
+    grouped = materialize(connected_components(materialize(candidate_edges(sets), "edges")), "groups")
     members = materialize(sets.select("doc_id", "_hash", "cls", "copies", "n").join(grouped.withColumnRenamed("node", "cls"), "cls"), "members")
     links = materialize(exact_links(docs, members), "links")
     joined = connected_components(links.select("cls", "root")).withColumnRenamed("node", "cls")

@@ -67,9 +67,7 @@ def test_random_groups(make_docs, seed):
 def test_blocks_and_crowded_nodes(make_docs, monkeypatch):
     docs = copies(9, groups=3, most=90)
     monkeypatch.setattr(N, "BLOCK", 20)
-    monkeypatch.setattr(N, "BRUTE", 8)
-    monkeypatch.setattr(N, "NODE", 30)
-    monkeypatch.setattr(N.candidate_edges, "__defaults__", (30,))
+    monkeypatch.setattr(N.candidate_edges, "__defaults__", (30, 8, N.MISS))
     check(make_docs([t for _, t in docs], [i for i, _ in docs]), docs)
 
 
@@ -79,6 +77,37 @@ def test_empty_blocks(make_docs, monkeypatch):
     check(make_docs([t for _, t in docs], [i for i, _ in docs]), docs)
 
 
+def lone_pairs(seed, pairs):
+    """Texts of which 2 i and 2 i + 1 have a similarity of 36 / 45."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choices("abcdefgh", k=7))
+    out = []
+    for i in range(pairs):
+        same = [word() for _ in range(40)]
+        out += [(2 * i, " ".join(same + [word() for _ in range(4)])), (2 * i + 1, " ".join(same + [word() for _ in range(5)]))]
+    return out
+
+
+@pytest.mark.parametrize("miss, least, most", [(1.0, 0.97, 0.9999), (N.MISS, 0.997, 1)])
+def test_recall_at_full_depth(make_docs, monkeypatch, miss, least, most):
+    docs = lone_pairs(4, 1200)
+    monkeypatch.setattr(N.candidate_edges, "__defaults__", (N.NODE, 0, miss))  # all nodes split six times
+    rows = N.near_duplicates(make_docs([t for _, t in docs], [i for i, _ in docs])).filter("doc_id % 2 = 1").collect()
+    assert {r["n_links"] for r in rows} <= {0, 1}
+    assert least <= sum(r["class_id"] == r["doc_id"] - 1 for r in rows) / 1200 <= most
+
+
+def test_crowded_end_of_path(spark):
+    """Sets of one path to its end, in pairs of like sketches: all pairs meet, though the node is dealt into parts."""
+    rng, rows = np.random.default_rng(5), []
+    for i in range(60):
+        low, high = (int(x) for x in rng.integers(-(1 << 62), 1 << 62, 2))
+        rows += [(2 * i, 30, [7] * 64, low, high), (2 * i + 1, 30, [7] * 64, low, high)]
+    sets = spark.createDataFrame(rows, "cls long, n long, values array<int>, low long, high long")
+    found = {tuple(sorted(r)) for r in N.candidate_edges(sets, 20, 4).collect()}
+    assert found == {(2 * i, 2 * i + 1) for i in range(60)}
+
+
 def test_corpus(corpus, texts):
     check(corpus, list(texts.items()))
 
