@@ -87,10 +87,58 @@ told AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kind = '{r.kind}') AS n_{r
 SELECT d.doc_id, {", ".join(f"coalesce(n_{r.kind}, 0) AS n_{r.kind}" for r in BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN told USING (doc_id)
 """
 
+COPIES = r"""
+WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS p FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY p) AS group_size, doc_id = first_value(doc_id) OVER w AS kept, sha256(p) AS text_sha256
+FROM d WINDOW w AS (PARTITION BY p ORDER BY n DESC, doc_id)
+"""
+
+AUDIT = r"""
+WITH l AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY 1),
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  (len(w) < 200)::INT + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 2 * length(t))::INT
+  + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * (doc_id > min(doc_id) OVER (PARTITION BY t))::INT AS mask FROM d LEFT JOIN l USING (doc_id)),
+kinds AS (SELECT part, good, toxic, mask, count(*) AS n FROM f GROUP BY ALL),
+x AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS o FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT o, i, 1 << (instr('ABCDE', o[i]) - 1) AS own, list_sum([1 << (instr('ABCDE', o[j]) - 1) for j in range(1, i)]) AS prior FROM orders, range(1, 6) r(i)),
+counts AS (SELECT part, o, i, own,
+  sum(CASE WHEN mask & own = 0 AND mask & coalesce(prior, 0) = 0 THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN mask & own > 0 AND mask & coalesce(prior, 0) = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN mask & own > 0 AND mask & coalesce(prior, 0) > 0 THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN mask = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN good AND mask & own > 0 AND mask & coalesce(prior, 0) = 0 THEN n ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN toxic AND mask & own > 0 AND mask & coalesce(prior, 0) = 0 THEN n ELSE 0 END)::BIGINT AS toxic_lost
+  FROM kinds, steps GROUP BY ALL)
+SELECT part, o AS filter_order, i::INTEGER AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM counts
+"""
+
+
+def _assigned(k: int) -> str:
+    """Each part's distance to its nearest entry and that entry, as distance * 64 + entry."""
+    return f"a{k} AS (SELECT vec_id, part, p.v, min(list_sum([(z[1] - z[2]) * (z[1] - z[2]) for z in list_zip(p.v, c.v)])::BIGINT * 64 + e) AS m FROM p JOIN c{k} c USING (part) GROUP BY ALL)"
+
+
+def _moved(k: int) -> str:
+    return f"""s{k} AS (SELECT part, e, list((s - ((s % n) + n) % n) // n ORDER BY j) AS v FROM (SELECT part, m % 64 AS e, j, sum(v[j])::BIGINT AS s, count(*) AS n FROM (SELECT part, m, v, unnest(range(1, len(v) + 1)) AS j FROM a{k}) GROUP BY ALL) GROUP BY ALL),
+c{k + 1} AS (SELECT part, e, coalesce(s.v, c.v) AS v FROM c{k} c LEFT JOIN s{k} s USING (part, e))"""
+
+
+VECTORS = f"""
+WITH k AS (SELECT vec_id, label, [floor(256 * x::DOUBLE)::BIGINT for x in embedding] AS v FROM embeddings WHERE len(embedding) > 0 AND len([x for x in embedding if coalesce(isfinite(x), false)]) = len(embedding)),
+p AS (SELECT vec_id, part, v[part * w + 1:part * w + w] AS v FROM (SELECT vec_id, v, len(v) // 16 AS w, unnest(range(16)) AS part FROM k)),
+c0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS e, v FROM p QUALIFY e < 64),
+{_assigned(0)}, {_moved(0)}, {_assigned(1)}, {_moved(1)}, {_assigned(2)},
+coded AS (SELECT vec_id, string_agg(lpad(lower(to_hex(m % 64)), 2, '0'), '' ORDER BY part) AS code, sum(m // 64)::BIGINT AS error FROM a2 GROUP BY 1),
+book AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, e)) AS h FROM c2)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, h AS codebooks_sha256 FROM coded JOIN k USING (vec_id), book
+"""
+
 ORACLES = {
     "op1_secret_scan": SECRETS,
     "op4_substring_dedup": SUBSTRINGS,
     "op7_ngram_join": NEAR_DUPLICATES,
     "op8_decontamination": CONTAMINATION,
     "op9_line_dedup": LINES,
+    "op11_exact_dedup": COPIES,
+    "op12_filter_audit": AUDIT,
+    "op13_vector_codes": VECTORS,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, fingerprints, line_dedup, ngram_join, packing, personal_data, quality, secret_scan, sharding, substring_dedup
+from . import decontamination, exact_dedup, filter_audit, fingerprints, line_dedup, ngram_join, packing, personal_data, quality, secret_scan, sharding, substring_dedup, vector_codes
 from .oracles import ORACLES
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -18,4 +18,7 @@ QUERIES = {
     "op8_decontamination": decontamination.query,
     "op9_line_dedup": line_dedup.query,
     "op10_packing": packing.query,
+    "op11_exact_dedup": exact_dedup.query,
+    "op12_filter_audit": filter_audit.query,
+    "op13_vector_codes": vector_codes.query,
 }

@@ -10,7 +10,7 @@ from tests.test_catalog import rows_of
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_query(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark"):
+    for t in ("documents", "benchmark", "labels", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     found = con.execute(registry.ORACLES[name])
     want = rows_of([d[0] for d in found.description], found.fetchall())
