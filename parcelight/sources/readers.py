@@ -15,7 +15,9 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions.geo import valid_wgs84
+from ..functions.labels import osm_address
 from ..operators import filters
+from ..operators import osm_shapes as S
 from ..operators.ranking import best_per_key
 
 #: Columns of the owner table (legal persons by parcel).
@@ -132,25 +134,43 @@ def addresses(spark: SparkSession, path: str) -> DataFrame:
 
 #: Land uses and leisure areas that are imported.
 LANDUSE = (
-    "allotments", "brownfield", "cemetery", "commercial", "construction", "depot", "education", "farmland", "farmyard", "forest",
-    "grass", "industrial", "meadow", "military", "port", "quarry", "religious", "residential", "retail",
+    "industrial", "commercial", "retail", "residential", "education", "religious", "military", "port", "depot", "cemetery",
+    "farmyard", "farmland", "meadow", "orchard", "vineyard", "recreation_ground", "allotments", "brownfield", "construction",
 )
+LEISURE = ("sports_centre", "stadium", "pitch", "track", "golf_course", "swimming_pool", "marina")
+PARKING = ("amenity=parking", "leisure=parking", "landuse=parking")
+
+
+def is_building() -> Column:
+    building = F.lower(S.tag_text("building"))
+    return (building != "") & (building != "no")
+
+
+def is_footprint() -> Column:
+    """A building, or the ground of an institution by its amenity."""
+    return is_building() | F.lower(S.tag_text("amenity")).isin(*filters.AMENITY_ZONES)
+
+
+def allowed_landuse(landuse: tuple[str, ...] = LANDUSE, leisure: tuple[str, ...] = LEISURE) -> Column:
+    """The land use, or else the kind of leisure, as it is spelled; null unless it is among the allowed ones in any case."""
+    one = lambda key, some: F.when(F.lower(S.tag_text(key)).isin(*[a.lower() for a in some]), S.tag_text(key))
+    return F.coalesce(one("landuse", landuse), one("leisure", leisure))
 
 
 def osm_buildings(objects: DataFrame) -> DataFrame:
     """Objects (osm_type, osm_id, tags map, ...) that are buildings, or institutions by their amenity."""
-    tag = lambda k: F.lower(F.trim(X.blank(F.try_element_at("tags", F.lit(k)))))
-    building = (tag("building") != "") & (tag("building") != "no")
-    return objects.filter(building | tag("amenity").isin(*filters.AMENITY_ZONES)).withColumn("kind", F.when(building, "building").otherwise("zone"))
+    return objects.filter(is_footprint()).withColumn("kind", F.when(is_building(), "building").otherwise("zone"))
 
 
-def osm_landuse(objects: DataFrame, allowed: tuple[str, ...] = LANDUSE) -> DataFrame:
-    value = F.try_element_at("tags", F.lit("landuse"))
-    return objects.filter(F.lower(F.trim(X.blank(value))).isin(*[a.lower() for a in allowed])).withColumn("landuse", F.trim(value))
+def osm_landuse(objects: DataFrame, allowed: tuple[str, ...] = LANDUSE, leisure: tuple[str, ...] = LEISURE) -> DataFrame:
+    return objects.withColumn("landuse", allowed_landuse(allowed, leisure)).filter("landuse is not null")
 
 
-def osm_parking(objects: DataFrame) -> DataFrame:
-    tagged = objects.withColumn("_p", filters.parking_tag(F.col("tags"))).filter(F.col("_p").isNotNull())
+def osm_parking(objects: DataFrame, allowed: tuple[str, ...] = PARKING) -> DataFrame:
+    """Objects with the first allowed tag that says parking; `key` alone stands for `key=parking`."""
+    pairs = [(k.strip().lower(), (v or "parking").strip().lower()) for k, _, v in (a.partition("=") for a in allowed)]
+    wanted = [k for k, v in pairs if v == "parking"]
+    tagged = objects.withColumn("_p", filters.parking_tag(F.map_filter("tags", lambda k, v: k.isin(*wanted)))).filter(F.col("_p").isNotNull())
     return tagged.withColumn("parking_tag", F.col("_p.tag")).withColumn("parking_value", F.col("_p.value")).drop("_p")
 
 
@@ -160,6 +180,29 @@ def osm_pois(objects: DataFrame) -> DataFrame:
     return best_per_key(found, ["osm_type", "osm_id"], [F.asc("lon"), F.asc("lat")])
 
 
+def pbf_buildings(objects: DataFrame) -> DataFrame:
+    """Footprints with polygons, kind and address from the objects of an extract."""
+    return osm_buildings(S.polygons_of_objects(objects, is_footprint())).withColumn("address_text", osm_address("tags"))
+
+
+def pbf_landuse(objects: DataFrame, allowed: tuple[str, ...] = LANDUSE, leisure: tuple[str, ...] = LEISURE) -> DataFrame:
+    return osm_landuse(S.polygons_of_objects(objects, allowed_landuse(allowed, leisure).isNotNull()), allowed, leisure)
+
+
+def pbf_parking(objects: DataFrame, allowed: tuple[str, ...] = PARKING) -> DataFrame:
+    return osm_parking(S.area_objects(objects, filters.parking_tag(F.col("tags")).isNotNull()), allowed)
+
+
+def pbf_pois(objects: DataFrame) -> DataFrame:
+    return S.points_of_objects(objects, filters.is_interesting_poi(F.col("tags")))
+
+
+def in_box(points: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """Points in (west, south, east, north), borders included."""
+    west, south, east, north = box
+    return points.filter(F.col("lon").between(west, east) & F.col("lat").between(south, north))
+
+
 #: Codes of destinations and states of permits.
 DESTINATIONS, STATES = {3: "02", 4: "03", 6: "04", 8: "05"}, {2: "AT", 5: "CO", 6: "TE", 4: "AN"}
 
