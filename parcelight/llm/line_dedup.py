@@ -2,15 +2,17 @@
 
 A line descends a tree of fixed depth: first by its number of tokens, then by its leading tokens, where tokens with a
 digit count as variable. Templates generalise lines in two grades: every token with a digit is a field; and, in a leaf,
-a token that is frequent at its position (a tenth of the leaf's lines) is fixed and all others are fields, so that a leaf
-holds as many templates as there are combinations of frequent tokens. Lines of less than three tokens have the first
-grade only. Templates that recur across documents are boilerplate, and their lines are dropped.
+so is one run of up to three other tokens, a quarter of the line at most. A line stands for as many templates of the second
+grade as there are places for that run, so what else a leaf holds, and how much, changes nothing. To spare work, only
+lines that share about half of their tokens from the start or from the end with enough others are generalised; of two lines
+of one template the longer of these ends is always equal. Lines of less than four tokens have the first grade only.
+Templates that recur across documents are boilerplate, and their lines are dropped.
 
 To recur, a template must stand in at least `least` different texts that have something of their own. Copies of documents
 share nearly all of their parts and prove nothing about a line: texts are cut into pieces at punctuation and every 64
-characters, and a text is a copy if over five sixths of its pieces occur `least` times or more. (Of two texts at the
-near-duplicate likeness of 0.8 a ninth is different.) Dropping copies is a matter for deduplication of documents. More
-copies of a text never make a template less frequent.
+characters, and a text is a copy if over five sixths of its different pieces stand in `least` documents or more. (Of two
+texts at the near-duplicate likeness of 0.8 a ninth is different.) Dropping copies is a matter for deduplication of
+documents. More copies of a text never make a template less frequent.
 
 All of it is DataFrame expressions. Groups are counted with partial aggregation, so a template that a third of all
 documents hold costs a row per task.
@@ -24,10 +26,10 @@ from pyspark.sql import functions as F
 from ..session import materialize, table
 from .names import unused
 
-LEAST_DOCUMENTS, LEAST_TOKENS, DEPTH = 5, 3, 2
-#: Share of a leaf's lines from which a token is fixed, share of fixed tokens of a line in its template, and the number of
-#: pieces per own one from which a text is a copy.
-FREQUENT, ALIKE, OWN = 0.1, 0.75, 6
+LEAST_DOCUMENTS, LEAST_TOKENS, DEPTH = 5, 4, 2
+#: The longest run of tokens that is a field, the tokens of a line per token of its field, and the number of pieces per own one
+#: from which a text is a copy.
+RUN, SHARE, OWN = 3, 4, 6
 #: White space within a line, the piece of a text (what is shorter isn't counted), and a token with a digit.
 BLANK, PIECE, FIELD = r"[\x09\x0B-\x0D]", r"[^.,;:!?\x0A]{8,64}", r"[^\x20\x0A]*[0-9][^\x20\x0A]*"
 
@@ -60,7 +62,7 @@ def parse_lines(docs: DataFrame, depth: int = DEPTH, least_tokens: int = LEAST_T
 
 def copied_texts(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     """_text of the texts of which less than a sixth is their own; texts too short for a piece aren't among them."""
-    each = F.transform(F.regexp_extract_all("text", F.lit(PIECE), F.lit(0)), lambda p: F.xxhash64(p))
+    each = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(PIECE), F.lit(0)), lambda p: F.xxhash64(p)))
     cut = docs.select(F.xxhash64("text").alias("_text"), F.monotonically_increasing_id().alias("_row"), each.alias("_p"))
     pieces = materialize(cut.select("_text", "_row", F.size("_p").alias("_whole"), F.explode("_p").alias("_piece")), "pieces")
     common = materialize(pieces.groupBy("_piece").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select("_piece"), "common")
@@ -75,29 +77,36 @@ def recurring(lines: DataFrame, template: str, copied: DataFrame, least: int = L
 
 
 def crowded(docs: DataFrame, lines: DataFrame, copied: DataFrame, least: int) -> DataFrame:
-    """The lines of leaves that hold `least` lines or more of texts that aren't copied, with the leaf's _size (their
-    number), whether the text is its _own, and the hashes of the _tokens."""
+    """The lines of leaves that hold `least` lines or more of texts that aren't copied, with whether the text is its _own, and
+    the _tokens: a hash of each token and its place."""
     rest = lines.filter("_leaf is not null").join(copied.withColumn("_copied", F.lit(True)), "_text", "left")
-    sizes = rest.filter("_copied is null").groupBy("_leaf").agg(F.count("*").alias("_size")).filter(F.col("_size") >= least)
-    wanted = rest.join(sizes, "_leaf").groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash")).agg(F.first(F.col("_copied").isNull()).alias("_own"), F.collect_set(F.struct("_at", "_leaf", "_size")).alias("_l"))
+    sizes = rest.filter("_copied is null").groupBy("_leaf").agg(F.count("*").alias("_size")).filter(F.col("_size") >= least).select("_leaf")
+    wanted = rest.join(sizes, "_leaf").groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash")).agg(F.first(F.col("_copied").isNull()).alias("_own"), F.collect_set(F.struct("_at", "_leaf")).alias("_l"))
     joined = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
-    each = joined.select("doc_id", "_hash", "_own", plain_lines().alias("_lines"), F.explode("_l").alias("_l")).select("doc_id", F.col("_hash").alias("_text"), "_own", "_l.*", F.get("_lines", F.col("_l._at")).alias("_line"))
-    return each.select("doc_id", "_text", "_own", "_at", "_leaf", "_size", F.transform(F.split(masked(F.col("_line")), " "), lambda w: F.hash(w)).alias("_tokens"))
+    token = lambda w, i: F.xxhash64(i, w)
+    told = lambda ls: F.transform("_l", lambda at: F.struct(at["_at"].alias("_at"), at["_leaf"].alias("_leaf"), F.transform(F.split(masked(F.get(ls, at["_at"])), " "), token).alias("_tokens")))
+    # The lines are bound by a lambda, so that a text is split once and not once for each of its lines.
+    each = F.element_at(F.transform(F.array(plain_lines()), told), 1)
+    return joined.select("doc_id", F.col("_hash").alias("_text"), "_own", F.explode(each).alias("_l")).select("doc_id", "_text", "_own", "_l.*")
+
+
+def together(tokens: Column) -> Column:
+    """One hash of hashed tokens, from which the hash of any of them can be taken out again."""
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(t))
 
 
 def generalised(lines: DataFrame, least: int) -> DataFrame:
-    """The lines of which three quarters of the tokens are frequent at their positions in the leaf's own texts, with the
-    _group of those that have the same ones."""
-    tokens = lines.filter("_own").select("_leaf", "_size", F.posexplode("_tokens").alias("_pos", "_token"))
-    counted = tokens.groupBy("_leaf", "_size", "_pos", "_token").agg(F.count("*").alias("_n"))
-    fixed = counted.filter(F.col("_n") >= F.greatest(F.lit(least), FREQUENT * F.col("_size"))).groupBy("_leaf", "_pos").agg(F.collect_set("_token").alias("_fixed"))
-    tree = fixed.groupBy("_leaf").agg(F.map_from_entries(F.collect_list(F.struct("_pos", "_fixed"))).alias("_fixed"))
-    # Stored, so that the lines of a crowded leaf are joined by a plain exchange on either side, which Spark can split.
-    joined = lines.join(materialize(tree, "tree"), "_leaf")
-    kept = F.transform("_tokens", lambda t, i: F.when(F.array_contains(F.try_element_at("_fixed", i), t), t))
-    told = joined.select("doc_id", "_text", "_at", "_leaf", kept.alias("_kept"))
-    alike = told.filter(F.size(F.array_compact("_kept")) >= ALIKE * F.size("_kept"))
-    return alike.select("doc_id", "_text", "_at", F.xxhash64("_leaf", F.transform("_kept", lambda t: F.struct(t))).alias("_group"))
+    """The lines that share an end with `least` lines of own texts, a row for each _group (template) that they may be of."""
+    n = F.size("_tokens")
+    widest = F.least(F.lit(RUN), F.floor(n / SHARE)).cast("int")
+    end = F.ceil((n - widest) / 2).cast("int")
+    ends = F.array(*[F.xxhash64("_leaf", F.lit(k), together(part)) for k, part in enumerate((F.slice("_tokens", F.lit(1), end), F.slice("_tokens", n - end + 1, end)))])
+    both = lines.withColumn("_end", F.explode(ends))
+    shared = both.filter("_own").groupBy("_end").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select("_end")
+    met = both.join(shared, "_end", "left_semi").withColumn("_whole", together(F.col("_tokens")))
+    without = lambda w, at: F.xxhash64("_leaf", w, at, F.col("_whole").bitwiseXOR(together(F.slice("_tokens", at + 1, w))))
+    groups = F.flatten(F.transform(F.sequence(F.lit(1), widest), lambda w: F.transform(F.sequence(F.lit(DEPTH), n - w), lambda at: without(w, at))))
+    return met.select("doc_id", "_text", "_own", "_at", F.explode(groups).alias("_group"))
 
 
 def boilerplate(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
@@ -111,7 +120,8 @@ def boilerplate(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     same = lines.join(known, "_template", "left_semi")
     alike = generalised(materialize(crowded(docs, lines.join(known, "_template", "left_anti"), copied, least), "leaves"), least)
     alike = materialize(alike, "alike")
-    near = alike.join(recurring(alike, "_group", copied, least), "_group", "left_semi")
+    seen = alike.filter("_own").select("_group", "_text").distinct().groupBy("_group").agg(F.count("*").alias("_n"))
+    near = alike.join(materialize(seen.filter(F.col("_n") >= least).select("_group"), "groups"), "_group", "left_semi")
     both = same.select("doc_id", "_text", "_at").union(near.select("doc_id", "_text", "_at"))
     return both.groupBy("doc_id", "_text").agg(F.collect_set("_at").alias("_drop"))
 

@@ -46,20 +46,19 @@ FROM d JOIN (SELECT a, min(m) AS m FROM reach GROUP BY 1) r ON r.a = d.doc_id LE
 
 LINES = rf"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
-piece AS (SELECT text, unnest(regexp_extract_all(text, '{PIECE}')) AS p FROM d),
+piece AS (SELECT text, unnest(list_distinct(regexp_extract_all(text, '{PIECE}'))) AS p FROM d),
 common AS (SELECT p FROM piece GROUP BY 1 HAVING count(*) >= 5),
 copied AS (SELECT text FROM piece LEFT JOIN common ON common.p = piece.p GROUP BY 1 HAVING 6 * (count(*) - count(common.p)) < count(*)),
 raw AS (SELECT doc_id, i, text, text NOT IN (SELECT text FROM copied) AS own, trim(regexp_replace(ls[i], '{BLANK}', ' ', 'g'), ' ') AS t FROM (SELECT doc_id, text, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)),
 masks AS (SELECT doc_id, i, text, own, regexp_replace(t, '{FIELD}', '<*>', 'g') AS masked FROM raw),
 p AS (SELECT *, string_split(masked, ' ') AS w FROM masks WHERE regexp_matches(masked, '\p{{L}}')),
 known AS (SELECT masked FROM p WHERE own GROUP BY 1 HAVING count(DISTINCT text) >= 5),
-rest AS (SELECT *, {{'n': len(w), 'lead': w[1:2]}} AS leaf FROM p ANTI JOIN known USING (masked) WHERE len(w) >= 3),
-crowd AS (SELECT leaf, count(*) FILTER (own) AS size FROM rest GROUP BY 1 HAVING count(*) FILTER (own) >= 5),
-tok AS (SELECT doc_id, i, text, own, leaf, size, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS k FROM rest JOIN crowd USING (leaf)),
-fixed AS (SELECT leaf, k, x FROM tok WHERE own GROUP BY leaf, size, k, x HAVING count(*) >= greatest(5, 0.1 * size)),
-alike AS (SELECT doc_id, i, any_value(text) AS text, any_value(own) AS own, leaf, list({{'k': k, 'x': x}} ORDER BY k) AS key FROM tok JOIN fixed USING (leaf, k, x) GROUP BY doc_id, i, leaf HAVING count(*) >= 0.75 * any_value(leaf.n)),
-near AS (SELECT leaf, key FROM alike WHERE own GROUP BY ALL HAVING count(DISTINCT text) >= 5),
-gone AS (SELECT doc_id, i FROM p SEMI JOIN known USING (masked) UNION SELECT doc_id, i FROM alike SEMI JOIN near USING (leaf, key)),
+rest AS (SELECT *, {{'n': len(w), 'lead': w[1:2]}} AS leaf FROM p ANTI JOIN known USING (masked) WHERE len(w) >= 4),
+crowd AS (SELECT leaf FROM rest GROUP BY 1 HAVING count(*) FILTER (own) >= 5),
+alike AS (SELECT doc_id, i, text, own, f, k, w[1:k] || w[k + f + 1:len(w)] AS key FROM (
+  SELECT *, unnest(range(2, len(w) - f + 1)) AS k FROM (SELECT *, unnest(range(1, least(3, len(w) // 4) + 1)) AS f FROM rest SEMI JOIN crowd USING (leaf)))),
+near AS (SELECT f, k, key FROM alike WHERE own GROUP BY ALL HAVING count(DISTINCT text) >= 5),
+gone AS (SELECT doc_id, i FROM p SEMI JOIN known USING (masked) UNION SELECT doc_id, i FROM alike SEMI JOIN near USING (f, k, key)),
 kept AS (SELECT doc_id, count(*) AS n, string_agg(x, chr(10) ORDER BY i) AS t FROM (SELECT doc_id, ls[i] AS x, i FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM d)) ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
 SELECT d.doc_id, len(ls) AS n_lines, len(ls) - coalesce(n, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
 """

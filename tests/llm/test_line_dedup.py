@@ -3,6 +3,8 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
 from parcelight.llm import line_dedup as L
 
 
@@ -15,8 +17,8 @@ def pieces(text):
 def brute(docs, least=L.LEAST_DOCUMENTS):
     """(doc_id, text) pairs to the numbers of the lines to drop per pair."""
     cut = {t: pieces(t) for _, t in docs if t}
-    seen = Counter(p for _, t in docs if t for p in cut[t])
-    own = {t for _, t in docs if L.OWN * sum(seen[p] < least for p in cut.get(t, ())) >= len(cut.get(t, ()))}
+    seen = Counter(p for _, t in docs if t for p in set(cut[t]))
+    own = {t for _, t in docs if L.OWN * sum(seen[p] < least for p in set(cut.get(t, ()))) >= len(set(cut.get(t, ())))}
     lines = []
     for d in sorted(set(docs), key=str):
         for i, x in enumerate((d[1] or "").split("\n")):
@@ -38,13 +40,10 @@ def brute(docs, least=L.LEAST_DOCUMENTS):
             leaves[len(r[3]), r[3][: L.DEPTH]].append(r)
     alike = []
     for leaf, rows in leaves.items():
-        mine = [r for r in rows if r[0][1] in own]
-        if len(mine) >= least:
-            counts = [Counter(r[3][k] for r in mine) for k in range(leaf[0])]
+        if sum(r[0][1] in own for r in rows) >= least:
             for r in rows:
-                key = tuple(w if counts[k][w] >= max(least, L.FREQUENT * len(mine)) else None for k, w in enumerate(r[3]))
-                if sum(w is not None for w in key) >= L.ALIKE * leaf[0]:
-                    alike.append((*r, (leaf, key)))
+                for f in range(1, min(L.RUN, leaf[0] // L.SHARE) + 1):
+                    alike += [(*r, (f, k, r[3][:k] + r[3][k + f :])) for k in range(L.DEPTH, leaf[0] - f + 1)]
     near = recurring(alike, lambda r: r[4])
     drop = defaultdict(set)
     for r in lines:
@@ -129,6 +128,28 @@ def test_templates_share_a_leaf(make_docs):
     assert all(len(g) == (1 if i < 40 else 0) for i, g in gone.items())
 
 
+@pytest.mark.parametrize("prose", [0, 100, 3000, 20_000])
+def test_other_lines_of_a_leaf_change_nothing(make_docs, prose):
+    """40 templates among any number of lines of as many tokens that begin alike and use the same names."""
+    names = [words(10 + i, 1) for i in range(13)]
+    texts = [f"{words(i, 20)}\nPosted by {names[i % 13]} in category news today here" for i in range(40)]
+    texts += ["\n".join([words(9000 + i, 20), *[f"Posted by {names[(i + k) % 13]} {words(20_000 + 60 * i + k, 5)}" for k in range(min(50, prose))]]) for i in range(prose // 50)]
+    rows = L.drop_boilerplate(make_docs(texts)).collect()
+    assert sum(r["n_removed"] for r in rows if r["doc_id"] < 40) == 40 and not any(r["n_removed"] for r in rows if r["doc_id"] >= 40)
+
+
+def test_a_text_may_repeat_itself(make_docs):
+    own = [f"A line of number {words(i, 4)}" for i in range(50)]
+    gone = removed(make_docs, ["\n".join([own[i]] * 6 + ["This is a shared notice."]) for i in range(50)])
+    assert all(g == {"This is a shared notice."} for g in gone.values())
+
+
+def test_fields_of_several_words(make_docs):
+    texts = [f"{words(i, 20)}\nThis text was written by {words(300 + i, 1 + i % 2)} for the paper on a day like this one\n{words(5, 3)} {words(800 + i, 2)} {words(6, 3)}" for i in range(20)]
+    gone = removed(make_docs, texts)
+    assert all(len(g) == 2 for g in gone.values())
+
+
 def test_pieces(spark, make_docs):
     texts = [words(i, 60).replace(" ", sep).replace("e ", "e, ") + tail for i, (sep, tail) in enumerate(itertools.product((" ", "  ", " \t", ". ", "\n", " \r\n "), ("", " ", "\n", "!", " ... x")))]
     rows = make_docs(texts).selectExpr("text", f"regexp_extract_all(text, r'{L.PIECE}', 0) p").collect()
