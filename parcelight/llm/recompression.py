@@ -30,27 +30,62 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
+#: A Mersenne prime. Sums modulo a power of two cancel for some regular sequences whatever the base; modulo a prime, two
+#: sequences of n values agree for at most n bases.
+PRIME = (1 << 61) - 1
+
+
+def modulo(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime."""
+    x = (x & _U(PRIME)) + (x >> _U(61))
+    return np.where(x >= _U(PRIME), x - _U(PRIME), x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime of numbers below it, from halves of 31 bits."""
+    low, half = _U((1 << 31) - 1), _U(31)
+    middle = (a >> half) * (b & low) + (a & low) * (b >> half)
+    high = ((a >> half) * (b >> half)) << _U(1)
+    return modulo(modulo(high + (middle >> _U(30)) + ((middle & _U((1 << 30) - 1)) << half)) + modulo((a & low) * (b & low)))
+
+
 class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, as far as asked for."""
+    """Powers of a base and of its inverse modulo the prime, as far as asked for."""
 
     def __init__(self, base: int):
-        self.base, self.inverse = _U(base), _U(pow(base, -1, 1 << 64))
+        self.base, self.inverse = _U(base), _U(pow(base, -1, PRIME))
         self.up = self.down = np.ones(1, np.uint64)
 
     def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            self.up, self.down = (np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * n, b)])) for b in (self.base, self.inverse))
+        while len(self.up) < n:
+            size = len(self.up)
+            self.up, self.down = (np.concatenate([x, times(x, np.full(size, pow(int(b), size, PRIME), np.uint64))]) for x, b in ((self.up, self.base), (self.down, self.inverse)))
         return self.up[:n], self.down[:n]
 
 
-_POWERS = tuple(Powers(b) for b in _BASES)
+_POWERS = tuple(Powers(b % PRIME) for b in _BASES)
 
 
 def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray, which: int) -> np.ndarray:
-    """A hash of values[start:end] for each pair, from prefix sums of a polynomial modulo 2**64."""
+    """A hash of values[start:end] for each pair, from prefix sums of a polynomial modulo the prime."""
     up, down = _POWERS[which].upto(len(values) + 1)
-    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)])])
-    return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64) * _U(_BASES[1 - which]))
+    terms = times(modulo(values), up[: len(values)])
+    # Halves are summed apart, so that the sums of four billion values fit.
+    high, low = (np.concatenate([np.zeros(1, np.uint64), np.cumsum(x)]) for x in (terms >> _U(31), terms & _U((1 << 31) - 1)))
+    prefix = modulo(times(modulo(high), np.full(1, 1 << 31, np.uint64)) + modulo(low))
+    between = modulo(prefix[end] + _U(PRIME) - prefix[start])
+    return mix(times(between, down[start]) + ((end - start).astype(np.uint64) * _U(_BASES[1 - which])))
+
+
+def word_hashes(letters: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each run letters[start:end] (one after the other): sums of a mixed number for every letter and its place."""
+    if not len(start):
+        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    size = end - start
+    offset = np.cumsum(size) - size
+    place = np.arange(size.sum()) - np.repeat(offset, size)
+    code = (place.astype(np.uint64) << _U(8)) + letters[place + np.repeat(start, size)].astype(np.uint64) + _U(1)
+    return tuple(mix(np.add.reduceat(mix(code * _U(b) + _U(b >> 7)), offset) + size.astype(np.uint64)) for b in _BASES)
 
 
 @dataclass(frozen=True)
@@ -69,11 +104,10 @@ def words_of(texts: list[str | None]) -> Words:
     space = _SPACE[buffer]
     change = np.flatnonzero(np.diff(np.concatenate([[True], space]).astype(np.int8)))
     start, end = change[::2], change[1::2]
-    values = buffer.astype(np.uint64) + _U(1)
     offsets = np.cumsum([0, *(len(r) + 1 for r in raw)])
     text = np.searchsorted(offsets, start, side="right") - 1
     first = np.searchsorted(text, np.arange(len(texts) + 1))
-    return Words(range_hashes(values, start, end, 0), range_hashes(values, start, end, 1), text, first)
+    return Words(*word_hashes(buffer, start, end), text, first)
 
 
 def recompress(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -3,10 +3,12 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from parcelight.llm import recompression as R
 from parcelight.llm import substring_dedup as S
+from parcelight.llm.batches import small_batches
 
 
 def brute(docs, window=50):
@@ -109,3 +111,45 @@ def test_kernel_words_equal_the_pattern():
     words = R.words_of(texts)
     counts = np.diff(words.first)
     assert counts.tolist() == [len(S.WORD.findall(t or "")) for t in texts]
+
+
+def thue_morse(n, letters):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - b for b in bits]
+    return [letters[b] for b in bits[:n]]
+
+
+@pytest.mark.parametrize("n", [64, 1024, 4096, 8192])
+def test_regular_sequences_differ(n):
+    """Sums of powers modulo 2 ** 64 cancel for these, whatever the base."""
+    a, b = "".join(thue_morse(n, "ab")), "".join(thue_morse(n, "ba"))
+    words = R.words_of([a, b])
+    assert words.one[0] != words.one[1] and words.two[0] != words.two[1]
+    words = R.words_of([" ".join(a), " ".join(b)])
+    for k, values in enumerate((words.one, words.two)):
+        one, two = R.range_hashes(values, np.array([0, n]), np.array([n, 2 * n]), k)
+        assert one != two
+
+
+def test_texts_that_differ_in_one_regular_word(make_docs):
+    rest = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*rest[:30], "".join(thue_morse(4096, s)), *rest[30:]]) for s in ("ab", "ba")]
+    assert [r["n_removed"] for r in S.remove_repeats(make_docs(texts)).collect()] == [0, 0]
+
+
+def test_products_modulo_the_prime():
+    rng = random.Random(2)
+    a, b = ([0, 1, R.PRIME - 1, R.PRIME - 1, *[rng.randrange(R.PRIME) for _ in range(5000)]] for _ in range(2))
+    a[0] = R.PRIME - 1
+    got = R.times(np.array(a, np.uint64), np.array(b, np.uint64))
+    assert got.tolist() == [x * y % R.PRIME for x, y in zip(a, b)]
+
+
+def test_slices_are_bounded_in_bytes():
+    texts = ["x" * 3_000_000, "é" * 1_500_000, None, "", "y" * 9_000_000, *["short"] * 1200, "z" * 4_000_000]
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(texts)})
+    slices = list(small_batches(iter([batch])))
+    assert [t for s in slices for t in s["text"].to_pylist()] == texts
+    assert all(s.num_rows == 1 or (s.num_rows <= 500 and sum(len((t or "").encode()) for t in s["text"].to_pylist()) <= 4 << 20) for s in slices)
+    assert list(small_batches(iter([batch.slice(0, 0)]))) == []
