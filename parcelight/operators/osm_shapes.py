@@ -11,7 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import planar, shapes
+from ..functions import planar
+from ..functions.shapes import POINT, POLYGONS, XY, column_of, values_of
 from ..functions.text import blank
 from .ranking import best_per_key
 
@@ -46,29 +47,29 @@ def _degrees(polygons: list[list[np.ndarray]] | None) -> list | None:
     return [[planar.closed(ring) / STEPS for ring in polygon] for polygon in polygons] if polygons else None
 
 
-@F.arrow_udf(shapes.POLYGONS)
+@F.arrow_udf(POLYGONS)
 def assembled(lines: pa.Array) -> pa.Array:
     """Polygons from lines in any order and direction; null where a line is, or where they don't close or cross."""
-    rows = shapes.values_of(lines)
-    return shapes.column_of([None if x is None or any(line is None for line in x) else _degrees(planar.joined_ways([_steps(line) for line in x])) for x in rows])
+    rows = values_of(lines)
+    return column_of([None if x is None or any(line is None for line in x) else _degrees(planar.joined_ways([_steps(line) for line in x])) for x in rows])
 
 
-@F.arrow_udf(shapes.POLYGONS)
+@F.arrow_udf(POLYGONS)
 def simple_ring(lines: pa.Array) -> pa.Array:
     """A closed line of four points or more that meets itself nowhere, as a polygon; else null."""
-    return shapes.column_of([_degrees([[ring]]) if (ring := planar.simple_ring(_steps(line)) if line is not None else None) is not None else None for line in shapes.values_of(lines)])
+    return column_of([_degrees([[ring]]) if (ring := planar.simple_ring(_steps(line)) if line is not None else None) is not None else None for line in values_of(lines)])
 
 
-@F.arrow_udf(shapes.POINT)
+@F.arrow_udf(POINT)
 def line_centre(lines: pa.Array) -> pa.Array:
     """The mean of a line's sides by their lengths; of a line without length, its first point."""
     out = []
-    for p in shapes.values_of(lines):
+    for p in values_of(lines):
         sides = np.hypot(*np.diff(p, axis=0).T) if p is not None and len(p) > 1 else np.zeros(0)
         if sides.sum():
             p = ((p[1:] + p[:-1]) / 2 * sides[:, None]).sum(axis=0, keepdims=True) / sides.sum()
         out.append({"x": p[0, 0], "y": p[0, 1]} if p is not None and len(p) else None)
-    return pa.array(out, shapes.XY)
+    return pa.array(out, XY)
 
 
 def closed_ways(objects: DataFrame, wanted: Column) -> DataFrame:

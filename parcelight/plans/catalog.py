@@ -3,8 +3,8 @@ recomputes it."""
 
 from __future__ import annotations
 
-from . import business, nested, relational, serving, spatial, stateful, text
+from . import business, geometry, nested, relational, serving, spatial, stateful, text
 
-_MODULES = (relational, text, spatial, nested, business, stateful, serving)
+_MODULES = (relational, text, spatial, nested, business, stateful, serving, geometry)
 QUERIES = {name: run for m in _MODULES for name, run in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}

@@ -185,8 +185,7 @@ def slanted(df, p: str):
     return rings.withColumns({p + "xmin": F.col(p + "xmin") + F.col(p + "ymin") / 2, p + "xmax": F.col(p + "xmax") + F.col(p + "ymax") / 2})
 
 
-# Unlike boxes, polygons that only touch waive nothing.
-@query(_PAIRS.replace(f"AND {_meet('b', 'l')}))", f"AND {_area('b', 'l')} > 0))"))
+@query(_PAIRS)
 def polygon_parcel_pairs(spark, sf_dir):
     from ..operators.features import building_parcel_pairs as pairs
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelight.functions import energy as E
-from parcelight.functions import geo, labels
+from parcelight.functions import geo, labels, planar
 from parcelight.operators import combos, features, resolution
 
 BOX = "{0}xmin double, {0}ymin double, {0}xmax double, {0}ymax double"
@@ -116,7 +116,7 @@ def test_simplification_and_samples():
     assert (geo.simplify_ring(ring[:3], 100.0) == ring[:3]).all()
     assert [geo.tile_tolerance(z) for z in (18, 15, 12, 3)] == [0.0, 1e-7, 1e-6, 1e-5]
     for shape in (ring, ring[::-1]):
-        points = geo.sample_contour(shape)
+        points = planar.contour_points([[shape]])
         assert 4 <= len(points) <= 64 and (points > 0.4).all() and (points < 9.6).all()
 
 

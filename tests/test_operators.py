@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from parcelight.functions import energy as E
-from parcelight.functions import fuzzy, geo
+from parcelight.functions import fuzzy, geo, overlaps
 from parcelight.functions import text as X
 from parcelight.operators import combos, company_match, filters, merging, resolution, spatial
 from parcelight.operators.overview import OverviewFilters
@@ -163,17 +163,6 @@ def test_parking_dedup_prefers_the_register(spark):
     assert sorted(r["id"] for r in spatial.without_covered(osm, enr, "a", "b", 16.0, ["id"]).collect()) == ["w:2", "w:3", "w:4"]
 
 
-def test_polygon_kernel():
-    ell = [np.array([(0, 0), (3, 0), (3, 1), (1, 1), (1, 5), (0, 5)], float)]
-    u = [np.array([(0, 0), (6, 0), (6, 5), (4, 5), (4, 1), (2, 1), (2, 5), (0, 5)], float)]
-    box = lambda a, b, c, d: [np.array([(a, b), (c, b), (c, d), (a, d)], float)]
-    assert geo.intersection_area(ell, ell) == pytest.approx(7)
-    assert geo.intersection_area(ell, box(0.5, 0.5, 3, 3)) == pytest.approx(2.25)
-    assert geo.intersection_area(u, box(1, 1, 5, 4)) == pytest.approx(6)
-    holed = [*box(0, 0, 10, 10), box(2, 2, 8, 8)[0]]
-    assert geo.intersection_area(holed, box(0, 0, 5, 5)) == pytest.approx(25 - 9)
-
-
 def test_geometry_columns(spark):
     assert [one(spark, geo.distance_score(F.lit(d))) for d in (0.0, 25.0, 50.0)] == pytest.approx([0.99, 0.865, 0.74])
     xy = one(spark, geo.to_lambert93(F.lit(46.5), F.lit(3.0)))
@@ -220,30 +209,10 @@ def test_polygon_overlap_join(spark):
     ring = lambda *p: [[{"x": float(x), "y": float(y)} for x, y in p]]
     a = spark.createDataFrame([(1, ring((0, 0), (3, 0), (3, 1), (1, 1), (1, 5), (0, 5)), 0.0, 0.0, 3.0, 5.0)], "i int, ap array<array<struct<x:double,y:double>>>, axmin double, aymin double, axmax double, aymax double")
     b = spark.createDataFrame([(2, ring((0.5, 0.5), (3, 0.5), (3, 3), (0.5, 3)), 0.5, 0.5, 3.0, 3.0)], "j int, bp array<array<struct<x:double,y:double>>>, bxmin double, bymin double, bxmax double, bymax double")
-    (r,) = spatial.overlap_join(a, b, "a", "b", 2.0, 1.0, exact=geo.polygon_overlap_udf("ap", "bp")).collect()
+    (r,) = spatial.overlap_join(a, b, "a", "b", 2.0, 1.0, exact=overlaps.overlap_area("ap", "bp")).collect()
     assert r["overlap_m2"] == pytest.approx(2.25)
 
 
-def test_polygon_kernels():
-    import random
-
-    square = lambda x, y, s: [(x, y), (x + s, y), (x + s, y + s), (x, y + s)]
-    ring_with_hole = [square(0.0, 0.0, 10.0), square(2.0, 2.0, 6.0)]
-    assert geo.intersection_area(ring_with_hole, [square(1.0, 1.0, 8.0)]) == pytest.approx(64 - 36)
-    star = [(0.0, 0.0), (4.0, 4.0), (0.0, 8.0), (-1.0, 4.0)]
-    assert geo.is_convex(square(0, 0, 1)) and not geo.is_convex([(0, 0), (4, 0), (4, 4), (3, 1)])
-    assert geo.intersection_area([star], [star]) == pytest.approx(abs(geo.twice_area(star)) / 2)
-    rng = random.Random(3)
-    for _ in range(200):  # convex pairs either way, against the fans
-        a, b = ([(x + rng.random() * 3, y + rng.random() * 3) for x, y in [(0, 0), (5, 0), (5, 5), (0, 5)]] for _ in "ab")
-        if geo.is_convex(a) and geo.is_convex(b):
-            fans = sum(s * t * abs(geo.twice_area(c)) / 2 for s, p in geo.fan([a], (0.0, 0.0)) for t, q in geo.fan([b], (0.0, 0.0)) if len(c := geo.clip_convex(p, q)) > 2)
-            assert geo.intersection_area([a], [b[::-1]]) == pytest.approx(abs(fans))
-    assert geo.polygon_gap([square(0, 0, 1)], [square(4, 5, 1)]) == pytest.approx(5)
-    assert geo.polygon_gap([square(0, 0, 1)], [square(1, 1, 1)]) == 0 == geo.polygon_gap(ring_with_hole, [square(3, 1, 1)])
-    assert geo.polygon_gap(ring_with_hole, [square(4, 4, 1)]) == pytest.approx(2)
-
-
 def test_adjacent_polygons(spark):
     tri = lambda i, *p: (i, [[{"x": float(x), "y": float(y)} for x, y in p]], *[float(f(c)) for f, c in ((min, [q[0] for q in p]), (min, [q[1] for q in p]), (max, [q[0] for q in p]), (max, [q[1] for q in p]))])
     rows = [tri(1, (0, 0), (10, 0), (0, 10)), tri(2, (10, 10), (10, 2), (2, 10)), tri(3, (10, 10), (10, 6), (6, 10))]
