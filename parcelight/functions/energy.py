@@ -294,3 +294,30 @@ def financial_summary(sites: DataFrame) -> DataFrame:
         F.col("_f").isNotNull().alias("from_hours"),
     )
     return df.withColumn("summary", F.when(fine, whole)).select(*sites.columns, "summary")
+
+
+#: Yearly consumption in kWh per square metre by type of place, and types that stand for others.
+INTENSITY = {
+    "store": 168, "shopping_mall": 200, "clothing_store": 150, "electronics_store": 180, "supermarket": 350,
+    "grocery_or_supermarket": 350, "convenience_store": 250, "pharmacy": 180, "gas_station": 200, "restaurant": 464, "cafe": 300,
+    "bar": 350, "night_club": 400, "office": 190, "bank": 200, "real_estate_agency": 150, "lawyer": 180, "accounting": 170,
+    "warehouse": 55, "storage": 50, "storage_facility": 55, "factory": 100, "industrial": 100, "manufacturing": 120, "plant": 150,
+    "gym": 250, "fitness_center": 250, "sports_complex": 200, "stadium": 150, "swimming_pool": 400, "other": 170,
+}
+CANONICAL_PLACES = {"grocery_or_supermarket": "supermarket", "fitness_center": "gym", "storage_facility": "storage", "night_club": "bar"}
+
+
+def _looked_up(table: dict, key: Column) -> Column:
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
+
+
+def canonical_place(place: Column) -> Column:
+    """A type of place in lower case, under the name by which it is grouped; a blank one is `other`."""
+    plain = F.coalesce(F.nullif(F.lower(F.trim(place)), F.lit("")), F.lit("other"))
+    return F.coalesce(_looked_up(CANONICAL_PLACES, plain), plain)
+
+
+def reference_intensity(place: Column) -> Column:
+    """Yearly kWh per square metre: of the type as it is given, else of its canonical one, else of `other`."""
+    given = F.coalesce(place, F.lit(""))
+    return F.coalesce(_looked_up(INTENSITY, given), _looked_up(INTENSITY, canonical_place(place)), F.lit(INTENSITY["other"])).cast("double")

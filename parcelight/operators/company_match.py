@@ -81,32 +81,71 @@ def street_candidates(queries: DataFrame, establishments: DataFrame) -> DataFram
     return top_per_group(rows, ["query_id"], [F.desc("wr"), F.asc("siret")], MOST, "_r").drop("_r")
 
 
-def match_establishments(queries: DataFrame, establishments: DataFrame, least: float = LEAST_SCORE) -> DataFrame:
-    """A row per query: status, bucket, confidence, reason and the matched establishments by score.
+#: The reason of a status without a match.
+REASONS = {
+    "no_address": "Aucune adresse passerelle.",
+    "no_address_tokens": "Adresse passerelle non exploitable.",
+    "no_passerelle_numero": "Pas de numéro de voirie côté passerelle : matching SIRENE désactivé.",
+    "no_candidate": "Aucun établissement actif avec numéro de voirie sur cette voie.",
+    "low_confidence": "Candidats trouvés mais score insuffisant.",
+    "source_missing": "Table établissements absente.",
+}
 
-    queries: query_id, code_insee, numbers (array), indice_q, voie, commune_q, cp_q; establishments: code_insee, siret,
-    siren, numero, indice, voie, commune, cp. Distinct addresses are best matched once and joined back.
-    """
-    rows = street_candidates(queries.filter(blank("voie") != ""), establishments.filter(blank("numero") != ""))
+
+def technical_status(queries: DataFrame, tried: Column, n: Column, missing: bool) -> Column:
+    """Why a query has its result: no source, no address, no street in it, no number, no candidate, none good enough, or some."""
+    address = F.col("address") if "address" in queries.columns else F.lit("given")
+    return (
+        F.when(F.lit(missing), "source_missing")
+        .when(F.trim(blank(address)) == "", "no_address")
+        .when(blank("voie") == "", "no_address_tokens")
+        .when(F.coalesce(F.size("numbers"), F.lit(0)) <= 0, "no_passerelle_numero")
+        .when(n > 0, "matched")
+        .when(tried, "low_confidence")
+        .otherwise("no_candidate")
+    )
+
+
+def matches_by_query(queries: DataFrame, establishments: DataFrame, least: float) -> DataFrame:
+    """query_id, _k (the establishments of the least score, best first) and sirens, for each query with any candidate."""
+    asked = queries.filter((blank("voie") != "") & (F.size("numbers") > 0))
+    asked = asked.filter(F.trim(blank("address")) != "").drop("address") if "address" in queries.columns else asked
+    rows = street_candidates(asked, establishments.filter(F.trim(blank("numero")) != ""))
     numbers = rows.select("siret", "query_id", "numero", F.explode("numbers").alias("asked")).withColumn("r", ratio_udf("numero", "asked"))
     best = numbers.groupBy("query_id", "siret").agg(F.max("r").alias("best_ratio"))
     scored = rows.join(best, ["query_id", "siret"], "left")
     tier = number_tier(F.col("numbers"), F.col("numero"), F.coalesce("best_ratio", F.lit(0.0)))
     scored = scored.withColumn("_s", address_score(tier, F.col("voie_q"), F.col("voie_db"), F.col("street_ratio"), F.col("indice_q"), F.col("indice"), F.col("commune_q"), F.col("commune"), F.col("cp_q"), F.col("cp")))
-    tried = scored.select("query_id").distinct().withColumn("_tried", F.lit(True))
-    kept = best_per_key(scored.filter(F.col("_s.score") >= least), ["query_id", "siret"], [F.desc("_s.score")])
-    lists = kept.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct((-F.col("_s.score")).alias("minus"), "siret", "siren", F.col("_s.reason").alias("reason")))).alias("_k"), F.array_sort(F.collect_set("siren")).alias("sirens")
-    )
-    joined = queries.select("query_id", (blank("voie") != "").alias("_asked")).join(tried, "query_id", "left").join(lists, "query_id", "left")
-    n = F.coalesce(F.size("_k"), F.lit(0))
-    return joined.select(
+    # Entries below the score count as tried: the query had a candidate.
+    entry = F.when(F.col("_s.score") >= least, F.struct((-F.col("_s.score")).alias("minus"), "siret", "siren", F.col("_s.reason").alias("reason")))
+    once = best_per_key(scored, ["query_id", "siret"], [F.desc("_s.score")])
+    return once.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("_k"), F.array_sort(F.collect_set(F.when(F.col("_s.score") >= least, F.col("siren")))).alias("sirens"))
+
+
+def match_establishments(queries: DataFrame, establishments: DataFrame | None, least: float = LEAST_SCORE) -> DataFrame:
+    """A row per query: status, bucket, confidence, reason and the matched establishments by score.
+
+    queries: query_id, code_insee, numbers (array), indice_q, voie, commune_q, cp_q and, if there is one, the raw address;
+    establishments (None where the source is missing): code_insee, siret, siren, numero, indice, voie, commune, cp. Distinct
+    addresses are best matched once and joined back.
+    """
+    none = lambda kind: F.lit(None).cast(kind)
+    if establishments is None:
+        joined = queries.withColumns({"_k": none("array<struct<minus:double,siret:string,siren:string,reason:string>>"), "sirens": none("array<string>"), "_tried": F.lit(False)})
+    else:
+        found = matches_by_query(queries, establishments, least).withColumn("_tried", F.lit(True))
+        joined = queries.join(found, "query_id", "left").withColumn("_tried", F.coalesce("_tried", F.lit(False)))
+    n = F.greatest(F.coalesce(F.size("_k"), F.lit(0)), F.lit(0))
+    told = joined.withColumn("status_technique", technical_status(queries, F.col("_tried"), n, establishments is None))
+    fixed = F.create_map(*[F.lit(x) for pair in REASONS.items() for x in pair])
+    some = lambda c: F.when(n > 0, c)
+    return told.select(
         "query_id",
-        F.when(~F.col("_asked"), "no_address_tokens").when(n > 0, "matched").when(F.col("_tried").isNotNull(), "low_confidence").otherwise("no_candidate").alias("status_technique"),
+        "status_technique",
         establishment_bucket(n).alias("status_metier"),
         n.cast("long").alias("siret_count"),
         F.coalesce(-F.get("_k", F.lit(0))["minus"], F.lit(0.0)).alias("matching_confidence"),
-        F.coalesce(F.get("_k", F.lit(0))["reason"], F.lit("")).alias("matching_reason"),
-        F.transform("_k", lambda k: k["siret"]).alias("sirets"),
-        "sirens",
+        F.coalesce(F.get("_k", F.lit(0))["reason"], F.try_element_at(fixed, F.col("status_technique")), F.lit("")).alias("matching_reason"),
+        some(F.transform("_k", lambda k: k["siret"])).alias("sirets"),
+        some(F.col("sirens")).alias("sirens"),
     )

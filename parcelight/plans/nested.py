@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import energy, records
 from ..operators.ranking import facet_counts as facets
 from ..session import table
 from .register import registry
@@ -44,3 +45,35 @@ def explode_json(spark, sf_dir):
 def ordered_lists(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"), F.sum(F.length("text")).alias("n_chars"))
     return turns.select("conv_id", F.size("t").cast("long").alias("n_turns"), F.array_join(F.transform("t", lambda x: x["role"]), ">").alias("roles"), "n_chars")
+
+
+@query("""
+    WITH c AS (SELECT c_custkey AS k, c_nationkey, c_acctbal FROM customer)
+    SELECT k, CASE WHEN k % 7 = 0 THEN 0 ELSE 1 + (k % 3 = 0)::INT END AS n, CASE WHEN k % 7 > 0 THEN lpad(k::VARCHAR, 14, '0') END AS siret,
+      CASE WHEN k % 7 > 0 THEN lpad(c_nationkey::VARCHAR, 2, '0') END AS band, CASE WHEN k % 7 > 0 THEN c_nationkey || 'Z' END AS activity,
+      CASE WHEN k % 7 > 0 AND k % 5 > 0 THEN k * 1.5 END AS score,
+      CASE WHEN k % 7 = 0 THEN '—' ELSE ['0 salarié', '1 ou 2', '3 à 5', '6 à 9', '10 à 19', '20 à 49', '50 à 99', '100 à 199', '200 à 249', '250 à 499', '500 à 999', '1 000 à 1 999', '2 000 à 4 999', '5 000 à 9 999',
+        '14', '15', '16', '17', '18', '19', '20', '21', '22', '23', '24'][1 + c_nationkey] END AS band_label
+    FROM c
+""")
+def matched_records(spark, sf_dir):
+    """Customers as matched establishments in JSON, under the field names of different sources; each seventh is cut off."""
+    k, band, activity = F.col("c_custkey"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0"), F.concat(F.col("c_nationkey").cast("string"), F.lit("Z"))
+    quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
+    pick = lambda *names: F.get(F.array(*map(F.lit, names)), (k % len(names)).cast("int"))
+    score = F.when(k % 5 == 0, F.lit('"unknown"')).when(k % 2 == 0, quoted((k * 1.5).cast("string"))).otherwise((k * 1.5).cast("string"))
+    one = F.concat(F.lit('{"siret":'), quoted(F.lpad(k.cast("string"), 14, "0")), F.lit(',"'), pick(*records.SIRET_FIELDS["tranche_effectifs"]), F.lit('":'), quoted(band), F.lit(',"'), pick(*records.SIRET_FIELDS["activite_principale"]), F.lit('":'), quoted(activity), F.lit(',"score":'), score, F.lit("}"))
+    more = F.when(k % 3 == 0, F.lit(',{"siret":"2"},{"siret":" "},7')).otherwise("")
+    raw = F.when(k % 7 == 0, F.concat(F.lit("["), one)).otherwise(F.concat(F.lit("["), one, more, F.lit("]")))
+    found = table(spark, sf_dir, "customer").select(k.alias("k"), records.matched_sirets(raw).alias("m"))
+    first = F.get("m", F.lit(0))
+    return found.select("k", F.size("m").alias("n"), first["siret"].alias("siret"), first["tranche_effectifs"].alias("band"), first["activite_principale"].alias("activity"), first["score"].alias("score"), records.workforce_label(first["tranche_effectifs"]).alias("band_label"))
+
+
+@query("""
+    SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'supermarket' WHEN 1 THEN 'gym' WHEN 2 THEN 'office' WHEN 3 THEN 'other' ELSE lower(p_brand) END AS place,
+      CASE p_partkey % 5 WHEN 0 THEN 350.0 WHEN 1 THEN 250.0 WHEN 2 THEN 190.0 ELSE 170.0 END AS intensity FROM part
+""")
+def place_intensity(spark, sf_dir):
+    kind = F.when(F.col("p_partkey") % 5 == 0, "grocery_or_supermarket").when(F.col("p_partkey") % 5 == 1, " Fitness_Center ").when(F.col("p_partkey") % 5 == 2, "office").when(F.col("p_partkey") % 5 == 4, F.col("p_brand"))
+    return table(spark, sf_dir, "part").select("p_partkey", energy.canonical_place(kind).alias("place"), energy.reference_intensity(kind).alias("intensity"))

@@ -83,6 +83,12 @@ def test_company_match(spark):
     assert got["q2"]["status_technique"] == "no_address_tokens"
     assert got["q3"]["status_technique"] == "low_confidence" and got["q3"]["siret_count"] == 0
     assert got["q4"]["status_technique"] == "no_candidate"
+    more = q.selectExpr("*", "case when query_id = 'q3' then '  ' else 'x' end address").withColumn("numbers", F.when(F.col("query_id") == "q4", F.array().cast("array<string>")).otherwise(F.col("numbers")))
+    status = {r["query_id"]: (r["status_technique"], r["matching_reason"]) for r in company_match.match_establishments(more, e).collect()}
+    assert {k: v[0] for k, v in status.items()} == {"q1": "matched", "q2": "no_address_tokens", "q3": "no_address", "q4": "no_passerelle_numero"}
+    assert status["q4"][1].startswith("Pas de num") and got["q3"]["matching_reason"].startswith("Candidats")
+    missing = company_match.match_establishments(q, None).collect()
+    assert {(r["status_technique"], r["status_metier"], r["siret_count"], r["sirets"]) for r in missing} == {("source_missing", "none", 0, None)}
 
 
 PAIRS = "building_id string, code_insee string, section string, numero_norm string, intersection_area_m2 double"
