@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import activity_division, blank
+from ..session import materialize
 from . import filters
 from .components import connected_components
 
@@ -22,12 +23,13 @@ def selectable_tag(c) -> Column:
 
 
 def parcel_components(parcels: DataFrame, shared: DataFrame, parcel: str = "scout_v5_id", building: str = "building_id") -> DataFrame:
-    """(parcel, component) for all parcels; shared lists (parcel, building) of shared buildings. The edges join each
-    building to its parcels, never parcels among themselves."""
-    edges = shared.select(F.concat(F.lit("p"), F.col(parcel)).alias("a"), F.concat(F.lit("b"), F.col(building)).alias("b"))
-    nodes = connected_components(edges).filter(F.col("node").startswith("p"))
-    found = nodes.select(F.substring("node", 2, 1 << 30).alias(parcel), "component")
-    return parcels.select(parcel).join(found, parcel, "left").withColumn("component", F.coalesce("component", F.concat(F.lit("p"), F.col(parcel))))
+    """(parcel, component) for all parcels; shared lists (parcel, building) of shared buildings. Each building hangs its
+    parcels on its least one, so that the graph has parcels only and an edge for each but one of a building's parcels."""
+    pairs = shared.select(F.col(parcel).alias("p"), F.col(building).alias("b")).filter("p is not null and b is not null").distinct()
+    least = pairs.groupBy("b").agg(F.min("p").alias("least"), F.max("p").alias("most")).filter("least < most").select("b", "least")
+    nodes = connected_components(pairs.join(least, "b").filter("p <> least").select("least", "p"))
+    found = nodes.withColumnRenamed("node", parcel)
+    return parcels.select(parcel).join(found, parcel, "left").withColumn("component", F.coalesce("component", parcel))
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
@@ -61,7 +63,7 @@ def build_combos(parcels: DataFrame, buildings: DataFrame, parkings: DataFrame,
     scout_v5_id, role (owner or domiciliation), siren, ape.
     """
     of = parcel_components(parcels, buildings.filter("matching_status = 'partage'").select("scout_v5_id", F.col("batiment_construction_id").alias("building_id")).filter(F.trim(blank("building_id")) != ""))
-    rows = parcels.join(of, "scout_v5_id")
+    rows = materialize(parcels.join(of, "scout_v5_id"), "parcels")  # read five times below
     place = F.struct("code_insee", "section", "numero_norm", "scout_v5_id")
     base = rows.groupBy("component").agg(
         F.array_sort(F.collect_list(place)).alias("_rows"),
