@@ -116,7 +116,7 @@ def test_long_runs(make_docs):
     assert found["digits"][0] == found["letters"][0] == found["spaces"][0] == []
     assert found["dots"][0][:1] == [("email", 0, 3 + 800_000)] and len(found["dots"][0]) == 1 + 100_000
     assert found["zeros"][0] == [("ip", 0, 457)]
-    assert len(found["numbers"][1]) in (0, 20_000)
+    assert len(found["numbers"][1]) >= 19_990
 
 
 def test_clashing_names(make_docs):
@@ -141,9 +141,15 @@ RIGHT = {
     "ipv6": ["ping *2001:4860:4860::8888* first", "host *fe80::1ff:fe23:4567:890a* is up", "*2606:2800:220:1:248:1893:25c8:1946*"],
     "spelled_email": ["contact *jane.doe (at) example (dot) org*", "write to *max [at] mail [dot] example [dot] com*", "e-mail: *info(at)site(dot)net*"],
 }
+#: Right ones without a word that says so.
+BARE = {
+    "local_phone": ["Bob Smith, *555-123-4567*", "Anna *(555) 123-4567* or later", "*(212) 555-0199*", "Front desk *555 123 4567*", "Tel *06 12 34 56 78*", "*020 7946 0958*, ask for Jo", "Praxis *030/901 8200*", "Marie, *01.42.68.53.00*"],
+    "national_id": ["for *219-09-9999* it was", "Jones *457-55-5462*"],
+    "spelled_email": ["*" + "a" * 60 + " (at) site (dot) org*"],
+}
 WRONG = {
-    "local_phone": ["order 123-456-7890", "isbn 978 316 1484", "part 555-123-4567"],
-    "national_id": ["invoice 000-12-3456", "ref 987-65-4321"],
+    "local_phone": ["order 123-456-7890", "isbn 978 316 1484", "part 555-123-4567", "on 2024-01-15 and", "from 12.05.2019 on", "sizes 12 34 56 78"],
+    "national_id": ["invoice 000-12-3456", "ref 987-65-4321", "order 219-09-9999"],
     "iban": ["code GB29 NWBK 6016 1331 9268 18", "DE00370400440532013000"],
     "ipv6": ["mac 00:1b:44:11:3a:b7:00:11", "std::dec and std::ace"],
     "spelled_email": ["meet at noon (at) cafe. then"],
@@ -153,7 +159,7 @@ WRONG = {
 def test_planted_in_the_corpus(spark, make_docs, texts):
     """Hand-written cases put between the words of documents of the corpus."""
     bodies = [t for t in texts.values() if t and len(t) < 3000 and not re.search(r"[0-9@:]", t)]
-    planted = [(kind, s) for kind, own in RIGHT.items() for s in own]
+    planted = [(kind, s) for all_of in (RIGHT, BARE) for kind, own in all_of.items() for s in own]
     decoys = [(kind, s) for kind, own in WRONG.items() for s in own]
     docs, want = [], []
     for k, (kind, s) in enumerate([*planted, *decoys] * 3):
