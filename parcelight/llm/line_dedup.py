@@ -66,7 +66,8 @@ def copied_texts(docs: DataFrame, least: int = LEAST_DOCUMENTS) -> DataFrame:
     cut = docs.select(F.xxhash64("text").alias("_text"), F.monotonically_increasing_id().alias("_row"), each.alias("_p"))
     pieces = materialize(cut.select("_text", "_row", F.size("_p").alias("_whole"), F.explode("_p").alias("_piece")), "pieces")
     common = materialize(pieces.groupBy("_piece").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select("_piece"), "common")
-    shared = pieces.join(common, "_piece", "left_semi").groupBy("_text", "_row", "_whole").agg(F.count("*").alias("_shared"))
+    # A merge join at every size: the common pieces grow with the corpus.
+    shared = pieces.hint("merge").join(common, "_piece", "left_semi").groupBy("_text", "_row", "_whole").agg(F.count("*").alias("_shared"))
     return shared.filter(OWN * (F.col("_whole") - F.col("_shared")) < F.col("_whole")).select("_text").distinct()
 
 
@@ -82,7 +83,8 @@ def crowded(docs: DataFrame, lines: DataFrame, copied: DataFrame, least: int) ->
     rest = lines.filter("_leaf is not null").join(copied.withColumn("_copied", F.lit(True)), "_text", "left")
     sizes = rest.filter("_copied is null").groupBy("_leaf").agg(F.count("*").alias("_size")).filter(F.col("_size") >= least).select("_leaf")
     wanted = rest.join(sizes, "_leaf").groupBy(F.col("doc_id").alias("_id"), F.col("_text").alias("_hash")).agg(F.first(F.col("_copied").isNull()).alias("_own"), F.collect_set(F.struct("_at", "_leaf")).alias("_l"))
-    joined = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
+    # Merge joins of texts at every size: what is wanted grows with the corpus, and so would a broadcast of it.
+    joined = docs.select("doc_id", "text").hint("merge").join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
     token = lambda w, i: F.xxhash64(i, w)
     told = lambda ls: F.transform("_l", lambda at: F.struct(at["_at"].alias("_at"), at["_leaf"].alias("_leaf"), F.transform(F.split(masked(F.get(ls, at["_at"])), " "), token).alias("_tokens")))
     # The lines are bound by a lambda, so that a text is split once and not once for each of its lines.
@@ -96,16 +98,22 @@ def together(tokens: Column) -> Column:
 
 
 def generalised(lines: DataFrame, least: int) -> DataFrame:
-    """The lines that share an end with `least` lines of own texts, a row for each _group (template) that they may be of."""
+    """The lines that share an end with lines of `least` own texts, a row for each _group (template) that they may be of.
+    Those with a common start have their field behind it, those with a common end before it; either set holds a template's
+    lines together."""
     n = F.size("_tokens")
     widest = F.least(F.lit(RUN), F.floor(n / SHARE)).cast("int")
     end = F.ceil((n - widest) / 2).cast("int")
-    ends = F.array(*[F.xxhash64("_leaf", F.lit(k), together(part)) for k, part in enumerate((F.slice("_tokens", F.lit(1), end), F.slice("_tokens", n - end + 1, end)))])
-    both = lines.withColumn("_end", F.explode(ends))
-    shared = both.filter("_own").groupBy("_end").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select("_end")
+    parts = (F.slice("_tokens", F.lit(1), end), F.slice("_tokens", n - end + 1, end))
+    ends = F.array(*[F.struct(F.xxhash64("_leaf", F.lit(k), together(part)).alias("_end"), F.lit(k == 0).alias("_start")) for k, part in enumerate(parts)])
+    both = lines.withColumn("_e", F.explode(ends)).select(*lines.columns, "_e.*")
+    shared = both.filter("_own").select("_end", "_text").distinct().groupBy("_end").agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select("_end")
     met = both.join(shared, "_end", "left_semi").withColumn("_whole", together(F.col("_tokens")))
     without = lambda w, at: F.xxhash64("_leaf", w, at, F.col("_whole").bitwiseXOR(together(F.slice("_tokens", at + 1, w))))
-    groups = F.flatten(F.transform(F.sequence(F.lit(1), widest), lambda w: F.transform(F.sequence(F.lit(DEPTH), n - w), lambda at: without(w, at))))
+    first = F.when(F.col("_start"), F.greatest(F.lit(DEPTH), end)).otherwise(DEPTH)
+    last = lambda w: F.when(F.col("_start"), n - w).otherwise(F.least(end - 1, n - end - w))
+    places = lambda w: F.when(last(w) >= first, F.sequence(first, last(w))).otherwise(F.array().cast("array<int>"))
+    groups = F.flatten(F.transform(F.sequence(F.lit(1), widest), lambda w: F.transform(places(w), lambda at: without(w, at))))
     return met.select("doc_id", "_text", "_own", "_at", F.explode(groups).alias("_group"))
 
 
@@ -130,7 +138,7 @@ def judge(docs: DataFrame, least: int) -> tuple[DataFrame, str, str, str]:
     """docs with three columns more, and their names: the shortened text, the number of lines, that of dropped ones."""
     kept, lines, removed, doc, text, drop = unused(docs, "_kept", "_lines", "_removed", "_id", "_hash", "_drop")
     found = boilerplate(docs.select("doc_id", "text"), least).withColumnsRenamed({"doc_id": doc, "_text": text, "_drop": drop})
-    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(text)), "left")
+    joined = docs.hint("merge").join(found, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(text)), "left")
     gone = F.coalesce(F.col(drop), F.array().cast("array<int>"))
     rest = F.transform(F.array(text_lines()), lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), drop), lambda i: F.get(ls, i)))
     shorter = F.when(F.size(gone) == 0, F.col("text")).otherwise(F.array_join(F.element_at(rest, 1), "\n"))
