@@ -70,9 +70,11 @@ def records_where(rows: DataFrame, equal: dict[str, str], order: list[Column] |
 def assign_commune(objects: DataFrame, parcels: DataFrame, key: list[str], cell: float) -> DataFrame:
     """objects (key, x, y, code_insee) with the commune of the parcel that holds their point; of several the smallest
     code; unchanged where none does. `changed` marks those whose code differs."""
-    held = spatial.points_in_boxes(objects.select(*key, "x", "y"), parcels.select(F.col("code_insee").alias("_new"), "pxmin", "pymin", "pxmax", "pymax"), "x", "y", "p", cell)
+    box = spatial.box_columns("p")
+    codes = parcels.groupBy(*box).agg(F.min("code_insee").alias("_new"))  # equal parcels hold the same points
+    held = spatial.points_in_boxes(objects.select(*key, "x", "y"), codes, "x", "y", "p", cell)
     found = held.groupBy(*key).agg(F.min("_new").alias("_new"))
-    joined = objects.join(found, key, "left")
+    joined = objects.join(found.hint("merge"), key, "left")
     differs = F.col("_new").isNotNull() & ~F.col("_new").eqNullSafe(F.col("code_insee"))
     return joined.withColumn("changed", differs).withColumn("code_insee", F.coalesce("_new", "code_insee")).drop("_new")
 
@@ -95,7 +97,9 @@ def locate_permits(permits: DataFrame, parcels: DataFrame) -> DataFrame:
     forms = F.array(F.trim(blank("numero")), parcel_number("numero"), F.regexp_replace(blank("numero"), r"\D", ""))
     missing = permits.filter(F.col("x").isNull() | F.col("y").isNull())
     tries = missing.select("num_permis", F.col("code_commune").alias("code_insee"), F.trim("section").alias("section"), F.posexplode(forms).alias("_k", "numero"))
-    hits = tries.filter(filters.has_text(F.col("numero"))).join(parcels.withColumnsRenamed({"x": "_x", "y": "_y"}), ["code_insee", "section", "numero"])
+    number = ["code_insee", "section", "numero"]
+    once = best_per_key(parcels.withColumnsRenamed({"x": "_x", "y": "_y"}), number, [F.asc("_x"), F.asc("_y")])  # many parcels of one number: the first
+    hits = tries.filter(filters.has_text(F.col("numero"))).join(once.hint("merge"), number)
     best = best_per_key(hits, ["num_permis"], [F.asc("_k"), F.asc("_x"), F.asc("_y")]).select("num_permis", "_x", "_y")
     joined = permits.join(best, "num_permis", "left")
     return joined.withColumn("x", F.coalesce("x", "_x")).withColumn("y", F.coalesce("y", "_y")).drop("_x", "_y")
