@@ -8,12 +8,12 @@ import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import arrow_udtf
 
-from . import planar
-from .shapes import column_of, values_of
+from . import planar_batch
+from .shapes import column_of, contour, values_of
 
 
 def contour_rows(batch: pa.RecordBatch) -> pa.Table:
-    points = [planar.contour_points(s) if s is not None else np.zeros((0, 2)) for s in values_of(batch.column("polygons"))]
+    points = [contour(ring) for ring in planar_batch.outlines(planar_batch.rings_of(batch.column("polygons"))[0])]
     count = [len(p) for p in points]
     at = np.concatenate([np.zeros((0, 2)), *points])
     ids = batch.column("id").take(pa.array(np.repeat(np.arange(len(count)), count)))

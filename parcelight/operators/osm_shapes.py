@@ -1,18 +1,21 @@
 """Geometry of OpenStreetMap objects: points of ways by a join with the nodes, rings of relations from their ways.
 
 Objects are rows as the PBF source gives them (or its Parquet form): osm_type, osm_id, tags, lon, lat, refs, members. Only
-the ways that are asked for meet the nodes, as an equi-join on the node's number. An object's own points are one value.
+the ways that are asked for meet the nodes, as an equi-join on the node's number. An object's own points are one value. All
+joins merge: what is exploded from packed rows is far larger than Spark's estimate, and would be broadcast through the driver.
 """
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import planar
-from ..functions.shapes import POINT, POLYGONS, XY, column_of, values_of
+from ..functions import planar, planar_batch
+from ..functions.shapes import POINT, POLYGONS, XY, column_of, unnested, values_of
 from ..functions.text import blank
 from .ranking import best_per_key
 
@@ -33,10 +36,10 @@ def way_lines(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     that overlap) count once."""
     refs = ways.select("osm_id", F.posexplode("refs").alias("pos", "ref"))
     at = nodes.filter("lon is not null and lat is not null").select(F.col("osm_id").alias("ref"), F.struct(F.col("lon").alias("x"), F.col("lat").alias("y")).alias("p"))
-    found = refs.join(at, "ref").groupBy("osm_id", "pos").agg(F.min("p").alias("p"))
+    found = refs.join(at.hint("merge"), "ref").groupBy("osm_id", "pos").agg(F.min("p").alias("p"))
     lines = found.groupBy("osm_id").agg(F.array_sort(F.collect_list(F.struct("pos", "p"))).alias("_points"))
     whole = F.when(F.size("_points") == F.size("refs"), F.transform("_points", lambda q: q["p"]))
-    return ways.join(lines, "osm_id", "left").withColumn("line", whole).drop("_points")
+    return ways.join(lines.hint("merge"), "osm_id", "left").withColumn("line", whole).drop("_points")
 
 
 def _steps(line: np.ndarray) -> np.ndarray:
@@ -50,8 +53,14 @@ def _degrees(polygons: list[list[np.ndarray]] | None) -> list | None:
 @F.arrow_udf(POLYGONS)
 def assembled(lines: pa.Array) -> pa.Array:
     """Polygons from lines in any order and direction; null where a line is, or where they don't close or cross."""
-    rows = values_of(lines)
-    return column_of([None if x is None or any(line is None for line in x) else _degrees(planar.joined_ways([_steps(line) for line in x])) for x in rows])
+    (rows, null), (offsets, missing) = (levels := unnested(lines))[0]
+    used = np.arange(rows[0], rows[-1])
+    owner, size = np.repeat(np.arange(len(lines)), np.diff(rows)), np.diff(offsets)[used].astype(np.int64)
+    null = null | (np.bincount(owner, missing[used], len(lines)) > 0)
+    line, at = planar_batch.places(size)
+    rings, fine = planar_batch.joined_ways(_steps(levels[1][offsets[used][line] + at]), size, owner, len(lines))
+    rings = rings.where((fine & ~null)[rings.owner])
+    return planar_batch.column_of(replace(rings, points=rings.points / STEPS), null | ~fine)
 
 
 @F.arrow_udf(POLYGONS)
@@ -90,10 +99,10 @@ def relation_areas(objects: DataFrame, wanted: Column) -> DataFrame:
     areas = F.try_element_at("tags", F.lit("type")).isin("multipolygon", "boundary")
     relations = kind(objects, "r").filter(wanted & areas).select("osm_id", "tags", "members").dropDuplicates(["osm_id"])
     member = relations.select(F.col("osm_id").alias("relation"), F.explode("members").alias("m")).filter("m.type = 'w'").select("relation", F.col("m.ref").alias("osm_id")).distinct()
-    ways = kind(objects, "w").select("osm_id", "refs").join(member.select("osm_id").distinct(), "osm_id", "left_semi").dropDuplicates(["osm_id"])
-    lines = member.join(way_lines(ways, kind(objects, "n")).select("osm_id", "line"), "osm_id", "left")
+    ways = kind(objects, "w").select("osm_id", "refs").join(member.select("osm_id").distinct().hint("merge"), "osm_id", "left_semi").dropDuplicates(["osm_id"])
+    lines = member.join(way_lines(ways, kind(objects, "n")).select("osm_id", "line").hint("merge"), "osm_id", "left")
     together = lines.groupBy(F.col("relation").alias("osm_id")).agg(F.collect_list("line").alias("_lines"), F.count("*").alias("_n"))
-    whole = relations.join(together.filter(F.size("_lines") == F.col("_n")), "osm_id")
+    whole = relations.join(together.filter(F.size("_lines") == F.col("_n")).hint("merge"), "osm_id")
     return whole.select("osm_id", "tags", assembled("_lines").alias("polygons")).filter("polygons is not null")
 
 
