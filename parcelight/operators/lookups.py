@@ -71,7 +71,8 @@ def assign_commune(objects: DataFrame, parcels: DataFrame, key: list[str], cell:
     """objects (key, x, y, code_insee) with the commune of the parcel that holds their point; of several the smallest
     code; unchanged where none does. `changed` marks those whose code differs."""
     box = spatial.box_columns("p")
-    codes = parcels.groupBy(*box).agg(F.min("code_insee").alias("_new"))  # equal parcels hold the same points
+    codes = parcels.filter(F.col("code_insee").isNotNull()).select(*box, F.col("code_insee").alias("_new"))
+    codes = spatial.uncovered(codes, "p", ["_new"], cell)  # a parcel in another of no larger code decides nothing
     held = spatial.points_in_boxes(objects.select(*key, "x", "y"), codes, "x", "y", "p", cell)
     found = held.groupBy(*key).agg(F.min("_new").alias("_new"))
     joined = objects.join(found.hint("merge"), key, "left")

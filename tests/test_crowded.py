@@ -49,3 +49,11 @@ def test_permits_meet_one_parcel_of_a_number(spark):
     found = lookups.locate_permits(permits, parcels)
     assert [(r["x"], r["y"]) for r in found.collect()] == [(1.0, 0.0)]
     assert "BroadcastExchange" not in plan_of(found.select("x")).split("Generate")[0]
+
+
+def test_parcels_in_others_of_no_larger_code_decide_nothing(spark):
+    objects = spark.createDataFrame([(1, 2.0, 2.0, "z"), (2, 8.0, 8.0, None), (3, 40.0, 2.0, "z")], "id long, x double, y double, code_insee string")
+    rows = [("b", 0.0, 0.0, 10.0, 10.0), ("b", 1.0, 1.0, 5.0, 5.0), ("a", 1.0, 1.0, 5.0, 5.0), (None, 0.0, 0.0, 10.0, 10.0), ("c", 7.0, 7.0, 9.0, 9.0)]
+    parcels = spark.createDataFrame(rows, "code_insee string, pxmin double, pymin double, pxmax double, pymax double")
+    found = {r["id"]: (r["code_insee"], r["changed"]) for r in lookups.assign_commune(objects, parcels, ["id"], 16.0).collect()}
+    assert found == {1: ("a", True), 2: ("b", True), 3: ("z", False)}
