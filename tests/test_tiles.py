@@ -1,6 +1,9 @@
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from parcelight.functions.geo import simplify_ring
+from parcelight.functions.nested_lists import XY
 from parcelight.operators import tiles as T
 
 
@@ -72,3 +75,37 @@ def test_clip():
     square = np.array([(-10, -10), (10, -10), (10, 10), (-10, 10), (-10, -10)], float)
     assert np.ptp(T.clip(square, 0, 5), axis=0).tolist() == [5, 5]
     assert len(T.clip(square + 100, 0, 5)) == 0
+
+
+def test_batches_draw_as_single_rings_do():
+    rng = np.random.default_rng(5)
+    rings = [rng.integers(0, 40, (n, 2)) / 40000 + rng.random(2) / 5 for n in rng.integers(3, 30, 300)]
+    rings = [np.vstack([r, r[:1]]) if k % 2 else r for k, r in enumerate(rings)]
+    column = pa.array([None, *[[{"x": x, "y": y} for x, y in r] for r in rings], []], pa.list_(XY))
+    tile = np.full(len(column), 2048), np.full(len(column), 2047)
+    for zoom, tolerance in ((12, 1e-4), (12, 0.0)):
+        points, first, closed = T.opened(*T.rings_of(column), np.ones(len(column), bool))
+        points, first = T.simplified(points, first, tolerance)
+        owner = np.repeat(np.arange(len(first) - 1), np.diff(first))
+        points, first = T.clipped(T.project(points, zoom, tile[0][owner], tile[1][owner]), first, -T.BUFFER, T.EXTENT + T.BUFFER)
+        data, begin = T.geometries(points, first)
+        want = [T.clip(T.project(simplify_ring(r, tolerance), zoom, 2048, 2047), -T.BUFFER, T.EXTENT + T.BUFFER) for r in rings]
+        assert {0, 1} <= {min(len(w), 1) for w in want}
+        assert np.diff(first).tolist() == [0, *map(len, want), 0]
+        assert [data[a:b].tobytes() for a, b in zip(begin[1:-2], begin[2:-1])] == [T.geometry([w]) for w in want]
+    assert closed.sum() == 150
+
+
+def test_rings_are_drawn_before_they_meet(spark):
+    """Drawing is the work, so it is spread as the input is, not by tiles; what a tile's task gets is drawn rings."""
+    k = F.col("id")
+    x, y = k % 100 / 40000 + 0.001, F.floor(k / 100) / 40000 + 0.001
+    corner = lambda dx, dy: F.struct((x + dx / 50000).alias("x"), (y + dy / 50000).alias("y"))
+    boxes = spark.range(5000).select(F.concat(F.lit("w:"), k).alias("id"), F.array(corner(0, 0), corner(1, 0), corner(1, 1), corner(0, 1)).alias("ring"), x.alias("xmin"), y.alias("ymin"), (x + 1 / 50000).alias("xmax"), (y + 1 / 50000).alias("ymax"))
+    tiles = T.build_tiles(boxes, 15)
+    plan = tiles._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan.split("Exchange hashpartitioning")[1]
+    (row,) = tiles.collect()
+    assert row["n"] == 5000
+    (layer,) = (v for _, v in parse(bytes(row["tile"])))
+    assert sum(f == 2 for f, _ in parse(layer)) == sum(f == 4 for f, _ in parse(layer)) == 5000
