@@ -257,3 +257,16 @@ def test_multipolygons(spark):
     df = spark.createDataFrame(rows, "k string, l array<struct<x:double,y:double>>, p array<array<array<struct<x:double,y:double>>>>")
     got = [r[0] for r in df.select(geo.as_multipolygon(F.col("k"), F.col("l"), F.col("p"))).collect()]
     assert [None if g is None else len(g) for g in got] == [1, None, 1, 2, None, None]
+
+
+def test_shared_steps_are_worked_out_once(spark):
+    """A lambda that names a Column has it worked out again for each element, so what is shared is bound first."""
+    ring = F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in ((0.0, 0.0), (4.0, 0.0), (4.0, 2.0), (0.0, 2.0))])
+    rows = spark.range(1).select(ring.alias("ring"))
+    centre = geo.area_centroid(F.col("ring"))
+    df = rows.select(centre.alias("c"), geo.point_in_ring(centre["x"], centre["y"], F.col("ring")).alias("inside"))
+    assert df.head() == ((2.0, 1.0), True)
+    steps = lambda df, name: df._jdf.queryExecution().analyzed().toString().count(name)
+    assert steps(rows.select(geo.point_in_ring(centre["x"], centre["y"], F.col("ring")).alias("i")), "aggregate(") == 6  # a centre and its mean of points, for x and y
+    split = spark.range(1).select(E.split_evenly(F.lit(100) + F.col("id"), F.array(*[F.lit(1 / 12)] * 12)).alias("s"))
+    assert sum(split.head()["s"]) == 100 and steps(split, "aggregate(") == 1
