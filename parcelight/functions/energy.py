@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import round_half_up
+from .text import once, round_half_up
 
 #: Fixed values of the model.
 USABLE_ROOF = 0.75
@@ -106,10 +106,15 @@ def perfect_fit_kwp(consumption, per_kwp, roof_kwp, share: float = 0.7) -> Colum
 def split_evenly(total, shares: Column) -> Column:
     """total as whole numbers in proportion to shares (which add up to 1), adding up to it rounded: what rounding leaves
     goes to the last part that doesn't fall below 0 by it."""
-    parts = F.transform(shares, lambda s: F.floor(total * s + 0.5))
-    rest = F.floor(total + 0.5) - F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + x)
-    fits = F.array_max(F.filter(F.transform(parts, lambda x, i: F.when(x + rest >= 0, i)), lambda i: i.isNotNull()))
-    return F.transform(parts, lambda x, i: x + F.when(i == fits, rest).otherwise(F.lit(0).cast("long")))
+
+    def settled(parts, rest):
+        fits = F.array_max(F.filter(F.transform(parts, lambda x, i: F.when(x + rest >= 0, i)), lambda i: i.isNotNull()))
+        return once(fits, lambda k: F.transform(parts, lambda x, i: x + F.when(i == k, rest).otherwise(F.lit(0).cast("long"))))
+
+    def left(parts):
+        return F.floor(total + 0.5) - F.aggregate(parts, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    return once(F.transform(shares, lambda s: F.floor(total * s + 0.5)), lambda parts: once(left(parts), lambda rest: settled(parts, rest)))
 
 
 def rounded_year(monthly: Column) -> Column:
