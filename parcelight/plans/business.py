@@ -26,7 +26,7 @@ def components(spark, sf_dir):
     lines, orders = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders")
     at = F.shiftleft("o_custkey", 32)
     ends = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(at.bitwiseOR(F.col("l_suppkey")).bitwiseOR(F.lit(1 << 31)).alias("a"), at.bitwiseOR(F.col("l_partkey")).alias("b"))
-    found, low = connected_components(ends), F.lit((1 << 32) - 1)
+    found, low = connected_components(ends, block=lambda node: F.shiftright(node, 32)), F.lit((1 << 32) - 1)
     return found.select(F.shiftright("node", 32).alias("customer"), F.col("node").bitwiseAND(low).alias("node"), F.col("component").bitwiseAND(low).alias("component"))
 
 

@@ -270,3 +270,39 @@ def test_shared_steps_are_worked_out_once(spark):
     assert steps(rows.select(geo.point_in_ring(centre["x"], centre["y"], F.col("ring")).alias("i")), "aggregate(") == 6  # a centre and its mean of points, for x and y
     split = spark.range(1).select(E.split_evenly(F.lit(100) + F.col("id"), F.array(*[F.lit(1 / 12)] * 12)).alias("s"))
     assert sum(split.head()["s"]) == 100 and steps(split, "aggregate(") == 1
+
+
+def test_components_by_block(spark, monkeypatch):
+    import random
+
+    from parcelight.operators import components
+
+    rng = random.Random(7)
+    edges = [(1000 * c + rng.randint(0, 60), 1000 * c + rng.randint(0, 60)) for c in range(40) for _ in range(30)]
+    block = lambda node: F.floor(node / 1000)
+    of = lambda rows, kind="long", **more: {r["node"]: r["component"] for r in components.connected_components(spark.createDataFrame(rows, f"a {kind}, b {kind}"), **more).collect()}
+    rounds = []
+    monkeypatch.setattr(components, "_stars", lambda *a, whole=components._stars, **k: (rounds.append(1), whole(*a, **k))[1])
+    whole = of([*edges, (None, 1), (7, 7)], block=block)
+    assert not rounds and whole == of([*edges, (7, 7)])
+    crossing = [*edges, (5, 2007), (2007, 39001), (39001, 39001)]
+    assert of(crossing, block=block) == of(crossing)
+    texts = [(f"n{a:06}", f"n{b:06}") for a, b in edges]
+    assert of(texts, "string", block=lambda node: F.substring(node, 1, 4)) == of(texts, "string")
+    assert of([], block=block) == {}
+
+
+def test_blocks_too_large_are_cut(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from parcelight.operators import components
+
+    monkeypatch.setattr(components, "CHUNK", 10)
+    x = np.arange(200)
+    table = pa.table({"x": x, "y": x + 1, "block": np.where(x < 25, x // 5, 9)})
+    found = pa.Table.from_batches(components._blocks(iter(table.to_batches(max_chunksize=4))))
+    cut = np.array(found["cut"])
+    assert not cut[np.array(found["node"]) < 25].any() and cut[np.array(found["node"]) > 26].all()
+    edges = set(zip(found["node"].to_pylist(), found["component"].to_pylist()))
+    assert components.least_labels(*np.array(sorted(edges)).T, 201).max() == 0 or len(edges) >= 201
