@@ -8,7 +8,7 @@ from ..functions import energy as E
 from ..operators import filters, resolution
 from ..operators.components import connected_components
 from ..functions.text import round_half_up
-from ..session import table
+from ..session import materialize, table
 from .register import registry
 
 QUERIES, ORACLES, query = registry()
@@ -195,8 +195,10 @@ def combos(spark, sf_dir):
 
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     pad = lambda c: F.lpad(F.col(c).cast("string"), 9, "0")
-    rows = lines.select(F.concat(F.lit("p"), pad("o_custkey"), F.lit("-"), pad("l_suppkey")).alias("scout_v5_id"), pad("o_custkey").alias("code_insee"), pad("l_suppkey").alias("numero_norm"), F.col("l_partkey").alias("k"), F.concat(F.lit("b"), pad("o_custkey"), F.lit("-"), pad("l_partkey")).alias("batiment_construction_id"), F.col("l_suppkey").alias("s"))
-    parcels = rows.groupBy("scout_v5_id", "code_insee", F.lit("A").alias("section"), "numero_norm").agg(F.lit(0.0).alias("footprint_sum_m2"), F.count(F.lit(1)).cast("double").alias("contour_m2"), F.lit(None).cast("string").alias("zone_tag"))
+    lines = materialize(lines.select(F.col("o_custkey").alias("c"), F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("k")), "lines")  # read five times below
+    number = F.concat(F.lit("p"), pad("c"), F.lit("-"), pad("s")).alias("scout_v5_id")
+    rows = lines.select(number, F.concat(F.lit("b"), pad("c"), F.lit("-"), pad("k")).alias("batiment_construction_id"), "k", "s")
+    parcels = lines.groupBy("c", "s").agg(F.count(F.lit(1)).cast("double").alias("contour_m2")).select(number, pad("c").alias("code_insee"), F.lit("A").alias("section"), pad("s").alias("numero_norm"), F.lit(0.0).alias("footprint_sum_m2"), "contour_m2", F.lit(None).cast("string").alias("zone_tag"))
     buildings = rows.select(
         "scout_v5_id",
         "batiment_construction_id",
@@ -212,7 +214,7 @@ def combos(spark, sf_dir):
     # A relation of negative number and the closed way of the same number are one parking.
     kind = F.when(F.col("s") % 2 == 0, "r").otherwise("w")
     parkings = rows.filter("k % 2 = 0").select("scout_v5_id", kind.alias("osm_parking_type"), F.when(kind == "r", -F.col("k") - 1).otherwise(F.col("k") + 1).alias("osm_parking_id"), (F.col("k") % 7 + 100).cast("double").alias("parking_area_m2"), F.lit(0).alias("ord"))
-    sirens = rows.filter("s % 3 = 0").select("scout_v5_id", F.lit("owner").alias("role"), F.lit("333333333").alias("siren"), F.lit(None).cast("string").alias("ape")).distinct()
+    sirens = lines.filter("s % 3 = 0").select("c", "s").distinct().select(number, F.lit("owner").alias("role"), F.lit("333333333").alias("siren"), F.lit(None).cast("string").alias("ape"))
     found = build_combos(parcels, buildings, parkings, sirens)
     return found.select(
         F.sha2("combo_id", 256).alias("combo_sha256"),

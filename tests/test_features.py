@@ -150,3 +150,19 @@ def test_address_context(spark):
 def test_sectors(spark):
     df = spark.createDataFrame([("Retail", "bank"), ("forest", " Bank"), (None, None), ("residential", "factory")], "z string, p string")
     assert [r[0] for r in df.select(labels.activity_sector("z", "p")).collect()] == ["retail", "tertiary", "other", "other"]
+
+
+def test_a_combo_reads_its_buildings_once(spark):
+    """The buildings' rows are joined with their parcels once; footprints, sets and tags all come from that."""
+    parcels = spark.createDataFrame([("p1", "c", "A", "1", 5.0, 1.0, "retail"), ("p2", "c", "A", "2", 5.0, 1.0, None), ("p3", "c", "A", "3", 7.0, 1.0, None)], "scout_v5_id string, code_insee string, section string, numero_norm string, footprint_sum_m2 double, contour_m2 double, zone_tag string")
+    rows = [("p2", "b", "w:1", 3.0, "1990", "school", "landuse", "yes", "partage", 0), ("p1", "b", "w:1", 9.0, "1980", "retail", "landuse", "yes", "partage", 1), ("p1", " ", "w:2", 4.0, None, "x", "x", "yes", "mono", 0), ("p2", "i", "w:3", 8.0, "1991", "x", "amenity", "no", "mono", 0), ("zz", "b", "w:9", 1.0, "1900", "x", "x", "x", "mono", 0)]
+    buildings = spark.createDataFrame(rows, "scout_v5_id string, batiment_construction_id string, osm_building_id string, footprint_m2 double, annee_construction string, zone_tag string, zone_source string, building_tag string, matching_status string, ord int")
+    parkings = spark.createDataFrame([("p2", "w", 5, 1.0, 0), ("p1", "r", -5, 2.0, 0)], "scout_v5_id string, osm_parking_type string, osm_parking_id long, parking_area_m2 double, ord int")
+    sirens = spark.createDataFrame([], "scout_v5_id string, role string, siren string, ape string")
+    found = combos.build_combos(parcels, buildings, parkings, sirens)
+    got = {r["combo_id"]: r for r in found.collect()}
+    assert set(got) == {"combo:p1|p2", "combo:p3"}
+    c = got["combo:p1|p2"]
+    assert (c["footprint_sum_m2"], c["parking_sum_m2"], c["construction_years"], c["osm_building_ids"], c["zone_tags"]) == (9.0, 2.0, [1980, 1990, 1991], ["w:1", "w:2", "w:3"], ["education", "retail"])
+    assert c["has_landuse_waiver"] and (got["combo:p3"]["footprint_sum_m2"], got["combo:p3"]["zone_tags"]) == (7.0, [])
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("osm_building_id#") <= 6
