@@ -76,8 +76,13 @@ def street_candidates(queries: DataFrame, establishments: DataFrame) -> DataFram
     plain = graded.filter((F.col("kind") < 2) & (F.col("kind") == F.col("first"))).withColumn("wr", F.when(F.col("kind") == 0, 100.0).otherwise(90.0))
     plain = plain.withColumn("street_ratio", F.when(F.col("kind") == 0, 100.0).otherwise(weighted_ratio_udf("voie_q", "voie_db")))
     near = near.withColumn("street_ratio", F.col("wr"))
-    chosen = plain.unionByName(near).select("code_insee", "voie_q", "voie_db", "wr", "street_ratio")
-    rows = queries.withColumnRenamed("voie", "voie_q").join(chosen, ["code_insee", "voie_q"]).join(establishments.withColumnRenamed("voie", "voie_db"), ["code_insee", "voie_db"])
+    chosen = plain.unionByName(near).select("code_insee", "voie_q", "voie_db", "wr", "street_ratio", "n")
+    # Nor are those of streets that come after MOST establishments of better ones.
+    better = F.sum("n").over(by_query.orderBy(F.desc("wr")).rangeBetween(W.unboundedPreceding, W.currentRow)) - F.sum("n").over(W.partitionBy("code_insee", "voie_q", "wr"))
+    chosen = chosen.withColumn("_better", better).filter(F.col("_better") < MOST).drop("_better", "n")
+    # A street's establishments are equally good candidates, so those beyond its first MOST are none of any query's.
+    first = top_per_group(establishments, ["code_insee", "voie"], [F.asc("siret")], MOST, "_e").drop("_e")
+    rows = queries.withColumnRenamed("voie", "voie_q").join(chosen, ["code_insee", "voie_q"]).join(first.withColumnRenamed("voie", "voie_db"), ["code_insee", "voie_db"])
     return top_per_group(rows, ["query_id"], [F.desc("wr"), F.asc("siret")], MOST, "_r").drop("_r")
 
 

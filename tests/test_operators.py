@@ -306,3 +306,25 @@ def test_blocks_too_large_are_cut(monkeypatch):
     assert not cut[np.array(found["node"]) < 25].any() and cut[np.array(found["node"]) > 26].all()
     edges = set(zip(found["node"].to_pylist(), found["component"].to_pylist()))
     assert components.least_labels(*np.array(sorted(edges)).T, 201).max() == 0 or len(edges) >= 201
+
+
+def test_crowded_streets_give_only_candidates(spark):
+    import re
+
+    q = spark.createDataFrame([("q1", "c", ["1"], "", "FOCH", "", "")], "query_id string, code_insee string, numbers array<string>, indice_q string, voie string, commune_q string, cp_q string")
+    k = F.col("id")
+    street = F.when(k % 2 == 0, "RUE FOCH").otherwise("FOCH NORD")
+    e = spark.range(900).select(F.lit("c").alias("code_insee"), F.lpad(k.cast("string"), 5, "0").alias("siret"), F.lit("s").alias("siren"), F.lit("1").alias("numero"), F.lit("").alias("indice"), street.alias("voie"), F.lit("").alias("commune"), F.lit("").alias("cp"))
+    found = company_match.street_candidates(q, e)
+    assert sorted(r["siret"] for r in found.collect()) == [f"{i:05}" for i in range(220)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"WindowGroupLimit \[.*voie#\d+\], \[siret#", plan) and "_better" in plan
+
+
+def test_lists_are_made_after_the_shuffle(spark, sf_dir):
+    """Both sides of a list's shuffle held lists before, which takes far more memory than the rows."""
+    from parcelight.plans import nested
+
+    plan = nested.nested_json(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_collect_list" in plan.split("Exchange hashpartitioning(o_orderkey")[0]
+    assert "collect_list" not in "".join(plan.split("Exchange hashpartitioning(o_orderkey")[1:])
