@@ -33,12 +33,13 @@ def resolve_shared_buildings(pairs: DataFrame, owners: DataFrame) -> DataFrame:
     covers most wins, the largest key on a tie; without a shared owner the parcels are compared alike.
     """
     by_parcel = pairs.groupBy("building_id", *PARCEL).agg(F.greatest(F.coalesce(F.max("intersection_area_m2"), F.lit(0.0)), F.lit(0.0)).alias("area"))
-    joined = by_parcel.join(owners.select(*PARCEL, "sirens", "siren_rows"), PARCEL, "left")
-    # A building has few parcels, so they meet in one array and the rest needs no further shuffle.
-    some = F.coalesce("sirens", F.array().cast("array<string>"))
-    whole = joined.groupBy("building_id").agg(F.count(F.lit(1)).alias("n_parcels"), F.max(F.struct("area", *PARCEL)).alias("widest"), F.collect_list(F.struct(some.alias("sirens"), "siren_rows")).alias("_p"))
+    # A building has few parcels, so they meet in one array and the rest needs no further shuffle. They become arrays after it
+    # only: arrays made on both sides take more memory than rows.
+    joined = by_parcel.join(owners.select(*PARCEL, "siren_rows"), PARCEL, "left").repartition("building_id")
+    some = lambda p: F.coalesce(F.map_keys(p["siren_rows"]), F.array().cast("array<string>"))
+    whole = joined.groupBy("building_id").agg(F.count(F.lit(1)).alias("n_parcels"), F.max(F.struct("area", *PARCEL)).alias("widest"), F.collect_list(F.struct("siren_rows")).alias("_p"))
     many = whole.filter("n_parcels > 1")
-    common = F.aggregate("_p", F.get("_p", F.lit(0))["sirens"], lambda kept, p: F.array_intersect(kept, p["sirens"]))
+    common = F.aggregate("_p", some(F.get("_p", F.lit(0))), lambda kept, p: F.array_intersect(kept, some(p)))
     many = many.withColumn("shared_sirens", F.array_sort(common))
     rows = lambda s: F.aggregate("_p", F.lit(0), lambda n, p: n + F.coalesce(F.try_element_at(p["siren_rows"], s), F.lit(0)))
     best = F.array_min(F.transform("shared_sirens", lambda s: F.struct((-rows(s)).alias("minus"), s.alias("siren"))))["siren"]
