@@ -13,6 +13,8 @@ from .ranking import best_per_key, top_per_group
 
 LEAST_SCORE, FUZZY_STREET, FUZZY_NUMBER = 52.0, 76.0, 88.0
 CANDIDATE_STREET, STREETS, ENOUGH, MOST = 80.0, 40, 50, 220
+#: What an establishment's score depends on.
+ADDRESS = ("code_insee", "voie_db", "numero", "indice", "commune", "cp")
 
 
 def bare_number(c) -> Column:
@@ -59,9 +61,10 @@ def address_score(tier, voie_q, voie_db, street_ratio, index_q, index_db, commun
     return F.struct(F.greatest(F.lit(0.0), F.least(F.lit(100.0), score)).alias("score"), reason.alias("reason"))
 
 
-def street_candidates(queries: DataFrame, establishments: DataFrame) -> DataFrame:
-    """(query_id, siret) candidates: exact street, else streets that contain one another, and streets of a high fuzzy
-    ratio (the best 40) where those give too few; scored once per distinct pair of streets of a commune."""
+def candidate_streets(queries: DataFrame, establishments: DataFrame, enough: int | None = None, most: int | None = None) -> DataFrame:
+    """(code_insee, voie_q, voie_db, wr, street_ratio, n): a query's exact street, else all streets that contain one another, and
+    all other streets of a high fuzzy ratio; scored once per distinct pair of streets of a commune, n is the street's
+    establishments. The reference looks for others only where there are fewer than `enough` and takes `most` of them."""
     q = queries.select("code_insee", F.col("voie").alias("voie_q")).distinct()
     streets = establishments.filter(blank("voie") != "").groupBy("code_insee", F.col("voie").alias("voie_db")).agg(F.count(F.lit(1)).alias("n"))
     pairs = q.join(streets, "code_insee")
@@ -71,12 +74,21 @@ def street_candidates(queries: DataFrame, establishments: DataFrame) -> DataFram
     first = F.min("kind").over(by_query)
     direct = F.when(F.col("kind") == F.least(first, F.lit(1)), F.col("n")).otherwise(0)
     graded = graded.withColumn("first", first).withColumn("found", F.sum(direct).over(by_query))
-    near = graded.filter((F.col("kind") == 2) & (F.col("found") < ENOUGH)).withColumn("wr", weighted_ratio_udf("voie_q", "voie_db")).filter(F.col("wr") >= CANDIDATE_STREET)
-    near = top_per_group(near, ["code_insee", "voie_q"], [F.desc("wr"), F.asc("voie_db")], STREETS, "_s").drop("_s")
-    plain = graded.filter((F.col("kind") < 2) & (F.col("kind") == F.col("first"))).withColumn("wr", F.when(F.col("kind") == 0, 100.0).otherwise(90.0))
-    plain = plain.withColumn("street_ratio", F.when(F.col("kind") == 0, 100.0).otherwise(weighted_ratio_udf("voie_q", "voie_db")))
+    plain = (F.col("kind") < 2) & (F.col("kind") == F.col("first"))
+    few = F.lit(True) if enough is None else F.col("found") < enough
+    near = graded.filter(~plain & few).withColumn("wr", weighted_ratio_udf("voie_q", "voie_db")).filter(F.col("wr") >= CANDIDATE_STREET)
+    if most is not None:
+        near = top_per_group(near, ["code_insee", "voie_q"], [F.desc("wr"), F.asc("voie_db")], most, "_s").drop("_s")
+    direct = graded.filter(plain).withColumn("wr", F.when(F.col("kind") == 0, 100.0).otherwise(90.0))
+    direct = direct.withColumn("street_ratio", F.when(F.col("kind") == 0, 100.0).otherwise(weighted_ratio_udf("voie_q", "voie_db")))
     near = near.withColumn("street_ratio", F.col("wr"))
-    chosen = plain.unionByName(near).select("code_insee", "voie_q", "voie_db", "wr", "street_ratio", "n")
+    return direct.unionByName(near).select("code_insee", "voie_q", "voie_db", "wr", "street_ratio", "n")
+
+
+def street_candidates(queries: DataFrame, establishments: DataFrame) -> DataFrame:
+    """(query_id, siret) candidates as the reference lists them, MOST at most; `matches_by_query` takes all."""
+    chosen = candidate_streets(queries, establishments, ENOUGH, STREETS)
+    by_query = W.partitionBy("code_insee", "voie_q")
     # Nor are those of streets that come after MOST establishments of better ones.
     better = F.sum("n").over(by_query.orderBy(F.desc("wr")).rangeBetween(W.unboundedPreceding, W.currentRow)) - F.sum("n").over(W.partitionBy("code_insee", "voie_q", "wr"))
     chosen = chosen.withColumn("_better", better).filter(F.col("_better") < MOST).drop("_better", "n")
@@ -112,19 +124,30 @@ def technical_status(queries: DataFrame, tried: Column, n: Column, missing: bool
 
 
 def matches_by_query(queries: DataFrame, establishments: DataFrame, least: float) -> DataFrame:
-    """query_id, _k (the establishments of the least score, best first) and sirens, for each query with any candidate."""
+    """query_id, _k (the establishments of the least score, best first) and sirens, for each query with any candidate. A query
+    meets each different address of its candidate streets once; the establishments of an address come in where it counts."""
     asked = queries.filter((blank("voie") != "") & (F.size("numbers") > 0))
     asked = asked.filter(F.trim(blank("address")) != "").drop("address") if "address" in queries.columns else asked
-    rows = street_candidates(asked, establishments.filter(F.trim(blank("numero")) != ""))
-    numbers = rows.select("siret", "query_id", "numero", F.explode("numbers").alias("asked")).withColumn("r", ratio_udf("numero", "asked"))
-    best = numbers.groupBy("query_id", "siret").agg(F.max("r").alias("best_ratio"))
-    scored = rows.join(best, ["query_id", "siret"], "left")
+    asked = asked.withColumnRenamed("voie", "voie_q")
+    known = establishments.filter((F.trim(blank("numero")) != "") & (blank("voie") != "")).withColumnRenamed("voie", "voie_db")
+    streets = candidate_streets(asked.withColumnRenamed("voie_q", "voie"), known.withColumnRenamed("voie_db", "voie")).drop("wr", "n")
+    addresses = known.select(*ADDRESS).distinct()
+    rows = asked.join(streets, ["code_insee", "voie_q"]).join(addresses, ["code_insee", "voie_db"])
+    numbers = asked.select("code_insee", "numbers").distinct().join(known.select("code_insee", "numero").distinct(), "code_insee").select("numbers", "numero").distinct()
+    numbers = numbers.select("numbers", "numero", F.explode("numbers").alias("asked")).withColumn("r", ratio_udf("numero", "asked"))
+    scored = rows.join(numbers.groupBy("numbers", "numero").agg(F.max("r").alias("best_ratio")), ["numbers", "numero"], "left")
     tier = number_tier(F.col("numbers"), F.col("numero"), F.coalesce("best_ratio", F.lit(0.0)))
-    scored = scored.withColumn("_s", address_score(tier, F.col("voie_q"), F.col("voie_db"), F.col("street_ratio"), F.col("indice_q"), F.col("indice"), F.col("commune_q"), F.col("commune"), F.col("cp_q"), F.col("cp")))
-    # Entries below the score count as tried: the query had a candidate.
-    entry = F.when(F.col("_s.score") >= least, F.struct((-F.col("_s.score")).alias("minus"), "siret", "siren", F.col("_s.reason").alias("reason")))
-    once = best_per_key(scored, ["query_id", "siret"], [F.desc("_s.score")])
-    return once.groupBy("query_id").agg(F.array_sort(F.collect_list(entry)).alias("_k"), F.array_sort(F.collect_set(F.when(F.col("_s.score") >= least, F.col("siren")))).alias("sirens"))
+    score = address_score(tier, F.col("voie_q"), F.col("voie_db"), F.col("street_ratio"), F.col("indice_q"), F.col("indice"), F.col("commune_q"), F.col("commune"), F.col("cp_q"), F.col("cp"))
+    scored = scored.select("query_id", *[F.col(c).alias("_" + c) for c in ADDRESS], score.alias("_s"))
+    good = F.col("_s.score") >= least
+    same = [F.col("_" + c).eqNullSafe(F.col(c)) if c in ("indice", "commune", "cp") else F.col("_" + c) == F.col(c) for c in ADDRESS]
+    found = scored.filter(good).join(known, same).select("query_id", "siret", "siren", "_s")
+    once = best_per_key(found, ["query_id", "siret"], [F.desc("_s.score"), F.asc("_s.reason"), F.asc("siren")])
+    entry = F.struct((-F.col("_s.score")).alias("minus"), "siret", "siren", F.col("_s.reason").alias("reason"))
+    # Queries with lower scores only are tried: they had a candidate.
+    tried = scored.groupBy("query_id").agg(F.max("_s.score").alias("_best")).filter(F.col("_best") < least).select("query_id", F.lit(None).alias("_entry"))
+    entries = once.select("query_id", entry.alias("_entry")).unionByName(tried)
+    return entries.groupBy("query_id").agg(F.array_sort(F.collect_list("_entry")).alias("_k"), F.array_sort(F.collect_set("_entry.siren")).alias("sirens"))
 
 
 def match_establishments(queries: DataFrame, establishments: DataFrame | None, least: float = LEAST_SCORE) -> DataFrame:

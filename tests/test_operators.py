@@ -321,6 +321,21 @@ def test_crowded_streets_give_only_candidates(spark):
     assert len(re.findall(r"WindowGroupLimit .*siret#", plan)) == 2 and "< 220))" in plan
 
 
+def test_crowded_streets_give_all_their_matches(spark):
+    """No establishment of a candidate street is left out, however many there are."""
+    q = spark.createDataFrame([("q1", "c", ["899"], "", "FOCH", "", ""), ("q2", "c", ["7"], "", "RUE GRANDE", "", ""), ("q3", "c", ["x"], "", "RUE BASSE", "", "")], "query_id string, code_insee string, numbers array<string>, indice_q string, voie string, commune_q string, cp_q string")
+    k, text = F.col("id"), lambda v: F.lit(v).cast("string")
+    row = lambda n, siret, numero, voie: spark.range(n).select(F.lit("c").alias("code_insee"), siret.alias("siret"), F.concat(F.lit("s"), k % 3).alias("siren"), numero.alias("numero"), text(None).alias("indice"), voie.alias("voie"), text("").alias("commune"), text("").alias("cp"))
+    number = lambda lead: F.concat(F.lit(lead), F.lpad(k.cast("string"), 5, "0"))
+    e = row(900, number("a"), k.cast("string"), F.when(k % 2 == 0, "RUE FOCH").otherwise("FOCH NORD"))
+    e = e.union(row(300, number("b"), text("7"), text("RUE GRANDE"))).union(row(60, number("c"), text("7"), F.concat(F.lit("RUE GRANDES "), F.char(65 + k % 26), F.char(65 + F.floor(k / 26).cast("int")))))
+    e = e.union(row(2, number("d"), text("1"), text("RUE BASSE")))
+    got = {r["query_id"]: r for r in company_match.match_establishments(q, e).collect()}
+    assert got["q1"]["sirets"] == ["a00899"]
+    assert got["q2"]["siret_count"] == 360 and got["q2"]["sirens"] == ["s0", "s1", "s2"] and got["q2"]["sirets"][0] == "b00000"
+    assert (got["q3"]["status_technique"], got["q3"]["siret_count"]) == ("low_confidence", 0)
+
+
 def test_lists_are_made_after_the_shuffle(spark, sf_dir):
     """Both sides of a list's shuffle held lists before, which takes far more memory than the rows."""
     from parcelight.plans import nested
