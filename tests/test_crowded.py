@@ -57,3 +57,28 @@ def test_parcels_in_others_of_no_larger_code_decide_nothing(spark):
     parcels = spark.createDataFrame(rows, "code_insee string, pxmin double, pymin double, pxmax double, pymax double")
     found = {r["id"]: (r["code_insee"], r["changed"]) for r in lookups.assign_commune(objects, parcels, ["id"], 16.0).collect()}
     assert found == {1: ("a", True), 2: ("b", True), 3: ("z", False)}
+
+
+def test_shapes_meet_in_blocks(spark):
+    """Every pair comes once, in blocks and cells of any number, and no shape travels to the kernel for each pair."""
+    ring = lambda w, h: F.array(*[F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in ((0, 0), (w, 0), (w, h), (0, h))])
+    box = lambda p, w, h: [F.col("x").alias(p + "xmin"), F.col("y").alias(p + "ymin"), (F.col("x") + w).alias(p + "xmax"), (F.col("y") + h).alias(p + "ymax"), F.array(ring(w, h)).alias(p + "polygon")]
+    at = lambda n, k: spark.range(n).select("id", (F.col("id") * k % 19).cast("double").alias("x"), (F.col("id") * 3 % 23).cast("double").alias("y"))
+    a, b = at(300, 7).select(F.col("id").alias("aid"), *box("a", 3, 2)), at(250, 5).select(F.col("id").alias("bid"), *box("b", 4, 9))
+    a = a.union(spark.createDataFrame([(900, 0.0, 0.0, 9.0, 9.0, None), (901, None, 0.0, 9.0, 9.0, None)], "aid long, axmin double, aymin double, axmax double, aymax double, apolygon array<array<struct<x:double,y:double>>>"))
+    flat = lambda df, p: df.filter(F.col(p + "polygon").isNotNull()).drop(p + "polygon")
+    want = sorted((r["aid"], r["bid"], r["m2"]) for r in spatial.overlap_join(flat(a, "a"), flat(b, "b"), "a", "b", 4.0, 2.0, "m2").collect())
+    found = spatial.shape_overlaps(a, b, "a", "b", 4.0, 2.0, "m2")
+    assert want and want == sorted((r["aid"], r["bid"], r["m2"]) for r in found.collect()) and found.columns == ["aid", "bid", "m2"]
+    plan = plan_of(found)
+    assert "BroadcastExchange" not in plan and plan.index("Generate explode") < plan.index("ArrowEvalPython") < plan.index("SortMergeJoin")
+    best = lambda exact: {r["aid"]: (r["bid"], r["m2"]) for r in spatial.best_overlap(a if exact else flat(a, "a"), b if exact else flat(b, "b"), "a", "b", 4.0, ["aid"], ["bid"], "m2", exact).collect() if r["bid"] is not None}
+    assert best(True) == best(False)
+
+
+def test_boxes_are_put_where_they_can_meet(spark):
+    """A box whose level is finer than all of the other side isn't put into cells of its own level."""
+    a, b = crowd(spark)
+    small = a.select("aid", F.col("axmin"), F.col("aymin"), (F.col("axmin") + 1).alias("axmax"), (F.col("aymin") + 1).alias("aymax"))
+    one, _ = spatial._both_cells(small, b, "a", "b", 2.0, None)
+    assert {r["_level"] for r in one.collect()} == {3}
